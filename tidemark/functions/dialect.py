@@ -7,6 +7,7 @@ greatest value; integer division truncates.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -175,8 +176,8 @@ def _element(raw: str):
         raise ValueError("empty element")
     if raw.upper() == "NULL":
         return None
-    if raw.lower() in ("true", "false"):
-        return raw.lower() == "true"
+    if raw in ("t", "f") or raw.lower() in ("true", "false"):
+        return raw[0] in "tT"
     for kind in (int, float):
         try:
             return kind(raw)
@@ -235,10 +236,8 @@ def json_equal(a: Column, b: Column) -> Column:
     return canon.json_canonical(a) == canon.json_canonical(b)
 
 
-def like(c: Column, pattern: str, escape: str = "\\", ignore_case: bool = False) -> Column:
-    """``[I]LIKE pattern ESCAPE escape``; an empty escape makes every character stand for itself."""
-    import re
-
+def like_pattern(pattern: str, escape: str = "\\", ignore_case: bool = False) -> str:
+    """The regular expression of a LIKE pattern; an empty escape makes every character stand for itself."""
     out, i = "", 0
     while i < len(pattern):
         ch = pattern[i]
@@ -250,4 +249,9 @@ def like(c: Column, pattern: str, escape: str = "\\", ignore_case: bool = False)
         else:
             out += ".*" if ch == "%" else "." if ch == "_" else re.escape(ch)
         i += 1
-    return c.rlike(("(?si)" if ignore_case else "(?s)") + f"^{out}$(?!\\n)")
+    return ("(?si)" if ignore_case else "(?s)") + f"\\A{out}\\z"
+
+
+def like(c: Column, pattern: str, escape: str = "\\", ignore_case: bool = False) -> Column:
+    """``c [I]LIKE pattern ESCAPE escape``."""
+    return c.rlike(like_pattern(pattern, escape, ignore_case))

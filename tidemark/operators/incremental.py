@@ -123,12 +123,16 @@ def pending(listing: DataFrame, manifest: DataFrame, fan: int = 256) -> DataFram
         .join(spans, [sub, "t", "block"]).groupBy(sub, "range").agg(F.max("whole").alias("whole"))
     )
     ranges = ends.join(whole, [sub, "range"], "full")
-    placed = listing.join(shape.select(sub, "from_lsn", "width"), sub, "left").withColumn("range", place("lsn"))
-    covered = F.coalesce(F.col("batch_id") <= F.col("whole"), F.lit(False)) | F.exists(
-        F.coalesce("parts", F.array().cast("array<struct<lo:bigint,hi:bigint,upto_batch:bigint>>")),
+    # internal columns get names that the listing can't have
+    ranges = ranges.select(sub, F.col("range").alias("__range"), F.struct("whole", "parts").alias("__held"))
+    at = shape.select(sub, F.struct("from_lsn", "width").alias("__at"))
+    where = F.greatest(F.lit(0), F.floor((F.col("lsn") - F.col("__at.from_lsn")) / F.col("__at.width")) + 1).cast("bigint")
+    placed = listing.join(at, sub, "left").withColumn("__range", where)
+    covered = F.coalesce(F.col("batch_id") <= F.col("__held.whole"), F.lit(False)) | F.exists(
+        F.coalesce("__held.parts", F.array().cast("array<struct<lo:bigint,hi:bigint,upto_batch:bigint>>")),
         lambda p: (p["lo"] < F.col("lsn")) & (F.col("lsn") <= p["hi"]) & (F.col("batch_id") <= p["upto_batch"]),
     )
-    return placed.join(ranges, [sub, "range"], "left").filter(~F.coalesce(covered, F.lit(False))).select(*listing.columns)
+    return placed.join(ranges, [sub, "__range"], "left").filter(~F.coalesce(covered, F.lit(False))).select(*[F.col(f"`{c}`") for c in listing.columns])
 
 
 def pending_messages(diff_payloads: DataFrame, sub_states: DataFrame, subscribe_requests: DataFrame, ack_requests: DataFrame) -> DataFrame:
