@@ -99,7 +99,7 @@ def select(sizes: DataFrame, targets: DataFrame, planned: DataFrame, seed: int =
     p = planned.select(F.col("source").alias("named"), "tokens", "full_repeats", "extra", "n").filter("tokens IS NOT NULL")
     h = F.xxhash64(F.lit(seed), "doc_id")
     docs = (
-        sizes.withColumn("key", source_key(F.col("source"))).join(t, "key").join(p, ["named", "tokens"])
+        sizes.select("doc_id", source_key(F.col("source")).alias("key"), "tokens").join(t, "key").join(p, ["named", "tokens"])
         .select("doc_id", F.col("named").alias("source"), "tokens", "full_repeats", "extra", h.alias("h"),
                 F.pmod(F.shiftright(h, 8), F.ceil(F.col("n") / bucket_rows)).alias("bucket"))
     )
