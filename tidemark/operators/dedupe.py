@@ -104,7 +104,7 @@ def exactly_once(diff_payloads: DataFrame, sub_states: DataFrame) -> DataFrame:
     return (
         kept.join(seen, "subscription_id", "left")
         .filter((F.col("lsn") > F.coalesce("last_seen_lsn", F.lit(0))) | F.col("lsn").isNull())
-        .drop("last_seen_lsn")
+        .select(*[F.col(f"`{c}`") for c in diff_payloads.columns])
     )
 
 

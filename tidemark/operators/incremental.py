@@ -128,7 +128,7 @@ def pending(listing: DataFrame, manifest: DataFrame, fan: int = 256) -> DataFram
     at = shape.select(sub, F.struct("from_lsn", "width").alias("__at"))
     where = F.greatest(F.lit(0), F.floor((F.col("lsn") - F.col("__at.from_lsn")) / F.col("__at.width")) + 1).cast("bigint")
     placed = listing.join(at, sub, "left").withColumn("__range", where)
-    covered = F.coalesce(F.col("batch_id") <= F.col("__held.whole"), F.lit(False)) | F.exists(
+    covered = (F.col("lsn").isNotNull() & F.coalesce(F.col("batch_id") <= F.col("__held.whole"), F.lit(False))) | F.exists(
         F.coalesce("__held.parts", F.array().cast("array<struct<lo:bigint,hi:bigint,upto_batch:bigint>>")),
         lambda p: (p["lo"] < F.col("lsn")) & (F.col("lsn") <= p["hi"]) & (F.col("batch_id") <= p["upto_batch"]),
     )
