@@ -123,4 +123,4 @@ def report(planned: DataFrame) -> DataFrame:
         F.max("budget").alias("budget"), F.max("source_tokens").alias("source_tokens"), used.alias("used_tokens"), F.max("scarce").alias("scarce")
     )
     whole = r.agg(F.sum("used_tokens").alias("__all"))
-    return r.join(F.broadcast(whole)).withColumn("actual_share", F.col("used_tokens") / F.col("__all")).drop("__all")
+    return r.join(F.broadcast(whole)).withColumn("actual_share", F.try_divide("used_tokens", "__all")).drop("__all")
