@@ -36,7 +36,8 @@ _CODE = rf"[a-z][\p{{L}}\p{{N}}-]*+(?:[0-9_(/:]|{MASK}[\p{{L}}\p{{N}}])|[a-z]++[
 _NEXT = rf"[{OPEN}¿¡`*_]*+\s*+(?:[\p{{Lu}}\p{{Lt}}\p{{N}}{_LO_CUTTING}]|(?:{_CODE}))"
 _LOWER = rf"(?!{_CODE})\p{{Ll}}"
 _NO_MARKS = f"[^{OPEN}{CLOSE}{CLOSE_JA}{CUT}]"
-_MARK = "[.!?…。！？｡．؟।۔။។።;]"
+#: End marks of all scripts.
+_MARKS = ".!?…。！？｡．؟।۔။።;;"
 _PARTICLE = r"と(?!ても|ころ)|の|を|に|が|へ|や|など|って|は(?!い)|も(?!う)|で(?!も|す)|から|まで|より|だと|なる|なの"
 _ALWAYS = r"\p{IsHangul}\p{IsDevanagari}\p{IsArabic}\p{IsMyanmar}\p{IsKhmer}\p{IsEthiopic}\p{IsThai}"
 #: What shows, behind a closing mark, that the sentence goes on.
@@ -86,11 +87,13 @@ def masked(text: Column) -> Column:
         rf"|(?<=[\p{{IsDevanagari}}\p{{IsMyanmar}}\p{{IsKhmer}}\p{{IsEthiopic}}]\.))",
         MASK,
     )
-    # quotations, titles and brackets behind which the sentence goes on
+    # quotations, titles and brackets behind which the sentence goes on: from such an opening mark
+    # on (or from the last mark masked), up to the next end mark before anything closes
+    goes_on = rf"{CLOSE}(?:{_GOES_ON}|\s*+\p{{IsHan}}|(?:{_PARTICLE}))|{CLOSE_JA}(?:{_GOES_ON}|(?:{_PARTICLE}))"
     return sub(
         t,
-        rf"{_MARK}(?={_NO_MARKS}*+(?:{CLOSE}(?:{_GOES_ON}|\s*+\p{{IsHan}}|(?:{_PARTICLE}))|{CLOSE_JA}(?:{_GOES_ON}|(?:{_PARTICLE}))))",
-        MASK,
+        rf"((?:{OPEN}(?={_NO_MARKS}*+(?:{goes_on}))|\G(?!\A))[^{_MARKS}{OPEN}{CLOSE}{CLOSE_JA}{CUT}]*+)[{_MARKS}]",
+        f"$1{MASK}",
     )
 
 
@@ -108,18 +111,42 @@ def cut(text: Column) -> Column:
     return F.regexp_replace(t, rf"(?= )(?:(?<={thai})(?= ++[^{apart}])|(?<=[^{apart}#*{MASK}-])(?= ++{thai}))", CUT)
 
 
-def unit_ends(text: Column) -> Column:
-    """The array of end positions (characters up to and with the unit's last one), in order."""
-    pieces = F.split(cut(text), CUT)
-    step = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("ends")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p)).alias("at"),
-            F.when(F.length(F.btrim(p)) > 0, F.array_append(s["ends"], s["at"] + F.length(F.rtrim(p)))).otherwise(s["ends"]).alias("ends"),
-        ),
-    )
-    return step["ends"]
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def unit_ends(text: Column, chunk: int = 256) -> Column:
+    """The array of end positions (characters up to and with the unit's last one), in order.
+
+    Lengths are summed up within chunks of pieces and over chunks, so very long texts stay cheap.
+    """
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<bigint>")
+
+    def ends(pieces: Column, at: Column) -> Column:
+        return F.aggregate(
+            pieces,
+            F.struct(at.alias("at"), none.alias("ends")),
+            lambda s, p: F.struct(
+                (s["at"] + F.length(p)).alias("at"),
+                F.when(F.length(F.btrim(p)) > 0, F.array_append(s["ends"], s["at"] + F.length(F.rtrim(p)))).otherwise(s["ends"]).alias("ends"),
+            ),
+        )["ends"]
+
+    def starts(chunks: Column) -> Column:
+        sizes = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda s, p: s + F.length(p)))
+        return F.aggregate(
+            sizes,
+            F.struct(zero.alias("at"), none.alias("starts")),
+            lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")),
+        )["starts"]
+
+    def chunks(pieces: Column) -> Column:
+        last = F.floor((F.size(pieces) - 1) / chunk).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(pieces, i * chunk + 1, F.lit(chunk)))
+
+    parts = _let(F.split(cut(text), CUT), chunks)
+    return _let(parts, lambda c: F.flatten(F.zip_with(c, starts(c), ends)))
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
