@@ -76,7 +76,8 @@ def modulo(a: Column, b: Column) -> Column:
 def saturating_sum(c: Column) -> Column:
     """SUM of integers as BIGINT that stops at the ends of its range; NULL without values."""
     total = F.sum(c.cast("decimal(38,0)"))
-    return F.least(F.greatest(total, F.lit(-(1 << 63)).cast("decimal(38,0)")), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("bigint")
+    low, top = F.lit(-(1 << 63)).cast("decimal(38,0)"), F.lit((1 << 63) - 1).cast("decimal(38,0)")
+    return F.when(total.isNotNull(), F.least(F.greatest(total, low), top)).cast("bigint")  # least and greatest skip NULL
 
 
 # --- casts: what can't be converted is NULL ----------------------------------------------------

@@ -41,8 +41,13 @@ def first_copies(deliveries: DataFrame, identity: list[str], arrival: list[str])
 
 
 def not_stored(batch: DataFrame, stored: DataFrame, identity: list[str]) -> DataFrame:
-    """Rows of ``batch`` whose identity isn't among the stored ones (null identities pass)."""
-    return batch.join(stored.select(*identity).distinct(), identity, "left_anti")
+    """Rows of ``batch`` whose identity isn't among the stored ones (null identities pass).
+
+    The store is first cut down to the batch's identities, so a small batch is broadcast (by its
+    size) and the store isn't shuffled.
+    """
+    known = stored.select(*identity).join(batch.select(*identity).distinct(), identity, "left_semi").distinct()
+    return batch.join(known, identity, "left_anti").select(*[F.col(f"`{c}`") for c in batch.columns])
 
 
 class MessageLog:

@@ -83,30 +83,34 @@ class HistoryStore:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*KEYS), F.lit(self.buckets)).cast("int")
 
-    def changes(self) -> DataFrame:
-        parts = [p for n, p in self.store.manifest()["parts"].items() if n.startswith("log")]
-        raw = self.store.spark.read.parquet(*sorted(parts))
-        if len(parts) == 1:
+    def changes(self, parts: dict[str, str] | None = None) -> DataFrame:
+        """One row per key and LSN of all log parts."""
+        parts = self.store.manifest()["parts"] if parts is None else parts
+        logs = sorted(p for n, p in parts.items() if n.startswith("log"))
+        raw = self.store.spark.read.parquet(*logs)
+        if len(logs) == 1:
             return raw
         # the same transaction may have come in two batches: its last change counts
         return raw.groupBy(*KEYS, "lsn").agg(
             F.max_by("state", "last_seq").alias("state"), F.min_by("first_old", "first_seq").alias("first_old")
         )
 
-    def append(self, batch_id: str, events: DataFrame) -> DataFrame:
-        """Store a batch of events; returns the stored part (one row per key and LSN)."""
+    def _write_log(self, batch_id: str, events: DataFrame) -> tuple[str, str]:
         part = events.groupBy(*KEYS, "lsn").agg(
             F.max_by("state", "seq").alias("state"), F.min_by("old_state", "seq").alias("first_old"),
             F.max("seq").alias("last_seq"), F.min("seq").alias("first_seq"),
         )
-        path = self.store.write_part(part, f"log-{batch_id}")
+        return f"log-{batch_id}", self.store.write_part(part, f"log-{batch_id}")
+
+    def append(self, batch_id: str, events: DataFrame) -> None:
+        """Store a batch of events without building chains."""
+        name, path = self._write_log(batch_id, events)
         m = self.store.manifest()
-        self.store.commit(m | {"parts": m["parts"] | {f"log-{batch_id}": path}})
-        return self.store.spark.read.parquet(path)
+        self.store.commit(m | {"parts": m["parts"] | {name: path}})
 
-    def rebuild(self, touched: DataFrame | None = None) -> DataFrame:
+    def rebuild(self, touched: DataFrame | None = None, parts: dict[str, str] | None = None) -> DataFrame:
         """Chains of the touched rows from all their raw changes (of every row for None)."""
-        raw = self.changes()
+        raw = self.changes(parts)
         if touched is not None:
             raw = raw.join(touched.select(*KEYS).distinct(), KEYS, "left_semi")
         return build_chains(raw, self.hot_rows)
@@ -118,21 +122,20 @@ class HistoryStore:
         and all new chains together, so a failure at any point changes nothing and the batch may
         be run again.
         """
-        before = self.store.manifest()["parts"]
-        touched = self.append(batch_id, events).select(*KEYS).distinct()
-        chains = self.rebuild(touched).withColumn("bucket", self._bucket())
-        live = {n: p for n, p in before.items() if n.startswith("chain")}
+        m = self.store.manifest()
+        name, path = self._write_log(batch_id, events)
+        parts = m["parts"] | {name: path}
+        touched = self.store.spark.read.parquet(path).select(*KEYS).distinct()
+        chains = self.rebuild(touched, parts).withColumn("bucket", self._bucket())
         hit = [r[0] for r in touched.select(self._bucket()).distinct().collect()]  # at most `buckets` numbers
-        old = [live[f"chain-{b}"] for b in hit if f"chain-{b}" in live]
+        old = [parts[f"chain-{b}"] for b in hit if f"chain-{b}" in parts]
         if old:
             kept = self.store.spark.read.parquet(*old).join(touched, KEYS, "left_anti")
             chains = kept.withColumn("bucket", self._bucket()).unionByName(chains)
-        name = f"chains-{self.store.manifest()['version']}"
-        path = f"{self.store.root}/{name}"
-        chains.repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
-        m = self.store.manifest()
+        path = f"{self.store.root}/chains-{m['version']}-{batch_id}"
+        chains.repartition(F.col("bucket")).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
         new = {f"chain-{b}": f"{path}/bucket={b}" for b in hit if self.store.exists(f"{path}/bucket={b}")}
-        rest = {n: p for n, p in m["parts"].items() if n not in {f"chain-{b}" for b in hit}}
+        rest = {n: p for n, p in parts.items() if n not in {f"chain-{b}" for b in hit}}
         self.store.commit(m | {"parts": rest | new})
 
     def read(self) -> DataFrame:

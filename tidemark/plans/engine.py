@@ -284,7 +284,8 @@ class Engine:
         if kind == "distinct":
             return f"({x(e[1])} IS {'NOT ' if e[3] else ''}DISTINCT FROM {x(e[2])})"
         if kind == "in":
-            return f"({x(e[1])} {'NOT ' if e[3] else ''}IN ({', '.join(map(x, e[2]))}))"
+            against = [self._bound(i) if i[0] in ("param", "user") else i for i in e[2]]
+            return f"({self.text_key(e[1], against, s, scope)} {'NOT ' if e[3] else ''}IN ({', '.join(map(x, against))}))"
         if kind == "between":
             return f"({x(e[1])} {'NOT ' if e[4] else ''}BETWEEN {x(e[2])} AND {x(e[3])})"
         if kind == "like":
@@ -330,7 +331,7 @@ class Engine:
         d = "DISTINCT " if distinct and f not in ("min", "max") else ""
         if f == "sum" and isinstance(self._type(a, s, scope), dialect.INTEGRAL):
             whole = f"sum({d}CAST({a} AS DECIMAL(38,0)))"
-            return f"CAST(least(greatest({whole}, -9223372036854775808), 9223372036854775807) AS BIGINT)"
+            return f"CAST(CASE WHEN {whole} IS NOT NULL THEN least(greatest({whole}, -9223372036854775808), 9223372036854775807) END AS BIGINT)"
         if f == "avg":
             a = f"CAST({a} AS DOUBLE)"
         return f"{f}({d}{a})"
@@ -359,8 +360,20 @@ class Engine:
             array = ("array", items)
         if array == ("array", []):
             return "FALSE"
+        if array[0] == "array" and all(i[0] in ("lit", "neg") for i in array[1]):
+            v, items = self.text_key(value, array[1], s, scope), [x(i) for i in array[1]]
+            return f"({v} IN ({', '.join(items)}))" if op == "=" else "(" + " OR ".join(f"{v} {op} {i}" for i in items) + ")"
+        if op == "=":
+            return f"array_contains({x(array)}, {x(value)})"
         return f"exists({x(array)}, any_item -> {x(value)} {op} any_item)"
 
+    def text_key(self, value: tuple, against: list[tuple], s: Select, scope: dict[str, str]) -> str:
+        """A value to be compared with literals.  Where none of them could be the text of an object or
+        array, ``->>`` needs no such text and stays in the JVM."""
+        if value[:2] == ("bin", "->>") and all(i[0] == "lit" and i[1] in ("str", "null") and (i[2] or "")[:1] not in ("{", "[") for i in against):
+            return self.json(self.expr(value[2], s, scope), "->>", value[3], s, scope, exact=False)
+        return self.expr(value, s, scope)
+
     def cast(self, e: tuple, s: Select, scope: dict[str, str]) -> str:
         _, value, target = e
         v = self.expr(value, s, scope)
@@ -396,7 +409,9 @@ class Engine:
 
     def binary(self, e: tuple, s: Select, scope: dict[str, str]) -> str:
         _, op, left, right = e
-        a, b = self.expr(left, s, scope), self.expr(right, s, scope)
+        right = self._bound(right) if right[0] in ("param", "user") else right
+        a = self.text_key(left, [right], s, scope) if op in ("=", "<>") else self.expr(left, s, scope)
+        b = self.expr(right, s, scope)
         if op in ("and", "or"):
             return f"({a} {op.upper()} {b})"
         if op in ("+", "-", "*", "%"):
@@ -409,13 +424,13 @@ class Engine:
             text = lambda v: self._float_text(v) if isinstance(self._type(v, s, scope), (T.FloatType, T.DoubleType)) else f"CAST({v} AS STRING)"
             return f"concat({text(a)}, {text(b)})"
         if op in ("->", "->>"):
-            return self.json(a, op, right, b, s, scope)
+            return self.json(a, op, right, s, scope)
         types = [self._type(v, s, scope) for v in (a, b)]
         if any(isinstance(t, T.VariantType) for t in types) and op in ("=", "<>"):
             a, b = (f"to_json({v})" if isinstance(t, T.VariantType) else f"to_json(try_parse_json({v}))" for v, t in zip((a, b), types))
         return f"({a} {op} {b})"
 
-    def json(self, a: str, op: str, key: tuple, b: str, s: Select, scope: dict[str, str]) -> str:
+    def json(self, a: str, op: str, key: tuple, s: Select, scope: dict[str, str], exact: bool = True) -> str:
         v = a if isinstance(self._type(a, s, scope), T.VariantType) else f"try_parse_json({a})"
         key = self._bound(key) if key[0] in ("param", "user") else key
         if key[0] == "neg" and key[1][:2] == ("lit", "int"):
@@ -432,6 +447,8 @@ class Engine:
             got = f"(CASE WHEN size({items}) >= {-key[2]} THEN try_element_at({items}, {key[2]}) END)"
         if op == "->":
             return got
+        if not exact:
+            return f"(CASE WHEN NOT is_variant_null({got}) THEN try_variant_get({got}, '$', 'string') END)"
         self.spark.udf.register("tidemark_json_text", dialect.json_nested_text)
         nested = f"schema_of_variant({got}) RLIKE '^(OBJECT|ARRAY)'"
         return (

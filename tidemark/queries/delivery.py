@@ -9,7 +9,7 @@ from tidemark.catalog import table
 from tidemark.operators import dedupe, history, incremental, skew
 from tidemark.operators.lsm import LsmTable
 from tidemark.queries.delivery_sql import ORACLE as ORACLE
-from tidemark.session import scratch
+from tidemark.session import materialize, scratch
 from tidemark.sources import changelog
 
 
@@ -24,11 +24,33 @@ def p1_kept(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p1_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The store of messages after three batches, the second one delivered twice."""
+    d = dedupe.messages(table(spark, sf, "diff_payloads").select("delivery_id", "batch_id", *dedupe.MESSAGE))
+    log = dedupe.MessageLog(spark, scratch(spark, "messages"), dedupe.MESSAGE, ["delivery_id"])
+    low, high = d.agg(F.min("batch_id"), F.max("batch_id")).first()
+    step = ((high or 0) - (low or 0)) // 3 + 1
+    for i in (0, 1, 1, 2):
+        log.append(i, d.filter(F.expr(f"(batch_id - {low or 0}) div {step} = {i}")))
+    return log.stored().drop("batch_id")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     h = history.full_history(*[table(spark, sf, t) for t in ("wal_updates", "row_changes", "wal_transactions", "relations")])
     return h.select("table_name", "row_key", "valid_from", "valid_to")
 
 
+def p2_refreshed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same history from a first load without every fourth transaction, and those as a late batch."""
+    tables = [table(spark, sf, t) for t in ("wal_updates", "row_changes", "wal_transactions", "relations")]
+    events = materialize(history.history_events(*tables), "events")
+    store = history.HistoryStore(spark, scratch(spark, "history"))
+    late = F.pmod(F.xxhash64("lsn"), F.lit(4)) == 0
+    store.refresh("first", events.filter(~late))
+    store.refresh("late", events.filter(late))
+    return store.read().select("table_name", "row_key", "valid_from", "valid_to")
+
+
 def change_table(spark: SparkSession, sf: str) -> LsmTable:
     """A merge table of all committed changes: the typed log is one run, the signed log two by arrival."""
     wal, rc, tx, rel = (table(spark, sf, t) for t in ("wal_updates", "row_changes", "wal_transactions", "relations"))
@@ -45,6 +67,13 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return change_table(spark, sf).read().select("table_name", "row_key", "lsn")
 
 
+def p3_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The same after the runs were merged into one."""
+    lsm = change_table(spark, sf)
+    lsm.compact()
+    return lsm.read().select("table_name", "row_key", "lsn")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     tables = [table(spark, sf, t) for t in ("diff_payloads", "sub_states", "subscribe_requests", "ack_requests")]
     return incremental.pending_messages(*tables).select("subscription_id", "lsn", "chunk_index")
@@ -63,4 +92,4 @@ def p5_transactions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p3_found, p4_found, p5_found, p5_tables, p5_transactions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_batches, p2_found, p2_refreshed, p3_found, p3_compacted, p4_found, p5_found, p5_tables, p5_transactions)}
