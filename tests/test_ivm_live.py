@@ -16,21 +16,21 @@ from tidemark.streaming.optimistic import LocalWrites
 A, B = V.Source("a"), V.Source("b")
 SCHEMA = "id int, k int, v int"
 NODES = {
-    "filter": V.Filter(A, "v > 3"),
-    "project": V.Project(A, ["k", "v + 1 AS w"]),
-    "union_all": V.UnionAll(A, B),
-    "join": V.Join(A, V.Project(B, ["k AS bk", "v AS bv"]), [("k", "bk")]),
-    "left": V.KeyedJoin(A, V.Project(B, ["k AS bk", "v AS bv"]), [("k", "bk")], "left"),
-    "semi": V.KeyedJoin(A, V.Project(B, ["k AS bk"]), [("k", "bk")], "left_semi"),
-    "anti": V.KeyedJoin(A, V.Project(B, ["k AS bk"]), [("k", "bk")], "left_anti"),
-    "distinct": V.distinct(V.Project(A, ["k"])),
-    "except_all": V.set_operation(V.Project(A, ["k"]), V.Project(B, ["k"]), "except", True),
-    "except": V.set_operation(V.Project(A, ["k"]), V.Project(B, ["k"]), "except"),
-    "intersect_all": V.set_operation(V.Project(A, ["k"]), V.Project(B, ["k"]), "intersect", True),
-    "aggregate": V.aggregate(A, ["k"], n=F.count(F.lit(1)), lo=F.min("v"), d=F.countDistinct("v")),
-    "summed": V.Summed(A, ["k"], {"s": "v"}),
-    "distinct_on": V.distinct_on(A, ["k"], [D.desc("v")]),
-    "top_k": V.top_k(A, [D.asc("v")], 4, 1),
+    "filter": lambda: V.Filter(A, "v > 3"),
+    "project": lambda: V.Project(A, ["k", "v + 1 AS w"]),
+    "union_all": lambda: V.UnionAll(A, B),
+    "join": lambda: V.Join(A, V.Project(B, ["k AS bk", "v AS bv"]), [("k", "bk")]),
+    "left": lambda: V.KeyedJoin(A, V.Project(B, ["k AS bk", "v AS bv"]), [("k", "bk")], "left"),
+    "semi": lambda: V.KeyedJoin(A, V.Project(B, ["k AS bk"]), [("k", "bk")], "left_semi"),
+    "anti": lambda: V.KeyedJoin(A, V.Project(B, ["k AS bk"]), [("k", "bk")], "left_anti"),
+    "distinct": lambda: V.distinct(V.Project(A, ["k"])),
+    "except_all": lambda: V.set_operation(V.Project(A, ["k"]), V.Project(B, ["k"]), "except", True),
+    "except": lambda: V.set_operation(V.Project(A, ["k"]), V.Project(B, ["k"]), "except"),
+    "intersect_all": lambda: V.set_operation(V.Project(A, ["k"]), V.Project(B, ["k"]), "intersect", True),
+    "aggregate": lambda: V.aggregate(A, ["k"], n=F.count(F.lit(1)), lo=F.min("v"), d=F.countDistinct("v")),
+    "summed": lambda: V.Summed(A, ["k"], {"s": "v"}),
+    "distinct_on": lambda: V.distinct_on(A, ["k"], [D.desc("v")]),
+    "top_k": lambda: V.top_k(A, [D.asc("v")], 4, 1),
 }
 
 
@@ -50,7 +50,7 @@ def _case(spark, seed):
 @pytest.mark.parametrize("name", NODES)
 def test_delta_equals_recomputation(spark, rows, name):
     old, change = _case(spark, sum(map(ord, name)) % 97)
-    node = NODES[name]
+    node = NODES[name]()
     assert rows(node.delta(old, change)) == rows(V.recomputed_delta(node, old, change))
     assert rows(node.delta(old, {"b": change["b"]})) == rows(V.recomputed_delta(node, old, {"b": change["b"]}))
 

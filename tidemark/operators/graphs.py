@@ -125,10 +125,11 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 def sequence(edges: DataFrame, start: DataFrame, max_rounds: int = 500) -> DataFrame:
     """(node, value) of an ordered greedy: nodes in turn take the least number that no smaller
-    neighbour has (a colouring).  A node is decided once all its smaller neighbours are."""
-    pairs = edges.select("src", "dst").dropna().filter("src <> dst")
+    neighbour has (a colouring; loops don't count).  A node is decided once all its smaller neighbours are."""
+    known = edges.select("src", "dst").dropna()
+    pairs = known.filter("src <> dst")
     lower = materialize(pairs.select(F.greatest("src", "dst").alias("node"), F.least("src", "dst").alias("before")).distinct(), "seq")
-    nodes = materialize(start.toDF("node").dropna().union(lower.select("node")).union(lower.select("before")).distinct(), "seq-nodes")
+    nodes = materialize(start.toDF("node").dropna().union(known.select("src")).union(known.select("dst")).distinct(), "seq-nodes")
     done = None
     for _ in range(max_rounds):
         todo = nodes if done is None else nodes.join(done, "node", "left_anti")
