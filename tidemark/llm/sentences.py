@@ -78,12 +78,12 @@ def masked(text: Column) -> Column:
     t = sub(t, rf"({word}(?=\p{{L}}{{2,8}}\.)(?:{_words(*ABBREVIATIONS.values())}))\.", f"$1{MASK}")
     # letters; shortened words and units that may close a sentence, before a capital, a number or a name
     may = rf"\s++(?:[{OPEN}¿¡]*+\s*+[\p{{Lu}}\p{{N}}]|(?:{_CODE}))"
-    closing = rf"{word}(?:[ap]{MASK}m|[тТ](?:{MASK}|\. ?)[дп]|(?<=\d )\p{{Ll}}|(?:{_words(CLOSING)}))\."
+    closing = rf"{word}(?:[ap]{MASK}m|[тТ](?:{MASK}|\. {{0,3}})[дп]|(?<=\d {{1,3}})\p{{Ll}}|(?:{_words(CLOSING)}))\."
     letters = rf"{word}[\p{{Lu}}\p{{Ll}}\p{{IsArabic}}](?:{MASK}\p{{L}}){{0,4}}\."
     t = sub(
         t,
         rf"\.(?:(?<={closing})(?!{may})|(?<={letters})(?<!{closing})(?!(?<=\p{{Lu}}\.)\s+(?:{_words(STARTERS)})\b)"
-        rf"|(?= )(?<= \d{{1,2}}\.)(?<=\b(?:{_words(BEFORE_ORDINAL)}) \d{{1,2}}\.)"
+        rf"|(?= )(?<= \d{{1,2}}\.)(?<=\b(?:{_words(BEFORE_ORDINAL)}) {{1,3}}\d{{1,2}}\.)"
         rf"|(?<=[\p{{IsDevanagari}}\p{{IsMyanmar}}\p{{IsKhmer}}\p{{IsEthiopic}}]\.))",
         MASK,
     )
@@ -99,7 +99,7 @@ def masked(text: Column) -> Column:
 
 def cut(text: Column) -> Column:
     """``masked`` text with a cut behind every unit."""
-    shut = rf"(?:\s?+[{CLOSE}{CLOSE_JA}])*+"
+    shut = rf"(?:\s{{0,3}}+[{CLOSE}{CLOSE_JA}])*+"
     t = F.regexp_replace(
         masked(text),
         rf"[.!?…]++{shut}(?=\s++{_NEXT})|[!?]++{shut}(?=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])"
