@@ -256,3 +256,24 @@ def test_heavy_tables(spark, rows):
 def test_transaction_totals_ignore_repeats(spark, rows):
     wal = spark.createDataFrame([(1, "t", None, 5, 0, 1), (1, "t", None, 5, 0, 1), (1, "t", None, 5, 1, -1), (1, "t", None, None, 1, 1)], WAL)
     assert rows(skew.transaction_totals(wal)) == sorted([(5, 2, 0, 3), (None, 1, 1, 1)], key=repr)
+
+
+def test_message_runs_process_each_message_once(spark, rows):
+    runs = incremental.MessageRuns(spark, scratch(spark, "runs"))
+    make = lambda *x: spark.createDataFrame(x, "subscription_id string, lsn bigint, batch_id bigint")
+    first = [("a", 5, 1), ("a", 9, 1), ("b", 3, 1)]
+    keep = lambda df: df
+    assert runs.run("r1", make(*first), keep) and not runs.run("r1", make(*first), keep)
+    later = [*first, ("a", 7, 2), ("b", 4, 2), ("c", 1, 2)]  # a late message below what is done
+
+    def fail(df):
+        raise RuntimeError
+
+    try:
+        runs.run("r2", make(*later), fail)
+    except RuntimeError:
+        pass
+    assert len(rows(runs.read())) == 3
+    assert runs.run("r2", make(*later), keep)
+    assert rows(runs.read()) == sorted(later, key=repr)
+    assert runs.run("r3", make(*later), keep) and len(rows(runs.read())) == 6

@@ -182,3 +182,22 @@ def test_partial_keys_and_local_writes():
     assert w.server(2, {"v": 3}) == ["b"]
     w.rollback("b")
     assert w.view() == {1: {"v": 5}, 2: {"v": 3}}
+
+
+def test_input_session_and_capture(spark, rows):
+    i = S.InputSession(spark, "x int")
+    i.insert((1,))
+    i.insert((2,))
+    i.remove((2,))
+    i.advance_to(5)
+    i.update_at((3,), 7, 2)
+    assert rows(i.flush()) == [(1, 0, 1)]
+    with pytest.raises(ValueError):
+        i.update_at((1,), 3, 1)
+    i.advance_to(8)
+    last = i.flush()
+    assert rows(last) == [(3, 7, 2)]
+    path = scratch(spark, "capture")
+    S.capture(last, path)
+    S.capture(last, path)
+    assert rows(S.replay(spark.read.parquet(path), ["x", "_lsn"])) == [(3, 7, 2)]

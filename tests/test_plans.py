@@ -230,3 +230,23 @@ def test_sharing():
     s.release(key(1))
     assert stopped == [a]
     assert ast.tables(parser.parse("WITH x AS (SELECT 1 FROM a) SELECT 1 FROM x JOIN b ON x.i = b.i")) == {"a", "b"}
+
+
+def test_types_and_cli(tmp_path, capsys):
+    from pyspark.sql import types as T
+
+    from tidemark.cli import main
+    from tidemark.plans.typegen import interface
+
+    schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("a-b", T.DoubleType())])
+    assert interface("Q", schema) == 'export interface QRow {\n  id: bigint;\n  tags: (string | null)[] | null;\n  "a-b": number | null;\n}\n'
+    queries, rules = tmp_path / "q.sql", tmp_path / "r.toml"
+    queries.write_text("-- name: N :many\nSELECT n_name FROM nation WHERE n_regionkey = $1;\n")
+    rules.write_text('[[user_context]]\nname = "r"\ntype = "int"\n[[rule]]\nname = "x"\ntable = "nation"\npredicate = "n_regionkey = $user.r"\n')
+    base = ["--tables", "/root/testdata/sf0.001"]
+    assert main([*base, "validate", "--rules", str(rules), "--queries", str(queries)]) == 0
+    assert main([*base, "typegen", str(queries)]) == 0
+    assert main([*base, "eval", "--rules", str(rules), "--user", '{"r": 1}', "SELECT count(*) AS n FROM nation"]) == 0
+    out = capsys.readouterr().out
+    assert "1 rules, 1 queries" in out and "n_name: string | null" in out and '{"n":5}' in out
+    assert main([*base, "eval", "--rules", str(rules), "SELECT n_name FROM nation"]) == 1

@@ -141,3 +141,38 @@ def pending_messages(diff_payloads: DataFrame, sub_states: DataFrame, subscribe_
         "subscription_id", "lsn", "chunk_index"
     ).agg(F.min("batch_id").alias("batch_id")).dropna(subset=["subscription_id", "lsn", "chunk_index"])
     return pending(listing, message_manifest(sub_states, subscribe_requests, ack_requests))
+
+
+class MessageRuns:
+    """Consumer runs over a growing listing of messages: each message is processed by one run.
+
+    The result of a run and the intervals it finishes are written under its id; the manifest names
+    both at once.  A run that fails before that leaves nothing and may be repeated; a run that was
+    committed isn't done again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.store = Store(spark, root)
+
+    def manifest(self) -> DataFrame:
+        parts = [p["done"] for p in self.store.manifest()["parts"].values()]
+        schema = "subscription_id string, lo bigint, hi bigint, upto_batch bigint"
+        return self.store.spark.read.schema(schema).parquet(*parts) if parts else self.store.spark.createDataFrame([], schema)
+
+    def run(self, run_id: str, listing: DataFrame, process: Callable[[DataFrame], DataFrame]) -> bool:
+        """Process what no run has finished of ``listing`` (subscription_id, lsn, batch_id, ...: all
+        messages received so far); False if the run was committed before."""
+        m = self.store.manifest()
+        if run_id in m["parts"]:
+            return False
+        path = self.store.write_part(process(pending(listing, self.manifest())), f"run={run_id}")
+        done = listing.dropna(subset=["subscription_id", "lsn", "batch_id"]).groupBy("subscription_id").agg(
+            F.lit(-1).cast("bigint").alias("lo"), F.max("lsn").cast("bigint").alias("hi"), F.max("batch_id").cast("bigint").alias("upto_batch")
+        )
+        done = self.store.write_part(done, f"done={run_id}")
+        self.store.commit(m | {"parts": m["parts"] | {run_id: {"path": path, "done": done}}})
+        return True
+
+    def read(self) -> DataFrame:
+        """The results of all committed runs."""
+        return self.store.spark.read.parquet(*sorted(p["path"] for p in self.store.manifest()["parts"].values()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,3 +126,12 @@ def inspect(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
     """Observed metrics of a plan (row count by default) without another pass."""
     m = metrics or {"rows": F.count(F.lit(1))}
     return df.observe(name, *[c.alias(k) for k, c in m.items()])
+
+
+def arrange(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """Rows placed and sorted by key once, kept for several joins or groupings on it.
+
+    Kept on disk where memory is short; call ``unpersist`` when done.
+    """
+    placed = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    return placed.sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)

@@ -23,9 +23,9 @@ def combine(df: DataFrame, keys: dict[str, Column], aggregates: dict[str, Column
 
 
 def share_of_total(counts: DataFrame, count: str, share: str = "share") -> DataFrame:
-    """Adds each row's share of the sum of ``count``; the total is one row, joined by value."""
-    total = counts.agg(F.sum(count).alias("__total"))
-    return counts.join(F.broadcast(total)).withColumn(share, F.try_divide(count, "__total")).drop("__total")
+    """Adds each row's share of the sum of ``count`` (a scalar subquery, no join)."""
+    total = counts.agg(F.sum(count)).scalar()
+    return counts.withColumn(share, F.try_divide(F.col(count), total))
 
 
 def table_totals(wal_updates: DataFrame) -> DataFrame:

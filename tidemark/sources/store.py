@@ -1,7 +1,7 @@
 """A versioned folder of Parquet parts with an atomically replaced manifest.
 
 Works on any Hadoop file system the session can reach.  Readers only see parts that the manifest
-names, so a failed writer leaves nothing visible and may simply run again.
+names, so a failed writer leaves nothing visible and may simply run again.  One writer at a time.
 """
 
 from __future__ import annotations

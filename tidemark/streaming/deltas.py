@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,3 +168,43 @@ def apply_diffs(view: DataFrame, diffs: DataFrame, keys: list[str]) -> DataFrame
     here = diffs.filter("new IS NOT NULL").select(F.struct(*[F.col(f"new.`{k}`") for k in keys]).alias("k"), "lsn", F.lit(1).alias("alive"), F.col("new").alias("row"))
     last = start.union(gone).union(here).groupBy("k").agg(F.max_by(F.struct("alive", "row"), F.struct("lsn", "alive")).alias("e"))
     return last.filter("e.alive = 1").select("e.row.*")
+
+
+def capture(diffs: DataFrame, path: str) -> None:
+    """Append a diff stream's rows to a folder, from which ``replay`` gives each diff once."""
+    diffs.write.mode("append").option("compression", "zstd").parquet(path)
+
+
+class InputSession:
+    """Updates made by hand, for tests and small feeds: buffered at a time, given out by ``flush``."""
+
+    def __init__(self, spark: SparkSession, schema: T.StructType | str) -> None:
+        self.spark = spark
+        self.schema = spark.createDataFrame([], schema).schema
+        self.time, self._buffer = 0, []
+
+    def update_at(self, row: tuple, time: int, diff: int) -> None:
+        if time < self.time:
+            raise ValueError(f"time {time} is past")
+        self._buffer.append((*row, diff, time))
+
+    def update(self, row: tuple, diff: int) -> None:
+        self.update_at(row, self.time, diff)
+
+    def insert(self, row: tuple) -> None:
+        self.update(row, 1)
+
+    def remove(self, row: tuple) -> None:
+        self.update(row, -1)
+
+    def advance_to(self, time: int) -> None:
+        if time < self.time:
+            raise ValueError(f"time {time} is past")
+        self.time = time
+
+    def flush(self) -> DataFrame:
+        """The updates at times before the present one, consolidated; later ones stay buffered."""
+        ready = [r for r in self._buffer if r[-1] < self.time]
+        self._buffer = [r for r in self._buffer if r[-1] >= self.time]
+        schema = T.StructType([*self.schema.fields, T.StructField(DIFF, T.LongType()), T.StructField(LSN, T.LongType())])
+        return consolidate(self.spark.createDataFrame(ready, schema))
