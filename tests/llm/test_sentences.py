@@ -11,7 +11,7 @@ CASES = [
     "We saw Fig. 3 and No. 7, e.g. here, i.e. there, cf. Sec. 4.2 of it.| Next.",
     "The U.K. office opened.| J. R. Smith came.",
     "It costs 3.50, see https://a.b/c.d?x=1.| main.py is read.| v2.1 follows.",
-    "It took 3.5\r\ns.| The next. |\r\n\r\nAm\r\n3. Mai kam er.| Und\r\nдеревья и т.\r\nд.| Прочего нет.",
+    "It took 3.5\r\ns.| The next. |\r\n\r\nAm 3.\r\nMai kam er.| Es gibt деревья и т.\r\nд.| Прочего нет.",
     "It waits... then goes.| It stopped...| Then it left.",
     'He said: "Stop. Go." and left.|\n\n"Stop."| He left.| Did it say "stop"?| No.',
     "(It is optional.)| Skip it.| The limit (see a. It is long.) stays.",

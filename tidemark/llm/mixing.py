@@ -84,8 +84,8 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         .join(t.select("key"), "key", "left_semi")
     )
     counts = materialize(counts, "length-counts")
-    total = counts.agg(F.coalesce(F.sum(F.col("tokens") * F.col("n")), F.lit(0)).alias("total"))
-    grouped = t.join(counts, "key", "left").join(F.broadcast(total)).withColumn("source", F.col("named"))
+    total = counts.agg(F.coalesce(F.sum(F.col("tokens") * F.col("n")), F.lit(0))).scalar()
+    grouped = t.join(counts, "key", "left").withColumns({"source": F.col("named"), "total": total})
     return grouped.select("source", "target_share", "max_repeats", "total", "tokens", "n").groupBy("source").applyInPandas(plan_source, PLAN)
 
 
@@ -122,5 +122,5 @@ def report(planned: DataFrame) -> DataFrame:
     r = planned.groupBy("source").agg(
         F.max("budget").alias("budget"), F.max("source_tokens").alias("source_tokens"), used.alias("used_tokens"), F.max("scarce").alias("scarce")
     )
-    whole = r.agg(F.sum("used_tokens").alias("__all"))
-    return r.join(F.broadcast(whole)).withColumn("actual_share", F.try_divide("used_tokens", "__all")).drop("__all")
+    whole = r.agg(F.sum("used_tokens")).scalar()
+    return r.withColumn("actual_share", F.try_divide(F.col("used_tokens"), whole))
