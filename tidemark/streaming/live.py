@@ -62,7 +62,12 @@ class LiveView:
 
     def result(self) -> DataFrame:
         """The rows of the view at ``lsn``."""
-        return S.expand(S.consolidate(self.spark.read.parquet(*self._parts("view-"))))
+        return S.expand(self._net())
+
+    def _net(self) -> DataFrame:
+        """The view as a signed multiset: its seed and all diffs since (whose LSN isn't read)."""
+        schema = T.StructType.fromJson(self.store.manifest()["schema"])
+        return S.consolidate(self.spark.read.schema(schema).parquet(*self._parts("view-")))
 
     def diffs(self, after: int = -1) -> DataFrame | None:
         """(_lsn, row columns, _diff) of all transactions after a position; None if there were none."""
@@ -81,9 +86,10 @@ class LiveView:
         base = {n: self._checked(n, t) for n, t in tables.items()}
         parts = {f"base-{n}-seed": self.store.write_part(S.consolidate(S.seed(t)), f"base-{n}-seed") for n, t in base.items()}
         loaded = {n: self.spark.read.parquet(parts[f"base-{n}-seed"]) for n in base}
-        parts["view-seed"] = self.store.write_part(S.consolidate(self.node.full(loaded)), "view-seed")
+        view = S.consolidate(self.node.full(loaded))
+        parts["view-seed"] = self.store.write_part(view, "view-seed")
         m = self.store.manifest()
-        self.store.commit(m | {"parts": parts, "lsn": lsn, "earliest": lsn, "batches": []})
+        self.store.commit(m | {"parts": parts, "lsn": lsn, "earliest": lsn, "batches": [], "schema": view.schema.jsonValue()})
 
     def _checked(self, name: str, df: DataFrame) -> DataFrame:
         want = [(f.name, f.dataType) for f in self.schemas[name]]
@@ -123,11 +129,9 @@ class LiveView:
                 path = self.store.write_part(S.consolidate(self._signed(tx, n, lsn, old[n])), name)
                 parts[name], change[n] = path, self.spark.read.schema(old[n].schema).parquet(path)
             delta = self.node.delta(old, change)
-            name = f"view-{batch_id}-{lsn}"
-            parts[name] = self.store.write_part(delta, name)
-            written = self.spark.read.schema(delta.schema).parquet(parts[name])
-            name = f"diff-{lsn:020d}-{batch_id}"
-            parts[name] = self.store.write_part(written.withColumn(S.LSN, F.lit(lsn).cast("bigint")), name)
+            # one part serves as diff and, without its LSN, as a change of the kept result
+            path = self.store.write_part(delta.withColumn(S.LSN, F.lit(lsn).cast("bigint")), f"diff-{lsn:020d}-{batch_id}")
+            parts[f"diff-{lsn:020d}-{batch_id}"] = parts[f"view-{batch_id}-{lsn}"] = path
         new.unpersist()
         self.store.commit(m | {"parts": parts, "lsn": max([m["lsn"], *positions]), "batches": [*m["batches"], batch_id][-1000:]})
         return len(positions)
@@ -145,12 +149,10 @@ class LiveView:
         tag = f"c{m['version']}"
         for n in self.node.sources():
             parts[f"base-{n}-{tag}"] = self.store.write_part(S.consolidate(self.table(n)), f"base-{n}-{tag}")
-        view = S.consolidate(self.spark.read.parquet(*self._parts("view-")))
-        parts[f"view-{tag}"] = self.store.write_part(view, f"view-{tag}")
+        parts[f"view-{tag}"] = self.store.write_part(self._net(), f"view-{tag}")
         self.store.commit(m | {"parts": parts, "earliest": max(m["earliest"], min(keep_after, m["lsn"]))})
-        for n, p in m["parts"].items():
-            if n not in parts:
-                self.store.delete(p)
+        for p in set(m["parts"].values()) - set(parts.values()):
+            self.store.delete(p)
 
 
 @dataclass
