@@ -134,7 +134,7 @@ def sequence(edges: DataFrame, start: DataFrame, max_rounds: int = 500) -> DataF
     for _ in range(max_rounds):
         todo = nodes if done is None else nodes.join(done, "node", "left_anti")
         if not todo.take(1):
-            return done
+            return nodes.withColumn("value", F.lit(0)) if done is None else done
         known = lower.join(todo, "node", "left_semi")
         if done is None:
             ready = todo.join(known, "node", "left_anti").withColumn("value", F.lit(0))

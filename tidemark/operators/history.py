@@ -139,8 +139,10 @@ class HistoryStore:
         self.store.commit(m | {"parts": rest | new})
 
     def read(self) -> DataFrame:
+        """All chains; no rows before the first refresh that built some."""
         parts = [p for n, p in self.store.manifest()["parts"].items() if n.startswith("chain")]
-        return self.store.spark.read.parquet(*sorted(parts))
+        schema = "table_name string, row_key string, valid_from bigint, valid_to bigint, state bigint"
+        return self.store.spark.read.schema(schema).parquet(*sorted(parts)) if parts else self.store.spark.createDataFrame([], schema)
 
 
 def issue_events(row_changes: DataFrame, columns: tuple[str, ...] = canon.ISSUE_COLUMNS) -> DataFrame:

@@ -17,6 +17,7 @@ from tidemark.functions import dialect
 from tidemark.operators import recursion
 from tidemark.plans import ast, parser
 from tidemark.plans.ast import Derived, Join, Query, Select, SetOp, SqlError, Table
+from tidemark.session import ship
 
 _serial = itertools.count()
 _CAST = {"string": "STRING", "int": "BIGINT", "float": "DOUBLE", "bool": "BOOLEAN", "uuid": "STRING", "jsonb": "VARIANT"}
@@ -449,6 +450,7 @@ class Engine:
             return got
         if not exact:
             return f"(CASE WHEN NOT is_variant_null({got}) THEN try_variant_get({got}, '$', 'string') END)"
+        ship(self.spark)
         self.spark.udf.register("tidemark_json_text", dialect.json_nested_text)
         nested = f"schema_of_variant({got}) RLIKE '^(OBJECT|ARRAY)'"
         return (

@@ -248,7 +248,8 @@ def live_client(spark, sf):
     hub = Hub()
     first = materialize(hub.subscribe("s", view).rows, "first")
     view.apply(change_log(o), "b0")
-    return S.apply_diffs(first, hub.poll("s").rows, ["o_custkey"])
+    news = hub.poll("s")
+    return S.apply_diffs(first, news.rows, ["o_custkey"]) if news else first
 
 
 @_query("live_pairs", f"""{_SQL} a AS ({_BY_CUSTOMER.format(o='new_o')}), b AS ({_BY_CUSTOMER.format(o='old_o')})

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 #: Type OIDs whose text is a JSON number, a boolean, or JSON itself.
 NUMBERS, BOOL, JSON_TYPES = {20, 21, 23, 26, 700, 701, 1700}, 16, {114, 3802}
 
@@ -200,6 +202,7 @@ def decode(frames: DataFrame, relations: dict[int, dict] | None = None) -> DataF
     transaction and announce its relations, or they are given in ``relations`` (one entry per table).
     """
 
+    ship(frames.sparkSession)
     schema = pa.schema(
         [("segment", pa.int64()), ("position", pa.int64()), ("kind", pa.string()), ("table", pa.string()), ("xid", pa.int64()), ("sub", pa.int64()),
          ("lsn", pa.int64()), ("op", pa.string()), ("old", pa.string()), ("new", pa.string()), ("unchanged_cols", pa.list_(pa.string()))]
