@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import materialize, ship
 
 #: Most tokens that the knapsack fills; the greedy step before it leaves no more than that.
 KNAPSACK = 1 << 16
@@ -78,6 +78,7 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     copy of ``extra`` of them.  ``sizes`` is (source, tokens, ...); the counts of a source are as
     many rows as it has different lengths.
     """
+    ship(sizes.sparkSession)
     t = targets.select(F.col("source").alias("named"), source_key(F.col("source")).alias("key"), "target_share", "max_repeats")
     counts = (
         sizes.groupBy(source_key(F.col("source")).alias("key"), "tokens").agg(F.count(F.lit(1)).alias("n"))

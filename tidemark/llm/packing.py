@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import materialize, ship
 
 Bins = list[list[int]]
 
@@ -177,6 +177,7 @@ def pack(
     Shards hold about ``shard_items`` items by a hash of the id, so no group grows with the data.
     An empty input gives no rows.
     """
+    ship(sizes.sparkSession)
     s = materialize(
         sizes.select(F.col(id_col).cast("bigint").alias("id"), F.greatest(F.lit(0), F.coalesce(F.col(size_col), F.lit(0))).cast("bigint").alias("size")),
         "sizes",

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import ship
+
 
 def default_vocabulary() -> str:
     """Path of the byte-level BPE ranks of the installed public tokenizers."""
@@ -36,6 +38,7 @@ def token_counts(docs: DataFrame, keep: list[str], text_col: str = "text", vocab
     A null or empty text has 0 tokens; strings that name special tokens are ordinary text.  Texts
     go through Arrow batches once and aren't shuffled.
     """
+    ship(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     out = T.StructType([docs.schema[c] for c in keep] + [T.StructField("tokens", T.LongType(), False)])
 
