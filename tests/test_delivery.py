@@ -161,6 +161,30 @@ def test_history_hot_rows_late_batches(spark, rows):
     assert rows(store.read().drop("state")) == expected
 
 
+def test_late_changes_refill_stored_ones(spark, rows):
+    """Batches of raw changes give the history of all at once: a late or corrected change tells stored later ones."""
+    import json
+
+    short = json.loads(_issue(1, priority=2))
+    del short["title"]
+    kept = lambda lsn, p: (lsn, 0, "U", '{"id":1}', json.dumps(short | {"priority": p}), ["title"])
+    first = [(10, 0, "I", None, _issue(1), None), kept(30, 2), kept(50, 3), (60, 0, "U", '{"id":1}', _issue(1, title="late", priority=3), None)]
+    late = [(40, 0, "U", '{"id":1}', _issue(1, title="late", priority=2), None)]
+    fixed = [(10, 0, "I", None, _issue(1, title="late"), None)]
+    wal, tx = spark.createDataFrame([], WAL), _tx(spark, 10, 30, 40, 50, 60)
+    store = history.HistoryStore(spark, scratch(spark, "h"), buckets=2)
+    refresh = lambda n, b: store.refresh(n, history.history_events(wal, spark.createDataFrame(b, CHANGE), tx, _relations(spark)))
+    chain = lambda *at: [("public.issues", "1", a, b) for a, b in zip(at, [*at[1:], -1])]
+    refresh("first", first)
+    assert rows(store.read().drop("state")) == chain(10, 30, 50, 60)
+    refresh("late", late)  # 50 has the late title now, so 60 changes nothing
+    assert rows(store.read().drop("state")) == chain(10, 30, 40, 50)
+    refresh("fixed", fixed)  # the title was "late" from the start
+    assert rows(store.read().drop("state")) == chain(10, 30, 50)
+    refresh("first", first)  # a replay doesn't undo the correction
+    assert rows(store.read().drop("state")) == chain(10, 30, 50)
+
+
 def test_filled_hot_rows(spark, rows):
     """Values carried over ranges of a hot row equal those carried in one pass."""
     rng = random.Random(5)

@@ -1,7 +1,8 @@
 """History of changing rows: every version with the period in which it was valid.
 
 Raw changes are kept per row; a late or corrected change makes the operator fetch all raw changes
-of the touched rows only, rebuild all their intervals and swap those chains in at once.
+of the touched rows only, carry told values over them, rebuild all their intervals and swap those
+chains in at once.
 """
 
 from __future__ import annotations
@@ -75,45 +76,61 @@ def build_chains(changes: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
 
 
 class HistoryStore:
-    """Raw changes and version chains of rows, in ``buckets`` folders by row key."""
+    """Raw changes and version chains of rows, in ``buckets`` folders by row key.
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 16, hot_rows: int = 1_000_000) -> None:
-        self.store, self.buckets, self.hot_rows = Store(spark, root), buckets, hot_rows
+    An event (``KEYS``, lsn, seq, old_state) holds a ready ``state``, or ``alive`` and the digests
+    ``v_<column>`` of ``columns`` it tells: those are stored as they came, and each rebuild carries
+    told values over all batches.
+    """
+
+    def __init__(
+        self, spark: SparkSession, root: str, buckets: int = 16, hot_rows: int = 1_000_000, columns: tuple[str, ...] = canon.ISSUE_COLUMNS
+    ) -> None:
+        self.store, self.buckets, self.hot_rows, self.columns = Store(spark, root), buckets, hot_rows, columns
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*KEYS), F.lit(self.buckets)).cast("int")
 
-    def changes(self, parts: dict[str, str] | None = None) -> DataFrame:
-        """One row per key and LSN of all log parts."""
+    def log(self, parts: dict[str, str] | None = None) -> DataFrame:
+        """All stored events, one for each key, LSN and seq of several batches: the latest batch counts."""
         parts = self.store.manifest()["parts"] if parts is None else parts
         logs = sorted(p for n, p in parts.items() if n.startswith("log"))
         raw = self.store.spark.read.parquet(*logs)
         if len(logs) == 1:
             return raw
-        # the same transaction may have come in two batches: its last change counts
-        return raw.groupBy(*KEYS, "lsn").agg(
-            F.max_by("state", "last_seq").alias("state"), F.min_by("first_old", "first_seq").alias("first_old")
-        )
+        rest = [c for c in raw.columns if c not in (*KEYS, "lsn", "seq")]
+        last = raw.groupBy(*KEYS, "lsn", "seq").agg(F.max_by(F.struct(*rest), "batch").alias("e"))
+        return last.select(*KEYS, "lsn", "seq", *[f"e.{c}" for c in rest])
 
-    def _write_log(self, batch_id: str, events: DataFrame) -> tuple[str, str]:
-        part = events.groupBy(*KEYS, "lsn").agg(
-            F.max_by("state", "seq").alias("state"), F.min_by("old_state", "seq").alias("first_old"),
-            F.max("seq").alias("last_seq"), F.min("seq").alias("first_seq"),
+    def changes(self, touched: DataFrame | None = None, parts: dict[str, str] | None = None) -> DataFrame:
+        """One row per key and LSN of the touched rows (of every row for None), untold values carried over."""
+        raw = self.log(parts)
+        if touched is not None:
+            raw = raw.join(touched.select(*KEYS).distinct(), KEYS, "left_semi")
+            raw = materialize(raw, "touched")  # read again for hot rows
+        ready = raw.filter("alive IS NULL").select(*KEYS, "lsn", "seq", "state", "old_state")
+        told = filled(raw.filter("alive IS NOT NULL").drop("state", "batch"), self.hot_rows)
+        return ready.unionByName(told).groupBy(*KEYS, "lsn").agg(
+            F.max_by("state", "seq").alias("state"), F.min_by("old_state", "seq").alias("first_old")
         )
-        return f"log-{batch_id}", self.store.write_part(part, f"log-{batch_id}")
+
+    def _write_log(self, m: dict, batch_id: str, events: DataFrame) -> tuple[dict, str]:
+        """The manifest with the batch's log part, and its path.  A repeated batch keeps its place."""
+        name = f"log-{batch_id}"
+        order = {name: m["version"]} | m.get("order", {})
+        want = {"alive": "boolean", "state": "bigint"} | {f"v_{c}": "bigint" for c in self.columns}
+        events = events.withColumns({c: F.lit(None).cast(t) for c, t in want.items() if c not in events.columns})
+        events = events.select(*KEYS, "lsn", "seq", "old_state", *want, F.lit(order[name]).cast("bigint").alias("batch"))
+        path = self.store.write_part(events, name)
+        return m | {"parts": m["parts"] | {name: path}, "order": order}, path
 
     def append(self, batch_id: str, events: DataFrame) -> None:
         """Store a batch of events without building chains."""
-        name, path = self._write_log(batch_id, events)
-        m = self.store.manifest()
-        self.store.commit(m | {"parts": m["parts"] | {name: path}})
+        self.store.commit(self._write_log(self.store.manifest(), batch_id, events)[0])
 
     def rebuild(self, touched: DataFrame | None = None, parts: dict[str, str] | None = None) -> DataFrame:
         """Chains of the touched rows from all their raw changes (of every row for None)."""
-        raw = self.changes(parts)
-        if touched is not None:
-            raw = raw.join(touched.select(*KEYS).distinct(), KEYS, "left_semi")
-        return build_chains(raw, self.hot_rows)
+        return build_chains(materialize(self.changes(touched, parts), "changes"), self.hot_rows)
 
     def refresh(self, batch_id: str, events: DataFrame) -> None:
         """Append a batch, rebuild the chains it touches and swap in the buckets that hold them.
@@ -122,9 +139,8 @@ class HistoryStore:
         and all new chains together, so a failure at any point changes nothing and the batch may
         be run again.
         """
-        m = self.store.manifest()
-        name, path = self._write_log(batch_id, events)
-        parts = m["parts"] | {name: path}
+        m, path = self._write_log(self.store.manifest(), batch_id, events)
+        parts = m["parts"]
         touched = self.store.spark.read.parquet(path).select(*KEYS).distinct()
         chains = self.rebuild(touched, parts).withColumn("bucket", self._bucket())
         hit = [r[0] for r in touched.select(self._bucket()).distinct().collect()]  # at most `buckets` numbers
@@ -216,19 +232,19 @@ def filled(events: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     return out.select(*KEYS, "lsn", "seq", state.alias("state"), "old_state")
 
 
-def history_events(wal_updates: DataFrame, row_changes: DataFrame, wal_transactions: DataFrame, relations: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
-    """Committed events of all tables that keep history, with the state each one leaves."""
+def history_events(wal_updates: DataFrame, row_changes: DataFrame, wal_transactions: DataFrame, relations: DataFrame) -> DataFrame:
+    """Committed events of all tables that keep history: signed ones with the state they leave,
+    typed ones with the values they tell (``HistoryStore`` carries those over)."""
     signed = changelog.wal_events(wal_updates, relations, hashed=True, keep_history=True)
     signed = changelog.committed(signed, wal_transactions).select(
         *KEYS, "lsn", "seq", "state", F.lit(None).cast("bigint").alias("old_state")
     )
-    typed = materialize(changelog.committed(issue_events(row_changes), wal_transactions), "issue-events")
-    typed = filled(typed, hot_rows)
-    return signed.unionByName(typed)
+    typed = changelog.committed(issue_events(row_changes), wal_transactions)
+    return signed.unionByName(typed, allowMissingColumns=True)
 
 
 def full_history(wal_updates: DataFrame, row_changes: DataFrame, wal_transactions: DataFrame, relations: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     """(table_name, row_key, valid_from, valid_to, state): a first load, where every row is touched."""
     store = HistoryStore(wal_updates.sparkSession, scratch(wal_updates.sparkSession, "history"), hot_rows=hot_rows)
-    store.append("first", history_events(wal_updates, row_changes, wal_transactions, relations, hot_rows))
+    store.append("first", history_events(wal_updates, row_changes, wal_transactions, relations))
     return store.rebuild()

@@ -9,7 +9,7 @@ from tidemark.catalog import table
 from tidemark.operators import dedupe, history, incremental, skew
 from tidemark.operators.lsm import LsmTable
 from tidemark.queries.delivery_sql import ORACLE as ORACLE
-from tidemark.session import materialize, scratch
+from tidemark.session import scratch
 from tidemark.sources import changelog
 
 
@@ -42,12 +42,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_refreshed(spark: SparkSession, sf: str) -> DataFrame:
     """The same history from a first load without every fourth transaction, and those as a late batch."""
-    tables = [table(spark, sf, t) for t in ("wal_updates", "row_changes", "wal_transactions", "relations")]
-    events = materialize(history.history_events(*tables), "events")
+    wal, rc, tx, rel = (table(spark, sf, t) for t in ("wal_updates", "row_changes", "wal_transactions", "relations"))
     store = history.HistoryStore(spark, scratch(spark, "history"))
-    late = F.pmod(F.xxhash64("lsn"), F.lit(4)) == 0
-    store.refresh("first", events.filter(~late))
-    store.refresh("late", events.filter(late))
+    for batch, late in (("first", False), ("late", True)):
+        part = lambda df, lsn: df.filter((F.pmod(F.xxhash64(lsn), F.lit(4)) == 0) == late)  # noqa: B023, E731
+        store.refresh(batch, history.history_events(part(wal, "wal_time"), part(rc, "commit_lsn"), part(tx, "commit_lsn"), rel))
     return store.read().select("table_name", "row_key", "valid_from", "valid_to")
 
 
