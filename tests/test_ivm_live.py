@@ -10,7 +10,7 @@ from tidemark.session import scratch
 from tidemark.sources import sinks
 from tidemark.streaming import deltas as S
 from tidemark.streaming import ivm as V
-from tidemark.streaming.live import CHANGE, Hub, LiveView, MaterializedKeys, Reason, SchemaDriftError
+from tidemark.streaming.live import CHANGE, Hub, LateChangeError, LiveView, MaterializedKeys, Reason, SchemaDriftError
 from tidemark.streaming.optimistic import LocalWrites
 
 A, B = V.Source("a"), V.Source("b")
@@ -139,6 +139,31 @@ def test_streamed_log(spark, rows):
     assert rows(v.result()) == [(1, 1, 1), (2, 2, 6)]
 
 
+def test_transactions_across_batches(spark, rows):
+    """One file a batch: each transaction is whole in the view, and shown as one diff."""
+    v, whole, root = _view(spark), _view(spark), scratch(spark, "stream")
+    for c in LOG:
+        spark.createDataFrame([c], CHANGE).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    v.run(f"{root}/log", f"{root}/cp", files_per_batch=1).awaitTermination()
+    whole.apply(_log(spark, 10, 20, 30), "all")
+    assert rows(v.result()) == rows(whole.result()) and rows(v.diffs()) == rows(whole.diffs()) and v.lsn == 30
+
+
+def test_held_back_and_late_changes(spark, rows):
+    v = _view(spark)
+    one = lambda c: spark.createDataFrame([c], CHANGE)
+    commit = lambda lsn: one((None, lsn, lsn, None, "commit", None, None, None))
+    assert v.apply(one(LOG[0]), "b0", more=True) == 0 and v.lsn == 0
+    assert v.apply(one(LOG[1]).union(one(LOG[0])), "b1", more=True) == 0
+    assert v.apply(commit(10), "b2", more=True) == 1 and rows(v.result()) == [(1, 3, 13)]
+    v.compact(10)
+    assert v.apply(_log(spark, 10, 20), "b3", more=True) == 0 and v.settle() == 1 and v.settle() == 0
+    for late in (_change(10, 7, "I", None, (8, 8, 8)), _change(15, 0, "I", None, (8, 8, 8)), _change(20, 1, "I", None, (8, 8, 8))):
+        with pytest.raises(LateChangeError):
+            v.apply(one(late), "late")
+    assert v.apply(_log(spark, 10, 20), "b4") == 0 and rows(v.result()) == [(1, 2, 8), (2, 1, 5)]
+
+
 def test_subscriptions(spark, rows):
     v, hub = _view(spark), Hub(bound=2)
     m = hub.subscribe("s", v)

@@ -20,7 +20,7 @@ from tidemark.sources.store import Store
 from tidemark.streaming import deltas as S
 from tidemark.streaming.ivm import Node
 
-#: A typed change: op is I, U, D or T (truncate); images are JSON text.
+#: A typed change: op is I, U, D, T (truncate) or COMMIT (no row: its LSN is complete); images are JSON text.
 CHANGE = "table STRING, xid BIGINT, lsn BIGINT, seq INT, op STRING, old STRING, new STRING, unchanged_cols ARRAY<STRING>"
 
 
@@ -36,6 +36,24 @@ class SchemaDriftError(ValueError):
     """A table no longer has the columns it was registered with."""
 
 
+class LateChangeError(ValueError):
+    """A change at or below the view's position that the view has never had."""
+
+
+class DrainingQuery(StreamingQuery):
+    """A query over all that a folder holds now: once it ends, so does the transaction held back."""
+
+    def __init__(self, query: StreamingQuery, view: LiveView) -> None:
+        super().__init__(query._jsq)
+        self._view = view
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:
+        ended = super().awaitTermination(timeout)
+        if ended is not False:
+            self._view.settle()
+        return ended
+
+
 class LiveView:
     """One view over some tables, with its result, its diffs and its position in the log."""
 
@@ -89,7 +107,7 @@ class LiveView:
         view = S.consolidate(self.node.full(loaded))
         parts["view-seed"] = self.store.write_part(view, "view-seed")
         m = self.store.manifest()
-        self.store.commit(m | {"parts": parts, "lsn": lsn, "earliest": lsn, "batches": [], "schema": view.schema.jsonValue()})
+        self.store.commit(m | {"parts": parts, "lsn": lsn, "earliest": lsn, "seeded": lsn, "batches": [], "schema": view.schema.jsonValue()})
 
     def _checked(self, name: str, df: DataFrame) -> DataFrame:
         want = [(f.name, f.dataType) for f in self.schemas[name]]
@@ -106,19 +124,41 @@ class LiveView:
             d = S.concat(S.truncation(old, lsn).drop(S.LSN), after)
         return d
 
-    def apply(self, changes: DataFrame, batch_id: str) -> int:
-        """Apply committed changes above ``lsn``, one transaction after the other; returns their number.
+    def _unseen(self, changes: DataFrame, m: dict) -> DataFrame:
+        """Changes the view hasn't had, told by (lsn, seq); those in the seed are had as well."""
+        new = changes.filter(F.col("lsn") > m["lsn"])
+        again = changes.filter((F.col("lsn") <= m["lsn"]) & (F.col("lsn") > m.get("seeded", m["lsn"])))
+        if again.take(1):
+            seen = [p for n, p in sorted(m["parts"].items()) if n.startswith("seen-")]
+            late = again.join(self.spark.read.schema("lsn bigint, seq int").parquet(*seen), ["lsn", "seq"], "left_anti") if seen else again
+            if row := late.first():
+                raise LateChangeError(f"change ({row.lsn}, {row.seq}) of {row.table} came after the view reached {m['lsn']}")
+        return new
+
+    def apply(self, changes: DataFrame, batch_id: str, more: bool = False) -> int:
+        """Apply committed changes the view hasn't had, one transaction after the other; returns their number.
 
         A transaction is all changes of one LSN and gives one diff.  Repeated changes (same LSN and
-        seq) count once.
+        seq) count once; other changes at or below ``lsn`` are an error.  With ``more``, changes of
+        the last LSN may still come: it is held back until a higher LSN, its COMMIT or ``settle``.
         """
         m = self.store.manifest()
         if batch_id in m["batches"]:
             return 0
-        new = S.fence(changes, m["lsn"], "lsn").filter(F.col("table").isin(*self.node.sources())).dropDuplicates(["lsn", "seq"])
-        new = new.cache()
+        commit = F.coalesce(F.upper(F.trim("op")) == "COMMIT", F.lit(False))
+        held = [p for n, p in m["parts"].items() if n.startswith("held-")]
+        changes = (changes.unionByName(self.spark.read.schema(CHANGE).parquet(*held)) if held else changes).cache()
+        mine = changes.filter(F.col("table").isin(*self.node.sources()) & ~commit).dropDuplicates(["lsn", "seq"])
+        new = self._unseen(mine, m).cache()
         positions = [r[0] for r in new.select("lsn").distinct().orderBy("lsn").collect()]
-        parts = dict(m["parts"])
+        parts = {n: p for n, p in m["parts"].items() if not n.startswith("held-")}
+        last = changes.agg(F.max("lsn"), F.max(F.when(commit, F.col("lsn")))).first() if more and positions else (None, None)
+        if more and positions and positions[-1] == last[0] != last[1]:
+            name = f"held-{batch_id}"
+            parts[name] = self.store.write_part(new.filter(F.col("lsn") == positions.pop()), name)
+        if positions:
+            name = f"seen-{batch_id}"
+            parts[name] = self.store.write_part(new.filter(F.col("lsn") <= positions[-1]).select("lsn", "seq"), name)
         for lsn in positions:
             tx = new.filter(F.col("lsn") == lsn)
             paths = lambda prefix: [p for n, p in sorted(parts.items()) if n.startswith(prefix)]
@@ -133,20 +173,38 @@ class LiveView:
             path = self.store.write_part(delta.withColumn(S.LSN, F.lit(lsn).cast("bigint")), f"diff-{lsn:020d}-{batch_id}")
             parts[f"diff-{lsn:020d}-{batch_id}"] = parts[f"view-{batch_id}-{lsn}"] = path
         new.unpersist()
+        changes.unpersist()
         self.store.commit(m | {"parts": parts, "lsn": max([m["lsn"], *positions]), "batches": [*m["batches"], batch_id][-1000:]})
+        for p in held:
+            self.store.delete(p)
         return len(positions)
 
     def run(self, log_dir: str, checkpoint: str, available_now: bool = True, files_per_batch: int = 16) -> StreamingQuery:
-        """Stream a folder of change files (Parquet, schema ``CHANGE``) into the view."""
+        """Stream a folder of change files (Parquet, schema ``CHANGE``) into the view.
+
+        Files are taken in the order of their modification times, which must not step back in LSNs;
+        a transaction may lie in files of several batches.  With ``available_now`` the folder's last
+        transaction is complete; else it is shown after the next one or its COMMIT.
+        """
         stream = self.spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", files_per_batch).parquet(log_dir)
-        writer = stream.writeStream.foreachBatch(lambda df, i: self.apply(df, f"b{i}") and None).option("checkpointLocation", checkpoint)
-        return (writer.trigger(availableNow=True) if available_now else writer).start()
+        writer = stream.writeStream.foreachBatch(lambda df, i: self.apply(df, f"b{i}", more=True) and None).option("checkpointLocation", checkpoint)
+        return DrainingQuery(writer.trigger(availableNow=True).start(), self) if available_now else writer.start()
+
+    def settle(self) -> int:
+        """Apply the transaction that is held back, as complete."""
+        m = self.store.manifest()
+        if not any(n.startswith("held-") for n in m["parts"]):
+            return 0
+        return self.apply(self.spark.createDataFrame([], CHANGE), f"settled-{m['version']}")
 
     def compact(self, keep_after: int) -> None:
         """Fold base and view parts into one each and drop diffs up to ``keep_after``."""
         m = self.store.manifest()
         parts = {n: p for n, p in m["parts"].items() if n.startswith("diff-") and int(n.split("-")[1]) > keep_after}
+        parts |= {n: p for n, p in m["parts"].items() if n.startswith("held-")}
         tag = f"c{m['version']}"
+        if seen := self._parts("seen-"):
+            parts[f"seen-{tag}"] = self.store.write_part(self.spark.read.parquet(*seen).sort("lsn", "seq"), f"seen-{tag}")
         for n in self.node.sources():
             parts[f"base-{n}-{tag}"] = self.store.write_part(S.consolidate(self.table(n)), f"base-{n}-{tag}")
         parts[f"view-{tag}"] = self.store.write_part(self._net(), f"view-{tag}")
