@@ -139,6 +139,32 @@ def test_streamed_log(spark, rows):
     assert rows(v.result()) == [(1, 1, 1), (2, 2, 6)]
 
 
+def test_left_out_columns_and_null_ops(spark, rows):
+    """Full old images tell unchanged columns; else the row's earlier changes do, else the table; a null op is told by its images."""
+    c = lambda seq, op, old, new, kept=None, lsn=5: ("a", lsn, lsn, seq, op, old, new, kept)
+    log = [
+        c(0, "U", '{"id":1,"k":1,"v":1}', '{"id":1,"k":5}', ["v"]), c(1, None, '{"id":2}', '{"id":2,"k":6}', ["v"]),
+        c(2, "u", '{"id":2}', '{"id":2,"v":9}', ["k"]), c(3, "U", '{"id":3}', '{"id":4,"k":4,"v":4}'), c(4, "U", None, '{"id":4,"k":8}', ["v"]),
+        c(5, None, '{"id":5,"k":5,"v":5}', None), c(6, "D", '{"id":6}', None), c(7, "I", None, '{"id":6,"k":null,"v":0}'), c(8, None, None, '{"id":7,"k":7,"v":7}'),
+    ]
+    base = spark.createDataFrame([(i, i, i) for i in (1, 2, 3, 5, 6)], SCHEMA)
+    want = sorted([(1, 5, 1), (2, 6, 9), (4, 8, 4), (6, None, 0), (7, 7, 7)], key=repr)
+    df = spark.createDataFrame(log, CHANGE)
+    assert rows(S.expand(S.consolidate(S.concat(S.seed(base), S.from_changes(df, base.schema, base, ["id"]).drop("_lsn"))))) == want
+    v = LiveView(spark, scratch(spark, "lv"), V.Project(A, ["id", "k", "v"]), {"a": base.schema}, ["id"], {"a": ["id"]})
+    v.seed({"a": base})
+    v.apply(df, "b0")
+    assert rows(v.result()) == want
+    more = [c(0, "t", None, None, lsn=6), c(1, "I", None, '{"id":1,"k":2,"v":3}', lsn=6), c(2, "U", '{"id":1}', '{"id":1,"k":4}', ["v"], lsn=6)]
+    v.apply(spark.createDataFrame(more, CHANGE), "b1")
+    assert rows(v.result()) == [(1, 4, 3)]
+    full = S.from_changes(df.filter("seq IN (0, 5)"), base.schema).drop("_lsn")
+    assert rows(full) == sorted([(1, 1, 1, -1), (1, 5, 1, 1), (5, 5, 5, -1)], key=repr)
+    for lost in (S.from_changes(df.filter("seq = 1"), base.schema), S.from_changes(df.filter("seq = 4"), base.schema, base, ["id"])):
+        with pytest.raises(Exception, match="unchanged column|no earlier value"):
+            lost.collect()
+
+
 def test_transactions_across_batches(spark, rows):
     """One file a batch: each transaction is whole in the view, and shown as one diff."""
     v, whole, root = _view(spark), _view(spark), scratch(spark, "stream")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalog import table
+from tidemark.catalog import KEYS, table
 from tidemark.functions import dialect as D
 from tidemark.operators import recursion
 from tidemark.session import materialize, scratch
@@ -66,19 +66,28 @@ def _query(name: str, sql: str | None = None):
 
 
 def change_log(o: DataFrame, transactions: int = 4) -> DataFrame:
-    """The same change as a typed log in ``transactions`` LSNs."""
-    image = lambda **over: F.to_json(F.struct(*[over.get(c, F.col(c)).alias(c) for c in _COLUMNS]), {"ignoreNullFields": "false"})
+    """The same change as a typed log in ``transactions`` LSNs.
+
+    Of the updates, some leave the status out of the new image: with the full old image, or with
+    the key only, when the table's row must tell it.  Some have no op.
+    """
+    text = lambda cols, **over: F.to_json(F.struct(*[over.get(c, F.col(c)).alias(c) for c in cols]), {"ignoreNullFields": "false"})
+    image = lambda **over: text(_COLUMNS, **over)
     none = F.lit(None).cast("string")
     lsn = (F.col("o_orderkey") % transactions + 1).cast("bigint") * 100
-    rows = lambda where, op, old, new: o.filter(where).select(
+    third = F.expr("o_orderkey div 10 % 3")  # of the updates: complete, status kept, status kept with a key-only old image
+    rows = lambda where, op, old, new, kept=F.lit(None): o.filter(where).select(
         F.lit("orders").alias("table"), lsn.alias("xid"), lsn.alias("lsn"), F.col("o_orderkey").cast("int").alias("seq"),
-        F.lit(op).alias("op"), old.alias("old"), new.alias("new"), F.lit(None).cast("array<string>").alias("unchanged_cols"),
+        op.alias("op"), old.alias("old"), new.alias("new"), kept.cast("array<string>").alias("unchanged_cols"),
     )
-    moved = image(o_totalprice=F.col("o_totalprice") + 1, o_custkey=F.col("o_custkey") + 1)
+    over = {"o_totalprice": F.col("o_totalprice") + 1, "o_custkey": F.col("o_custkey") + 1}
+    moved = F.when(third == 0, image(**over)).otherwise(text([c for c in _COLUMNS if c != "o_orderstatus"], **over))
+    before = F.when(third == 2, text(["o_orderkey"])).otherwise(image())
+    op = F.when(F.expr("o_orderkey div 10 % 2 = 0"), "U")
     return (
-        rows("o_orderkey % 10 = 7", "D", image(), none)
-        .union(rows("o_orderkey % 10 = 3", "U", image(), moved))
-        .union(rows("o_orderkey % 10 = 1", "I", none, image(o_orderkey=F.col("o_orderkey") + 1000000000)))
+        rows("o_orderkey % 10 = 7", F.lit("D"), image(), none)
+        .union(rows("o_orderkey % 10 = 3", op, before, moved, F.when(third > 0, F.array(F.lit("o_orderstatus")))))
+        .union(rows("o_orderkey % 10 = 1", F.lit("I"), none, image(o_orderkey=F.col("o_orderkey") + 1000000000)))
     )
 
 
@@ -86,7 +95,7 @@ def change_log(o: DataFrame, transactions: int = 4) -> DataFrame:
 def cdc_apply(spark, sf):
     """Typed changes as signed rows, consolidated with the base."""
     o = _orders(spark, sf)
-    signed = S.from_changes(change_log(o), o.schema).drop(S.LSN)
+    signed = S.from_changes(change_log(o), o.schema, o, KEYS["orders"]).drop(S.LSN)
     return S.expand(S.consolidate(S.concat(S.seed(o), signed)))
 
 
@@ -238,7 +247,7 @@ def _live(spark: SparkSession, sf: str) -> LiveView:
     """A view of orders by customer, seeded from the table and fed by a streamed folder of changes."""
     o = _orders(spark, sf)
     root = scratch(spark, "live")
-    view = LiveView(spark, f"{root}/view", V.Summed(_O, ["o_custkey"], {"keys": "o_orderkey"}), {"orders": o.schema}, ["o_custkey"])
+    view = LiveView(spark, f"{root}/view", V.Summed(_O, ["o_custkey"], {"keys": "o_orderkey"}), {"orders": o.schema}, ["o_custkey"], KEYS)
     view.seed({"orders": o})
     _write_log(change_log(o), f"{root}/log", 24)  # more than one batch takes
     query = view.run(f"{root}/log", f"{root}/checkpoint")
@@ -256,7 +265,7 @@ def live_client(spark, sf):
     """A client folds the first snapshot and all diff events."""
     o = _orders(spark, sf)
     root = scratch(spark, "live")
-    view = LiveView(spark, f"{root}/view", V.Summed(_O, ["o_custkey"], {"keys": "o_orderkey"}), {"orders": o.schema}, ["o_custkey"])
+    view = LiveView(spark, f"{root}/view", V.Summed(_O, ["o_custkey"], {"keys": "o_orderkey"}), {"orders": o.schema}, ["o_custkey"], KEYS)
     view.seed({"orders": o})
     hub = Hub()
     first = materialize(hub.subscribe("s", view).rows, "first")

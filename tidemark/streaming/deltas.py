@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.changelog import change_kind
+
 DIFF, LSN = "_diff", "_lsn"
 
 
@@ -70,18 +72,96 @@ def matches(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
     return df.join(k, cond, "left_semi")
 
 
-def from_changes(changes: DataFrame, schema: T.StructType | str) -> DataFrame:
+def kind() -> Column:
+    """I, U, D, T or C (a COMMIT row) from any spelling of ``op``; without one, the images tell it."""
+    op = F.upper(F.trim("op"))
+    return F.when(op == "COMMIT", "C").when(F.substring(op, 1, 1) == "T", "T").otherwise(change_kind(F.col("op"), F.col("old"), F.col("new")))
+
+
+def _parsed(changes: DataFrame, schema: T.StructType) -> DataFrame:
+    """(lsn, seq, kind, old, new, told, kept): typed images, the fields the old one holds, the columns the new one leaves out."""
+    image = lambda c: F.from_json(c, schema, {"mode": "FAILFAST"}).alias(c)
+    none = F.array().cast("array<string>")
+    return changes.select("lsn", "seq", kind().alias("kind"), image("old"), image("new"),
+                          F.coalesce(F.json_object_keys("old"), none).alias("told"), F.coalesce("unchanged_cols", none).alias("kept")).filter("kind NOT IN ('T', 'C')")
+
+
+def untold(changes: DataFrame, schema: T.StructType) -> DataFrame:
+    """The changes that need more than their images: an update without a full old one."""
+    return _parsed(changes, schema).filter((F.col("kind") != "I") & (F.size("told") < len(schema)))
+
+
+def _completed(c: DataFrame, schema: T.StructType, base: DataFrame, key: list[str]) -> DataFrame:
+    """Images with the columns they leave out: from the row's earlier changes, else from ``base``.
+
+    An entry per change and row tells what the row holds after it: each value in a struct, null
+    where it stays as it was, with ``known`` false where the images don't tell it (the row is gone,
+    or came from another key).
+    """
+    cols = schema.fieldNames()
+    ident = lambda v: F.struct(*[F.col(f"{v}.{k}") for k in key])
+    before = F.when(F.col("old").isNotNull(), ident("old")).otherwise(ident("new"))
+    c = c.withColumns({"__at": before, "__to": F.when(F.col("new").isNotNull(), ident("new"))})
+    moved = F.coalesce(F.col("__at") != F.col("__to"), F.lit(False))
+    c = c.withColumn("__e", F.explode(F.array_compact(F.array(
+        F.struct(F.col("__at").alias("k"), F.lit(True).alias("own")), F.when(moved, F.struct(F.col("__to").alias("k"), F.lit(False).alias("own"))),
+    )))).withColumn("__k", F.col("__e.k"))
+    here = ~moved | ~F.col("__e.own")  # else the row left this key
+    left_out = lambda x: F.array_contains("kept", x)
+    value = lambda v, known=True: F.struct(F.lit(known).alias("known"), v.alias("value"))
+
+    def after(x: str) -> Column:
+        lost = value(F.lit(None).cast(schema[x].dataType), False)
+        return (
+            F.when((F.col("kind") == "D") | ~here, lost).when(F.col("new").isNotNull() & ~left_out(x), value(F.col(f"new.{x}")))
+            .when(F.array_contains("told", x), value(F.col(f"old.{x}"))).when(moved, lost)
+        )
+
+    b = (base if DIFF in base.columns else seed(base)).select(*cols, DIFF)
+    b = b.withColumn("__k", F.struct(*key)).join(c.select("__k").distinct(), "__k", "left_semi")
+    b = consolidate(b).filter(F.col(DIFF) > 0).select("__k", F.struct(*cols).alias("__base"))
+    w = Window.partitionBy("__k").orderBy("lsn", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumns({f"__s{i}": after(x) for i, x in enumerate(cols)})
+    c = c.withColumns({f"__s{i}": F.last(f"__s{i}", ignorenulls=True).over(w) for i in range(len(cols))})
+    c = c.filter("__e.own").join(b, "__k", "left")
+
+    def earlier(i: int, x: str) -> Column:
+        missing = F.raise_error(F.concat(F.lit(f"no earlier value of {x} for change "), F.struct("lsn", "seq").cast("string"))).cast(schema[x].dataType)
+        s = F.col(f"__s{i}")
+        return F.when(F.coalesce(s["known"], F.lit(False)), s["value"]).when(s.isNull() & F.col("__base").isNotNull(), F.col(f"__base.{x}")).otherwise(missing)
+
+    old = F.struct(*[F.when(F.array_contains("told", x), F.col(f"old.{x}")).otherwise(earlier(i, x)).alias(x) for i, x in enumerate(cols)])
+    new = F.struct(*[
+        F.when(left_out(x), F.when(F.array_contains("told", x), F.col(f"old.{x}")).otherwise(earlier(i, x))).otherwise(F.col(f"new.{x}")).alias(x)
+        for i, x in enumerate(cols)
+    ])
+    return c.select("lsn", "seq", "kind", F.when(F.col("kind") != "I", old).alias("old"), F.when(F.col("new").isNotNull(), new).alias("new"))
+
+
+def from_changes(changes: DataFrame, schema: T.StructType, base: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
     """Signed rows of a typed change log (op, old, new as JSON text, lsn): an insert adds its new row,
-    a delete takes its old one, an update does both.  Rows without image for a side add nothing.
+    a delete takes its old one, an update does both.  A null op is told by the images.
+
+    A column in ``unchanged_cols`` is taken from the old image.  With ``base``, the table before
+    these changes (plain or signed) with its ``key``, what the images leave out comes from the row's
+    earlier changes, else from ``base``; without, such a column is an error, and rows without image
+    for a side add nothing.
     """
-    sides = F.array(
-        F.struct(F.col("old").alias("image"), F.lit(-1).cast("bigint").alias(DIFF)),
-        F.struct(F.col("new").alias("image"), F.lit(1).cast("bigint").alias(DIFF)),
-    )
-    op = F.upper(F.substring(F.trim("op"), 1, 1))
-    used = ((F.col("e.image").isNotNull())) & ~((op == "I") & (F.col(f"e.{DIFF}") < 0)) & ~((op == "D") & (F.col(f"e.{DIFF}") > 0))
-    e = changes.filter(op != "T").select("lsn", "op", F.explode(sides).alias("e")).filter(used)
-    return e.select(F.from_json("e.image", schema, {"mode": "FAILFAST"}).alias("r"), F.col("lsn").alias(LSN), f"e.{DIFF}").select("r.*", DIFF, LSN)
+    c = _parsed(changes, schema)
+    if base is not None:
+        c = _completed(c, schema, base, key)
+    else:
+        lost = lambda x: F.raise_error(F.lit(f"unchanged column {x} is not in the old image")).cast(schema[x].dataType)
+        new = F.struct(*[
+            F.when(F.array_contains("kept", x), F.when(F.array_contains("told", x), F.col(f"old.{x}")).otherwise(lost(x))).otherwise(F.col(f"new.{x}")).alias(x)
+            for x in schema.fieldNames()
+        ])
+        c = c.withColumn("new", F.when(F.col("new").isNotNull() & (F.size("kept") > 0), new).otherwise(F.col("new")))
+    sides = F.array_compact(F.array(
+        F.when(F.col("old").isNotNull() & (F.col("kind") != "I"), F.struct(F.col("old").alias("r"), F.lit(-1).cast("bigint").alias(DIFF))),
+        F.when(F.col("new").isNotNull() & (F.col("kind") != "D"), F.struct(F.col("new").alias("r"), F.lit(1).cast("bigint").alias(DIFF))),
+    ))
+    return c.select(F.col("lsn").alias(LSN), F.explode(sides).alias("e")).select("e.r.*", f"e.{DIFF}", LSN)
 
 
 def truncation(table: DataFrame, lsn: int) -> DataFrame:

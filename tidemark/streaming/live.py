@@ -55,10 +55,17 @@ class DrainingQuery(StreamingQuery):
 
 
 class LiveView:
-    """One view over some tables, with its result, its diffs and its position in the log."""
+    """One view over some tables, with its result, its diffs and its position in the log.
 
-    def __init__(self, spark: SparkSession, root: str, node: Node, schemas: dict[str, T.StructType], keys: list[str] | None = None) -> None:
-        self.spark, self.node, self.schemas, self.keys = spark, node, schemas, keys
+    ``keys`` identify a row of the view, ``table_keys`` one of each table: changes whose images
+    leave something out need those.
+    """
+
+    def __init__(
+        self, spark: SparkSession, root: str, node: Node, schemas: dict[str, T.StructType], keys: list[str] | None = None,
+        table_keys: dict[str, list[str]] | None = None,
+    ) -> None:
+        self.spark, self.node, self.schemas, self.keys, self.table_keys = spark, node, schemas, keys, table_keys or {}
         self.store = Store(spark, root)
 
     # --- state ---------------------------------------------------------------------------------
@@ -117,12 +124,15 @@ class LiveView:
 
     def _signed(self, changes: DataFrame, name: str, lsn: int, old: DataFrame) -> DataFrame | None:
         mine = changes.filter(F.col("table") == name)
-        d = S.from_changes(mine, self.schemas[name]).drop(S.LSN)
-        if mine.filter("op = 'T'").take(1):
-            last = mine.filter("op = 'T'").agg(F.max("seq")).first()[0]
-            after = S.from_changes(mine.filter(F.col("seq") > last), self.schemas[name]).drop(S.LSN)
-            d = S.concat(S.truncation(old, lsn).drop(S.LSN), after)
-        return d
+        last = mine.filter(S.kind() == "T").agg(F.max("seq")).first()[0]
+        after = mine if last is None else mine.filter(F.col("seq") > last)
+        schema, key = self.schemas[name], self.table_keys.get(name)
+        base = old if last is None else old.limit(0)
+        if key and S.untold(after, schema).take(1):
+            d = S.from_changes(after, schema, base, key).drop(S.LSN)
+        else:
+            d = S.from_changes(after, schema).drop(S.LSN)
+        return d if last is None else S.concat(S.truncation(old, lsn).drop(S.LSN), d)
 
     def _unseen(self, changes: DataFrame, m: dict) -> DataFrame:
         """Changes the view hasn't had, told by (lsn, seq); those in the seed are had as well."""
