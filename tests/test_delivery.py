@@ -266,6 +266,29 @@ def test_file_manifest_survives_failure(spark, rows):
     assert second not in (None, first) and sorted(rows(m.read())) == [(0,), (2,), (4,), (20,), (22,)]
 
 
+def test_file_manifest_goes_by_content(spark, rows):
+    """A touched file isn't new; one replaced with the same size and time is."""
+    src, m = scratch(spark, "in"), incremental.FileManifest(spark, scratch(spark, "out"))
+    keep = lambda df: df.select("id")
+    spark.range(1, 2).coalesce(1).write.option("compression", "none").parquet(src)
+    first = m.run(src, keep)
+    (path, size, mtime), = m.store.listing(src)
+    m.store.touch(src)
+    assert m.store.listing(src) != [(path, size, mtime)] and m.run(src, keep) is None and rows(m.read()) == [(1,)]
+    other = scratch(spark, "other")
+    spark.range(2, 3).coalesce(1).write.option("compression", "none").parquet(other)
+    (new, new_size, _), = m.store.listing(other)
+    local = lambda p: p.removeprefix("file:")
+    content = open(local(new), "rb").read()
+    m.store.delete(path)
+    out = m.store._fs.create(m.store._path(path), True)
+    out.write(bytearray(content))
+    out.close()
+    m.store._fs.setTimes(m.store._path(path), mtime, -1)
+    assert m.store.listing(src) == [(path, size, mtime)] and new_size == size
+    assert m.run(src, keep) not in (None, first) and m.run(src, keep) is None and rows(m.read()) == [(1,), (2,)]
+
+
 # --- 5 ------------------------------------------------------------------------------------------
 
 

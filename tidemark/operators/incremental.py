@@ -21,7 +21,11 @@ MAX_LSN = (1 << 63) - 1
 
 
 class FileManifest:
-    """Runs a batch function over the input files that no successful run has had."""
+    """Runs a batch function over the input files that no successful run has had.
+
+    A file is told by path, size and a checksum of its content: one that was touched or copied over
+    itself isn't new, one that was replaced is, whatever its time.  Results of the earlier content stay.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.store = Store(spark, root)
@@ -29,12 +33,15 @@ class FileManifest:
     def _fresh(self, folder: str) -> list[dict]:
         """The listing anti-joined with the manifest on (path, size, checksum)."""
         done = {tuple(f) for part in self.store.manifest()["parts"].values() for f in part["files"]}
-        out = []
-        for path, size, mtime in self.store.listing(folder):
-            checksum = hashlib.sha256(f"{path}|{size}|{mtime}".encode()).hexdigest()
-            if (path, size, checksum) not in done:
-                out.append({"path": path, "size": size, "checksum": checksum})
-        return out
+        listed = [(path, size, checksum) for path, size, checksum in self._checksums([p for p, *_ in self.store.listing(folder)])]
+        return [{"path": p, "size": n, "checksum": c} for p, n, c in listed if (p, n, c) not in done]
+
+    def _checksums(self, paths: list[str]) -> list[tuple[str, int, str]]:
+        """(path, size, SHA-256 of the content), computed by the executors; a file is read whole (2 GB at most)."""
+        if not paths:
+            return []
+        files = self.store.spark.read.format("binaryFile").load(paths)
+        return sorted(tuple(r) for r in files.select("path", "length", F.sha2("content", 256)).collect())
 
     def run(self, folder: str, process: Callable[[DataFrame], DataFrame]) -> str | None:
         """Process what is new under ``folder``; returns the batch id, None if nothing is new.
@@ -45,7 +52,7 @@ class FileManifest:
         files = self._fresh(folder)
         if not files:
             return None
-        batch = hashlib.sha256("".join(f["checksum"] for f in files).encode()).hexdigest()[:16]
+        batch = hashlib.sha256("|".join(f"{f['path']}|{f['size']}|{f['checksum']}" for f in files).encode()).hexdigest()[:16]
         df = self.store.spark.read.parquet(*[f["path"] for f in files])
         path = self.store.write_part(process(df), f"batch={batch}")
         m = self.store.manifest()
@@ -135,12 +142,16 @@ def pending(listing: DataFrame, manifest: DataFrame, fan: int = 256) -> DataFram
     return placed.join(ranges, [sub, "__range"], "left").filter(~F.coalesce(covered, F.lit(False))).select(*[F.col(f"`{c}`") for c in listing.columns])
 
 
-def pending_messages(diff_payloads: DataFrame, sub_states: DataFrame, subscribe_requests: DataFrame, ack_requests: DataFrame) -> DataFrame:
-    """(subscription_id, lsn, chunk_index, batch_id) of the messages a run that starts now must get."""
-    listing = messages(diff_payloads.select("subscription_id", "lsn", "chunk_index", "batch_id")).groupBy(
+def message_listing(diff_payloads: DataFrame) -> DataFrame:
+    """(subscription_id, lsn, chunk_index, batch_id): each message with the batch it first came in."""
+    return messages(diff_payloads.select("subscription_id", "lsn", "chunk_index", "batch_id")).groupBy(
         "subscription_id", "lsn", "chunk_index"
     ).agg(F.min("batch_id").alias("batch_id")).dropna(subset=["subscription_id", "lsn", "chunk_index"])
-    return pending(listing, message_manifest(sub_states, subscribe_requests, ack_requests))
+
+
+def pending_messages(diff_payloads: DataFrame, sub_states: DataFrame, subscribe_requests: DataFrame, ack_requests: DataFrame) -> DataFrame:
+    """(subscription_id, lsn, chunk_index, batch_id) of the messages a run that starts now must get."""
+    return pending(message_listing(diff_payloads), message_manifest(sub_states, subscribe_requests, ack_requests))
 
 
 class MessageRuns:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from tidemark.catalog import table
 from tidemark.operators import dedupe, history, incremental, skew
 from tidemark.operators.lsm import LsmTable
 from tidemark.queries.delivery_sql import ORACLE as ORACLE
-from tidemark.session import scratch
+from tidemark.session import materialize, scratch
 from tidemark.sources import changelog
+from tidemark.sources.store import Store
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,6 +81,53 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.pending_messages(*tables).select("subscription_id", "lsn", "chunk_index")
 
 
+class _Stopped(Exception):
+    """A run ended on purpose, after its result was written and before its commit."""
+
+
+def _stopped(store: Store, run: Callable[[], object]) -> None:
+    def stop(manifest: dict) -> None:
+        raise _Stopped
+
+    commit, store.commit = store.commit, stop
+    try:
+        run()
+    except _Stopped:
+        pass
+    finally:
+        store.commit = commit
+
+
+def p4_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of messages that arrive in two lots, each processed once: one run stops before its commit, one finds only touched files."""
+    d = table(spark, sf, "diff_payloads").select("delivery_id", "batch_id", *dedupe.MESSAGE)
+    source = scratch(spark, "files")
+    runs = incremental.FileManifest(spark, scratch(spark, "file-runs"))
+    keep = lambda df: dedupe.messages(df).select("delivery_id", *dedupe.MESSAGE)
+    late = F.coalesce(F.col("batch_id") % 2 == 1, F.lit(False))
+    d.filter(~late).write.parquet(f"{source}/first")
+    runs.run(source, keep)
+    d.filter(late).write.parquet(f"{source}/late")
+    _stopped(runs.store, lambda: runs.run(source, keep))
+    runs.run(source, keep)
+    runs.store.touch(source)
+    runs.run(source, keep)
+    return runs.read()
+
+
+def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two consumer runs over a growing listing of messages, each message processed once; the second run stops once before its commit."""
+    listing = materialize(incremental.message_listing(table(spark, sf, "diff_payloads")), "listing")
+    middle = listing.agg(F.expr("(min(batch_id) + max(batch_id)) div 2")).first()[0] or 0
+    runs = incremental.MessageRuns(spark, scratch(spark, "runs"))
+    keep = lambda df: df.select("subscription_id", "lsn", "chunk_index")
+    runs.run("first", listing.filter(F.col("batch_id") <= middle), keep)
+    _stopped(runs.store, lambda: runs.run("second", listing, keep))
+    for _ in range(2):  # the second time it is committed
+        runs.run("second", listing, keep)
+    return runs.read()
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return skew.heavy_tables(table(spark, sf, "wal_updates"))
 
@@ -91,4 +141,4 @@ def p5_transactions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_batches, p2_found, p2_refreshed, p3_found, p3_compacted, p4_found, p5_found, p5_tables, p5_transactions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_batches, p2_found, p2_refreshed, p3_found, p3_compacted, p4_found, p4_files, p4_runs, p5_found, p5_tables, p5_transactions)}

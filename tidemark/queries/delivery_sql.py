@@ -105,5 +105,7 @@ WHERE n >= 0.05 * (SELECT count(*) FROM wal_updates)""",
     "p5_transactions": """SELECT wal_time, count(*) AS n_changes, sum(d)::BIGINT AS net, sum(n)::BIGINT AS n_rows
 FROM (SELECT wal_time, seq, max(diff) AS d, count(*) AS n FROM wal_updates GROUP BY 1, 2) GROUP BY 1""",
 }
+ORACLE["p4_files"] = _DELIVERIES + " SELECT delivery_id, sub AS subscription_id, l AS lsn, chunk_index FROM d"
+ORACLE["p4_runs"] = _DELIVERIES + " SELECT DISTINCT sub AS subscription_id, l AS lsn, chunk_index FROM d WHERE sub IS NOT NULL AND l IS NOT NULL AND chunk_index IS NOT NULL"
 ORACLE["p1_batches"] = _DELIVERIES + " SELECT delivery_id, sub AS subscription_id, l AS lsn, chunk_index FROM r WHERE n = 1"
 ORACLE["p2_refreshed"], ORACLE["p3_compacted"] = ORACLE["p2_found"], ORACLE["p3_found"]
