@@ -15,25 +15,43 @@ from tidemark.sources.store import Store
 
 
 class LsmTable:
-    """``keys`` identify a row, ``sequence`` orders its changes, ``alive`` false is a tombstone."""
+    """``keys`` identify a row, ``sequence`` orders its changes, ``alive`` false is a tombstone.
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], sequence: list[str], alive: str = "alive", max_runs: int = 8) -> None:
+    A change may leave ``carried`` columns null, which means untold: the row keeps the last value
+    told since its last tombstone.  Runs hold each with the sequence that told it.
+    """
+
+    def __init__(
+        self, spark: SparkSession, root: str, keys: list[str], sequence: list[str], alive: str = "alive", max_runs: int = 8, carried: tuple[str, ...] = ()
+    ) -> None:
+        self.carried = carried
         self.store, self.keys, self.sequence, self.alive, self.max_runs = Store(spark, root), keys, sequence, alive, max_runs
 
     def _last(self, changes: DataFrame) -> DataFrame:
         """The last change per key.  Equal sequences are repeats; a tombstone never hides a row of
         the same sequence (an update's removal and insertion share it)."""
-        rest = [c for c in changes.columns if c not in self.keys]
+        held = [*self.carried, "__gone"] if self.carried else []
+        rest = [c for c in changes.columns if c not in self.keys and c not in held]
         order: Column = F.struct(*self.sequence, self.alive)
         if set(rest) == {*self.sequence, self.alive}:
             picked = F.max(order)
         else:
             picked = F.max_by(F.struct(*rest), order)
-        return changes.groupBy(*self.keys).agg(picked.alias("__c")).select(*self.keys, *[F.col(f"__c.`{c}`").alias(c) for c in rest])
+        last = changes.groupBy(*self.keys).agg(picked.alias("__c"), *[F.max(c).alias(c) for c in held])
+        return last.select(*self.keys, *[F.col(f"__c.`{c}`").alias(c) for c in rest], *held)
+
+    def _told(self, changes: DataFrame) -> DataFrame:
+        """Carried columns, and the place of a tombstone, with their sequence."""
+        if not self.carried:
+            return changes
+        at = [F.col(c) for c in self.sequence]
+        changes = changes.withColumns({c: F.lit(None).cast("string") for c in self.carried if c not in changes.columns})
+        told = {c: F.when(F.col(c).isNotNull(), F.struct(F.struct(*at).alias("at"), F.col(c).alias("value"))) for c in self.carried}
+        return changes.withColumns(told | {"__gone": F.when(~F.col(self.alive), F.struct(*at))})
 
     def append(self, run_id: str, changes: DataFrame) -> None:
         """Append a run; appending the same id again replaces it."""
-        run = self._last(changes.dropna(subset=self.keys + self.sequence)).sortWithinPartitions(*self.keys, *self.sequence)
+        run = self._last(self._told(changes.dropna(subset=self.keys + self.sequence))).sortWithinPartitions(*self.keys, *self.sequence)
         path = self.store.write_part(run, f"run={run_id}")
         m = self.store.manifest()
         self.store.commit(m | {"parts": m["parts"] | {run_id: path}})
@@ -51,7 +69,9 @@ class LsmTable:
 
     def read(self) -> DataFrame:
         """The current rows with the sequence of their last change."""
-        return self._merged().filter(F.col(self.alive)).drop(self.alive)
+        rows = self._merged().filter(F.col(self.alive)).drop(self.alive)
+        since = lambda c: F.col("__gone").isNull() | (F.col(f"{c}.at") >= F.col("__gone"))
+        return rows.withColumns({c: F.when(since(c), F.col(f"{c}.value")) for c in self.carried}).drop("__gone")
 
     def compact(self) -> None:
         """Merge all runs into one; tombstones stay, as late changes may still arrive below them."""

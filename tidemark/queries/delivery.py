@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog import table
+from tidemark.functions import canon
 from tidemark.operators import dedupe, history, incremental, skew
 from tidemark.operators.lsm import LsmTable
 from tidemark.queries.delivery_sql import ORACLE as ORACLE
@@ -53,15 +54,17 @@ def p2_refreshed(spark: SparkSession, sf: str) -> DataFrame:
     return store.read().select("table_name", "row_key", "valid_from", "valid_to")
 
 
-def change_table(spark: SparkSession, sf: str) -> LsmTable:
-    """A merge table of all committed changes: the typed log is one run, the signed log two by arrival."""
+def change_table(spark: SparkSession, sf: str, payload: bool = False) -> LsmTable:
+    """A merge table of all committed changes: the typed log is one run (two with the rows' contents), the signed log two by arrival."""
     wal, rc, tx, rel = (table(spark, sf, t) for t in ("wal_updates", "row_changes", "wal_transactions", "relations"))
-    lsm = LsmTable(spark, scratch(spark, "lsm"), ["table_name", "row_key"], ["lsn", "seq"])
-    lsm.append("typed", changelog.committed(changelog.change_events(rc), tx))
+    lsm = LsmTable(spark, scratch(spark, "lsm"), ["table_name", "row_key"], ["lsn", "seq"], carried=("row_image", *canon.ISSUE_COLUMNS) if payload else ())
+    even = F.coalesce(F.col("seq") % 2 == 0, F.lit(False))  # changes of one row lie in both runs
+    for run, part in (("typed-1", rc.filter(even)), ("typed-2", rc.filter(~even))) if payload else (("typed", rc),):
+        lsm.append(run, changelog.committed(changelog.change_events(part, payload), tx))
     middle = wal.agg(F.expr("(min(batch_id) + max(batch_id)) div 2")).first()[0]  # reads one narrow column
     first = (F.col("batch_id") <= F.lit(middle)) & F.lit(middle is not None)
     for run, part in (("signed-1", wal.filter(first)), ("signed-2", wal.filter(~F.coalesce(first, F.lit(False))))):
-        lsm.append(run, changelog.committed(changelog.wal_events(part, rel), tx))
+        lsm.append(run, changelog.committed(changelog.wal_events(part, rel, payload=payload), tx))
     return lsm
 
 
@@ -69,6 +72,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return change_table(spark, sf).read().select("table_name", "row_key", "lsn")
 
 
+def p3_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The current rows themselves: typed ones put together from the last told value of each column."""
+    rows = change_table(spark, sf, payload=True).read()
+    fields = [F.concat(F.lit(f'"{c}":'), F.col(c)) for c in canon.ISSUE_COLUMNS]  # an untold one is left out
+    typed = F.concat(F.lit("{"), F.concat_ws(",", F.concat(F.lit('"id":'), F.col("row_key")), *fields), F.lit("}"))
+    return rows.select("table_name", "row_key", "lsn", F.when(F.col("table_name") == changelog.ISSUES, typed).otherwise(F.col("row_image")).alias("row_image"))
+
+
 def p3_compacted(spark: SparkSession, sf: str) -> DataFrame:
     """The same after the runs were merged into one."""
     lsm = change_table(spark, sf)
@@ -141,4 +152,4 @@ def p5_transactions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_batches, p2_found, p2_refreshed, p3_found, p3_compacted, p4_found, p4_files, p4_runs, p5_found, p5_tables, p5_transactions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_batches, p2_found, p2_refreshed, p3_found, p3_rows, p3_compacted, p4_found, p4_files, p4_runs, p5_found, p5_tables, p5_transactions)}

@@ -59,8 +59,25 @@ def change_kind(op: Column, old: Column, new: Column) -> Column:
     return F.when(first.isin("I", "U", "D"), first).otherwise(told)
 
 
+def _images() -> list[Column]:
+    """Both images, parsed once, and what tells where a column's value stands."""
+    image = lambda c: F.try_parse_json(canon.plain_numbers(F.col(c)))
+    full = F.coalesce(F.size(F.json_object_keys("old_row")) > 1, F.lit(False))
+    return [image("old_row").alias("ov"), image("new_row").alias("nv"), full.alias("full"), F.col("unchanged_cols")]
+
+
+def _told() -> Column:
+    text = lambda v, x: F.coalesce(F.to_json(F.try_variant_get(F.col(v), f"$.{x}", "variant")), F.lit("null"))
+    kept = lambda x: F.coalesce(F.array_contains("unchanged_cols", x), F.lit(False))
+    told = [F.when(~kept(x), text("nv", x)).when(F.col("full"), text("ov", x)).alias(x) for x in canon.ISSUE_COLUMNS]
+    return F.struct(*told).alias("told")
+
+
 def change_events(row_changes: DataFrame, payload: bool = False) -> DataFrame:
-    """(table_name, row_key, lsn, seq, alive[, row_image]) of typed changes.
+    """(table_name, row_key, lsn, seq, alive[, columns of the row]) of typed changes.
+
+    With ``payload``, each of ``canon.ISSUE_COLUMNS`` is JSON text, null where the change doesn't
+    tell it: a column in ``unchanged_cols`` is told by a full old image only.
 
     An update that moves the key also removes the row under its old key, just before.
     """
@@ -68,8 +85,10 @@ def change_events(row_changes: DataFrame, payload: bool = False) -> DataFrame:
     key = lambda c: canon.row_key(F.col(c), F.lit("int8"))
     c = row_changes.select(
         F.col("commit_lsn").alias("lsn"), "seq", kind.alias("kind"), key("old_row").alias("old_key"),
-        key("new_row").alias("new_key"), *(["new_row"] if payload else []),
+        key("new_row").alias("new_key"), *(_images() if payload else []),
     )
+    if payload:
+        c = c.select("lsn", "seq", "kind", "old_key", "new_key", _told())
     gone = F.when(
         F.col("old_key").isNotNull() & ((F.col("kind") == "D") | (F.col("old_key") != F.col("new_key"))),
         F.struct(F.col("old_key").alias("row_key"), F.lit(False).alias("alive")),
@@ -84,5 +103,5 @@ def change_events(row_changes: DataFrame, payload: bool = False) -> DataFrame:
     e = c.withColumn("e", F.explode(F.array_compact(F.array(gone, here))))
     cols = [F.lit(ISSUES).alias("table_name"), F.col("e.row_key").alias("row_key"), "lsn", "seq", F.col("e.alive").alias("alive")]
     if payload:
-        cols.append(F.when(F.col("e.alive"), F.col("new_row")).alias("row_image"))
+        cols += [F.when(F.col("e.alive"), F.col(f"told.{x}")).alias(x) for x in canon.ISSUE_COLUMNS]
     return e.select(*cols).dropna(subset=["row_key", "lsn", "seq"])
