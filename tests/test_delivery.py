@@ -161,6 +161,15 @@ def test_history_hot_rows_late_batches(spark, rows):
     assert rows(store.read().drop("state")) == expected
 
 
+def test_full_history_swaps_chains_in(spark, rows, monkeypatch):
+    """A first load goes through the touched set and the swap."""
+    ids, refresh = [], history.HistoryStore.refresh
+    monkeypatch.setattr(history.HistoryStore, "refresh", lambda self, batch_id, events: (ids.append(batch_id), refresh(self, batch_id, events)))
+    wal = spark.createDataFrame([(1, "core.records", '{"id":1}', 10, 0, 1)], WAL)
+    h = history.full_history(wal, spark.createDataFrame([], CHANGE), _tx(spark, 10), _relations(spark))
+    assert ids == ["first"] and rows(h.drop("state")) == [("core.records", "1", 10, -1)]
+
+
 def test_late_changes_refill_stored_ones(spark, rows):
     """Batches of raw changes give the history of all at once: a late or corrected change tells stored later ones."""
     import json

@@ -246,5 +246,5 @@ def history_events(wal_updates: DataFrame, row_changes: DataFrame, wal_transacti
 def full_history(wal_updates: DataFrame, row_changes: DataFrame, wal_transactions: DataFrame, relations: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     """(table_name, row_key, valid_from, valid_to, state): a first load, where every row is touched."""
     store = HistoryStore(wal_updates.sparkSession, scratch(wal_updates.sparkSession, "history"), hot_rows=hot_rows)
-    store.append("first", history_events(wal_updates, row_changes, wal_transactions, relations))
-    return store.rebuild()
+    store.refresh("first", history_events(wal_updates, row_changes, wal_transactions, relations))
+    return store.read()
