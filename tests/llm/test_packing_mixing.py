@@ -105,3 +105,14 @@ def test_mixture_of_nothing(spark):
     planned = M.plan(_sizes(spark, []), targets)
     assert [(r.used_tokens, r.scarce) for r in M.report(planned).collect()] == [(0, False)]
     assert M.select(_sizes(spark, []), targets, planned).count() == 0
+
+
+def test_long_documents_fill_the_budget():
+    """Documents longer than the greedy step can place are left to the knapsack, whatever is left."""
+    import pandas as pd
+
+    from tidemark.llm import mixing
+
+    pdf = pd.DataFrame({"source": "s", "tokens": [70_000, 90_000], "n": [1, 1], "target_share": 0.5, "max_repeats": 1, "total": 200_000})
+    plan = mixing.plan_source(pdf)
+    assert (plan["tokens"] * plan["extra"]).sum() == 90_000

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize, ship
 
-#: Most tokens that the knapsack fills; the greedy step before it leaves no more than that.
+#: Tokens left to the knapsack; where documents are longer than half of it, up to about one document more.
 KNAPSACK = 1 << 16
 PLAN = "source string, tokens long, n long, full_repeats int, extra long, source_tokens long, capacity double, budget double, scarce boolean"
 
@@ -66,7 +66,7 @@ def plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
                 k = min(b - extra[a], (left - KNAPSACK // 2) // a)
                 extra[a] += max(0, k)
                 left -= a * max(0, k)
-        for a, k in knapsack({a: b - extra[a] for a, b in zip(lengths, ns)}, min(left, KNAPSACK)).items():
+        for a, k in knapsack({a: b - extra[a] for a, b in zip(lengths, ns)}, left).items():
             extra[a] += k
     rows = [(pdf["source"].iloc[0], a, b, full, extra[a], size, float(most * size), budget, most * size < budget) for a, b in zip(lengths, ns)]
     rows = rows or [(pdf["source"].iloc[0], None, 0, most, 0, 0, 0.0, budget, 0 < budget)]
