@@ -1,15 +1,23 @@
 """A versioned folder of Parquet parts with an atomically replaced manifest.
 
 Works on any Hadoop file system the session can reach.  Readers only see parts that the manifest
-names, so a failed writer leaves nothing visible and may simply run again.  One writer at a time.
+names, and no part is ever written twice (each has a name of its own), so a writer that fails at any
+point leaves nothing visible and may simply run again.  One writer at a time: a commit over a
+manifest that has moved on is refused.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+class StaleManifestError(RuntimeError):
+    """Another writer committed in between."""
 
 
 class Store:
@@ -35,7 +43,9 @@ class Store:
             stream.close()
 
     def commit(self, manifest: dict) -> None:
-        """Replace the manifest: write aside, move the old one away, rename into place."""
+        """Replace the manifest that ``manifest`` was made from: write aside, move the old one away, rename into place."""
+        if manifest["version"] != self.manifest()["version"]:
+            raise StaleManifestError(self.root)
         manifest = manifest | {"version": manifest["version"] + 1}
         tmp = self._path(f"{self.root}/_manifest.{uuid.uuid4().hex}")
         out = self._fs.create(tmp, True)
@@ -49,12 +59,65 @@ class Store:
             raise OSError(f"cannot commit {live}")
         self._fs.delete(old, False)
 
-    def write_part(self, df: DataFrame, name: str) -> str:
-        """Write a part under a fixed name; writing it again replaces the failed attempt."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    def fresh(self, name: str) -> str:
+        """A path no part has had."""
+        return f"{self.root}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def write_part(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> str:
+        """Write a part under a fresh path, in folders of the columns ``by``; it is seen once a manifest names it."""
+        path = self.fresh(name)
+        w = df.write.option("compression", "zstd")
+        (w.partitionBy(*by) if by else w).parquet(path)
         return path
 
+    def write_buckets(self, df: DataFrame, name: str, keys: list[str], sort: list[str], buckets: int) -> dict:
+        """Write a part whose rows are hashed by ``keys`` into one file a bucket, each sorted.
+
+        Rows that are already hashed by ``keys`` into as many partitions aren't moved again.
+        """
+        spark, path = self.spark, self.fresh(name)
+        if buckets != int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.repartition(buckets, *keys)
+        table = f"tidemark_{uuid.uuid4().hex}"
+        w = df.write.format("parquet").option("compression", "zstd").option("path", path)
+        try:
+            w.bucketBy(buckets, *keys).sortBy(*sort).saveAsTable(table)
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")  # the files stay
+        return {"path": path, "buckets": buckets, "schema": df.schema.jsonValue()}
+
+    def read_buckets(self, parts: list[dict], keys: list[str], sort: list[str]) -> DataFrame:
+        """Several parts of ``write_buckets`` as one: bucket i of all of them is one task, so groups,
+        windows and joins on ``keys`` need no exchange, and a sort meets runs that are sorted already.
+        (Parts with another number of buckets are joined to them by a union, behind an exchange.)"""
+        counts = sorted({p["buckets"] for p in parts})
+        return reduce(DataFrame.unionByName, [self._bucketed([p for p in parts if p["buckets"] == n], keys, sort) for n in counts])
+
+    def _bucketed(self, parts: list[dict], keys: list[str], sort: list[str]) -> DataFrame:
+        """One table with a partition a part: only the catalog can tell Spark of buckets.  The entry
+        has no files of its own."""
+        spark, table = self.spark, f"tidemark_{uuid.uuid4().hex}"
+        names = lambda cols: ", ".join(f"`{c}`" for c in cols)
+        columns = T.StructType.fromJson(parts[0]["schema"]).toDDL()
+        spark.sql(
+            f"CREATE TABLE {table} ({columns}, __part INT) USING parquet PARTITIONED BY (__part) CLUSTERED BY ({names(keys)}) "
+            f"SORTED BY ({names(sort)}) INTO {parts[0]['buckets']} BUCKETS LOCATION '{self.root}'"
+        )
+        spark.sql(f"ALTER TABLE {table} ADD " + " ".join(f"PARTITION (__part = {i}) LOCATION '{p['path']}'" for i, p in enumerate(parts)))
+        return spark.table(table).drop("__part")
+
+    def size(self, path: str) -> int:
+        """Bytes below ``path``."""
+        return self._fs.getContentSummary(self._path(path)).getLength()
+
+    def vacuum(self) -> None:
+        """Delete what failed writers and replaced parts have left: folders that the manifest doesn't name."""
+        named = json.dumps(self.manifest())
+        for f in self._fs.listStatus(self._path(self.root)):
+            name = f.getPath().getName()
+            if f.isDirectory() and f"/{name}" not in named:
+                self._fs.delete(f.getPath(), True)
+
     def listing(self, path: str) -> list[tuple[str, int, int]]:
         """(path, size, modification time) of the data files below ``path``."""
         out, it = [], self._fs.listFiles(self._path(path), True)
@@ -65,6 +128,11 @@ class Store:
                 out.append((p, f.getLen(), f.getModificationTime()))
         return sorted(out)
 
+    def checksum(self, path: str) -> str | None:
+        """The checksum of a file's content that the file system keeps, if it does."""
+        c = self._fs.getFileChecksum(self._path(path))
+        return None if c is None else c.toString()
+
     def touch(self, path: str) -> None:
         """New modification times for the data files below ``path``."""
         for p, _, mtime in self.listing(path):
