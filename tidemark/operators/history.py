@@ -1,16 +1,19 @@
 """History of changing rows: every version with the period in which it was valid.
 
-Raw changes are kept per row; a late or corrected change makes the operator fetch all raw changes
-of the touched rows only, carry told values over them, rebuild all their intervals and swap those
-chains in at once.
+Raw changes are kept per row; a late or corrected change, or a late commit, makes the operator fetch
+all raw changes of the touched rows only (from the buckets those lie in), carry told values over
+them, rebuild all their intervals and swap those chains in at once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import canon
+from tidemark.operators.dedupe import arrivals
 from tidemark.operators.skew import split_hot
 from tidemark.session import materialize, scratch
 from tidemark.sources import changelog
@@ -76,89 +79,156 @@ def build_chains(changes: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
 
 
 class HistoryStore:
-    """Raw changes and version chains of rows, in ``buckets`` folders by row key.
+    """Raw changes, commits and version chains of rows.
 
     An event (``KEYS``, lsn, seq, old_state) holds a ready ``state``, or ``alive`` and the digests
     ``v_<column>`` of ``columns`` it tells: those are stored as they came, and each rebuild carries
-    told values over all batches.
+    told values over all batches.  Changes without a commit so far wait in parts of their own.
+
+    Log parts lie in folders by bucket of the row, several files where one row has very many
+    changes.  Chains are never rewritten by a batch: a batch adds the new chains of the rows it
+    touches, and the latest chain of a row counts.  ``fan`` parts are folded into one, with more
+    buckets where they have outgrown ``bucket_bytes``.
     """
 
     def __init__(
-        self, spark: SparkSession, root: str, buckets: int = 16, hot_rows: int = 1_000_000, columns: tuple[str, ...] = canon.ISSUE_COLUMNS
+        self, spark: SparkSession, root: str, buckets: int | None = None, hot_rows: int = 1_000_000,
+        columns: tuple[str, ...] = canon.ISSUE_COLUMNS, fan: int = 8, bucket_bytes: int = 256 << 20,
     ) -> None:
-        self.store, self.buckets, self.hot_rows, self.columns = Store(spark, root), buckets, hot_rows, columns
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*KEYS), F.lit(self.buckets)).cast("int")
-
-    def log(self, parts: dict[str, str] | None = None) -> DataFrame:
-        """All stored events, one for each key, LSN and seq of several batches: the latest batch counts."""
-        parts = self.store.manifest()["parts"] if parts is None else parts
-        logs = sorted(p for n, p in parts.items() if n.startswith("log"))
-        raw = self.store.spark.read.parquet(*logs)
-        if len(logs) == 1:
-            return raw
-        rest = [c for c in raw.columns if c not in (*KEYS, "lsn", "seq")]
-        last = raw.groupBy(*KEYS, "lsn", "seq").agg(F.max_by(F.struct(*rest), "batch").alias("e"))
-        return last.select(*KEYS, "lsn", "seq", *[f"e.{c}" for c in rest])
-
-    def changes(self, touched: DataFrame | None = None, parts: dict[str, str] | None = None) -> DataFrame:
-        """One row per key and LSN of the touched rows (of every row for None), untold values carried over."""
-        raw = self.log(parts)
+        self.store, self.hot_rows, self.columns, self.fan, self.bucket_bytes = Store(spark, root), hot_rows, columns, fan, bucket_bytes
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    # --- parts ---------------------------------------------------------------------------------
+
+    def _parts(self, m: dict, kind: str) -> list[str]:
+        return [p["path"] for _, p in sorted(m["parts"].items()) if p["kind"] == kind]
+
+    def _event_schema(self) -> str:
+        cols = "".join(f", v_{c} bigint" for c in self.columns)
+        return f"table_name string, row_key string, lsn bigint, seq int, old_state bigint, alive boolean, state bigint{cols}, batch bigint"
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        spark = self.store.spark
+        if not paths:
+            return spark.createDataFrame([], schema)
+        names = [c.split()[0] for c in schema.split(", ")]
+        return reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(p).select(*names) for p in paths])
+
+    @staticmethod
+    def _bucket(buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int")
+
+    def _write(self, df: DataFrame, name: str, by: tuple[str, ...], order: list[str], buckets: int) -> str:
+        """Rows of a bucket meet in few tasks, of a very large one in several (AQE splits it)."""
+        df = df.withColumn("bucket", self._bucket(buckets)).hint("rebalance", "bucket")
+        return self.store.write_part(df.sortWithinPartitions(*by, *order), name, by)
+
+    # --- batches -------------------------------------------------------------------------------
+
+    def log(self, m: dict | None = None, touched: DataFrame | None = None) -> DataFrame:
+        """The committed events of the touched rows (of all for None), one for each key, LSN and
+        seq: of several batches the latest counts."""
+        m = m or self.store.manifest()
+        schema = self._event_schema() + ", bucket int"
+        paths = self._parts(m, "log")
+        raw = self._read(paths, schema)
         if touched is not None:
-            raw = raw.join(touched.select(*KEYS).distinct(), KEYS, "left_semi")
-            raw = materialize(raw, "touched")  # read again for hot rows
+            hit = [r[0] for r in touched.select(self._bucket(m["buckets"])).distinct().collect()]  # at most as many as buckets
+            raw = raw.filter(F.col("bucket").isin(hit)) if len(hit) < m["buckets"] else raw
+            raw = raw.join(touched, KEYS, "left_semi")
+        if len(paths) > 1:
+            rest = [c for c in raw.columns if c not in (*KEYS, "lsn", "seq", "bucket")]
+            raw = raw.groupBy(*KEYS, "lsn", "seq").agg(F.max_by(F.struct(*rest), "batch").alias("e")).select(*KEYS, "lsn", "seq", "e.*")
+        return raw.drop("bucket")
+
+    def changes(self, raw: DataFrame) -> DataFrame:
+        """One row per key and LSN, untold values carried over; ``raw`` should be cheap to read again."""
         ready = raw.filter("alive IS NULL").select(*KEYS, "lsn", "seq", "state", "old_state")
         told = filled(raw.filter("alive IS NOT NULL").drop("state", "batch"), self.hot_rows)
         return ready.unionByName(told).groupBy(*KEYS, "lsn").agg(
             F.max_by("state", "seq").alias("state"), F.min_by("old_state", "seq").alias("first_old")
         )
 
-    def _write_log(self, m: dict, batch_id: str, events: DataFrame) -> tuple[dict, str]:
-        """The manifest with the batch's log part, and its path.  A repeated batch keeps its place."""
-        name = f"log-{batch_id}"
-        order = {name: m["version"]} | m.get("order", {})
-        want = {"alive": "boolean", "state": "bigint"} | {f"v_{c}": "bigint" for c in self.columns}
-        events = events.withColumns({c: F.lit(None).cast(t) for c, t in want.items() if c not in events.columns})
-        events = events.select(*KEYS, "lsn", "seq", "old_state", *want, F.lit(order[name]).cast("bigint").alias("batch"))
-        path = self.store.write_part(events, name)
-        return m | {"parts": m["parts"] | {name: path}, "order": order}, path
-
-    def append(self, batch_id: str, events: DataFrame) -> None:
-        """Store a batch of events without building chains."""
-        self.store.commit(self._write_log(self.store.manifest(), batch_id, events)[0])
-
-    def rebuild(self, touched: DataFrame | None = None, parts: dict[str, str] | None = None) -> DataFrame:
+    def rebuild(self, m: dict | None = None, touched: DataFrame | None = None) -> DataFrame:
         """Chains of the touched rows from all their raw changes (of every row for None)."""
-        return build_chains(materialize(self.changes(touched, parts), "changes"), self.hot_rows)
+        raw = self.log(m, touched)
+        if touched is not None:
+            raw = materialize(raw, "touched")
+        return build_chains(materialize(self.changes(raw), "changes"), self.hot_rows)
 
-    def refresh(self, batch_id: str, events: DataFrame) -> None:
-        """Append a batch, rebuild the chains it touches and swap in the buckets that hold them.
+    def refresh(self, batch_id: str, events: DataFrame, commits: DataFrame | None = None) -> None:
+        """Store a batch, rebuild the chains of the rows it touches and swap them in.
 
-        Everything is written beside the live parts; one manifest replacement shows the log part
-        and all new chains together, so a failure at any point changes nothing and the batch may
-        be run again.
+        ``commits`` (lsn) are the transactions known to be committed from now on: events of others
+        wait for theirs, and a commit touches the rows of the events that waited for it.  Without
+        ``commits`` every event counts.  Everything is written beside the live parts; one manifest
+        replacement shows all of it, so a failure at any point changes nothing and the batch may be
+        run again.  A batch that was committed isn't taken again.
         """
-        m, path = self._write_log(self.store.manifest(), batch_id, events)
-        parts = m["parts"]
-        touched = self.store.spark.read.parquet(path).select(*KEYS).distinct()
-        chains = self.rebuild(touched, parts).withColumn("bucket", self._bucket())
-        hit = [r[0] for r in touched.select(self._bucket()).distinct().collect()]  # at most `buckets` numbers
-        old = [parts[f"chain-{b}"] for b in hit if f"chain-{b}" in parts]
-        if old:
-            kept = self.store.spark.read.parquet(*old).join(touched, KEYS, "left_anti")
-            chains = kept.withColumn("bucket", self._bucket()).unionByName(chains)
-        path = f"{self.store.root}/chains-{m['version']}-{batch_id}"
-        chains.repartition(F.col("bucket")).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
-        new = {f"chain-{b}": f"{path}/bucket={b}" for b in hit if self.store.exists(f"{path}/bucket={b}")}
-        rest = {n: p for n, p in parts.items() if n not in {f"chain-{b}" for b in hit}}
-        self.store.commit(m | {"parts": rest | new})
+        m = self.store.manifest()
+        if batch_id in m.get("done", []):
+            return
+        at, spark = m["version"], self.store.spark
+        m = {"buckets": self.buckets} | m | {"done": [*m.get("done", []), batch_id]}
+        parts = {n: p for n, p in m["parts"].items() if p["kind"] != "waiting"}
+        want = {"alive": "boolean", "state": "bigint", "old_state": "bigint"} | {f"v_{c}": "bigint" for c in self.columns}
+        events = events.withColumns({c: F.lit(None).cast(t) for c, t in want.items() if c not in events.columns})
+        events = events.withColumn("batch", F.lit(at).cast("bigint")).select(*[c.split()[0] for c in self._event_schema().split(", ")])
+        if commits is None:
+            events = events.withColumn("waits", F.lit(False))
+        else:
+            path = self.store.write_part(commits.toDF("lsn").dropna().distinct(), f"commits-{batch_id}")
+            parts[f"commit-{at:06d}"] = {"kind": "commit", "path": path}
+            events = events.unionByName(self._read(self._parts(m, "waiting"), self._event_schema()))
+            known = self._read(self._parts({"parts": parts}, "commit"), "lsn bigint").distinct().withColumn("__known", F.lit(True))
+            events = events.join(known, "lsn", "left").withColumn("waits", F.col("__known").isNull()).drop("__known")
+        path = self._write(events, f"log-{batch_id}", ("waits", "bucket"), [*KEYS, "lsn", "seq"], m["buckets"])
+        for kind, waits in (("log", "false"), ("waiting", "true")):
+            if self.store.exists(f"{path}/waits={waits}"):
+                parts[f"{kind}-{at:06d}"] = {"kind": kind, "path": f"{path}/waits={waits}"}
+        m = m | {"parts": parts}
+        if f"log-{at:06d}" in parts:
+            mine = self._read([parts[f"log-{at:06d}"]["path"]], self._event_schema())
+            touched = materialize(mine.select(*KEYS).distinct(), "touched-rows")
+            chains = self.rebuild(m, touched).unionByName(touched, allowMissingColumns=True).withColumn("batch", F.lit(at).cast("bigint"))
+            path = self._write(chains, f"chains-{batch_id}", ("bucket",), [*KEYS, "valid_from"], m["buckets"])
+            parts[f"chain-{at:06d}"] = {"kind": "chain", "path": path}
+        self.store.commit(m)
+        if max(len(self._parts(m, k)) for k in ("log", "chain", "commit")) > self.fan:
+            self.compact()
+
+    def _chains(self, m: dict) -> DataFrame:
+        """The latest chain of each row, with the mark (a row without ``valid_from``) that it was touched."""
+        schema = "table_name string, row_key string, valid_from bigint, valid_to bigint, state bigint, batch bigint"
+        paths = self._parts(m, "chain")
+        chains = self._read(paths, schema)
+        if len(paths) < 2:
+            return chains
+        latest = chains.filter("valid_from IS NULL").groupBy(*KEYS).agg(F.max("batch").alias("batch"))
+        return chains.join(latest, [*KEYS, "batch"], "left_semi").select(*chains.columns)
 
     def read(self) -> DataFrame:
         """All chains; no rows before the first refresh that built some."""
-        parts = [p for n, p in self.store.manifest()["parts"].items() if n.startswith("chain")]
-        schema = "table_name string, row_key string, valid_from bigint, valid_to bigint, state bigint"
-        return self.store.spark.read.schema(schema).parquet(*sorted(parts)) if parts else self.store.spark.createDataFrame([], schema)
+        return self._chains(self.store.manifest()).filter("valid_from IS NOT NULL").drop("batch")
+
+    def compact(self) -> None:
+        """Fold all parts of a kind into one."""
+        m = self.store.manifest()
+        buckets, old = m["buckets"], m["parts"]
+        while sum(self.store.size(p) for p in self._parts(m, "log")) > buckets * self.bucket_bytes:
+            buckets *= 2
+        parts = {n: p for n, p in old.items() if p["kind"] == "waiting"}
+        tag = f"{m['version']:06d}"
+        log = self.log(m).select(*[c.split()[0] for c in self._event_schema().split(", ")])
+        parts[f"log-{tag}"] = {"kind": "log", "path": self._write(log, "log-compacted", ("bucket",), [*KEYS, "lsn", "seq"], buckets)}
+        path = self._write(self._chains(m), "chains-compacted", ("bucket",), [*KEYS, "valid_from"], buckets)
+        parts[f"chain-{tag}"] = {"kind": "chain", "path": path}
+        if commits := self._parts(m, "commit"):
+            path = self.store.write_part(self._read(commits, "lsn bigint").distinct(), "commits-compacted")
+            parts[f"commit-{tag}"] = {"kind": "commit", "path": path}
+        self.store.commit(m | {"buckets": buckets, "parts": parts})
+        for n in old.keys() - parts.keys():
+            self.store.delete(old[n]["path"])
 
 
 def issue_events(row_changes: DataFrame, columns: tuple[str, ...] = canon.ISSUE_COLUMNS) -> DataFrame:
@@ -232,19 +302,24 @@ def filled(events: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     return out.select(*KEYS, "lsn", "seq", state.alias("state"), "old_state")
 
 
-def history_events(wal_updates: DataFrame, row_changes: DataFrame, wal_transactions: DataFrame, relations: DataFrame) -> DataFrame:
-    """Committed events of all tables that keep history: signed ones with the state they leave,
-    typed ones with the values they tell (``HistoryStore`` carries those over)."""
+def history_events(wal_updates: DataFrame, row_changes: DataFrame, relations: DataFrame) -> DataFrame:
+    """Events of all tables that keep history, committed or not: signed ones with the state they
+    leave, typed ones with the values they tell (``HistoryStore`` carries those over)."""
     signed = changelog.wal_events(wal_updates, relations, hashed=True, keep_history=True)
-    signed = changelog.committed(signed, wal_transactions).select(
-        *KEYS, "lsn", "seq", "state", F.lit(None).cast("bigint").alias("old_state")
-    )
-    typed = changelog.committed(issue_events(row_changes), wal_transactions)
-    return signed.unionByName(typed, allowMissingColumns=True)
+    signed = signed.select(*KEYS, "lsn", "seq", "state", F.lit(None).cast("bigint").alias("old_state"))
+    return signed.unionByName(issue_events(row_changes), allowMissingColumns=True)
 
 
-def full_history(wal_updates: DataFrame, row_changes: DataFrame, wal_transactions: DataFrame, relations: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
-    """(table_name, row_key, valid_from, valid_to, state): a first load, where every row is touched."""
+def full_history(
+    wal_updates: DataFrame, row_changes: DataFrame, wal_transactions: DataFrame, relations: DataFrame, hot_rows: int = 1_000_000, batches: int = 2
+) -> DataFrame:
+    """(table_name, row_key, valid_from, valid_to, state) from a store that took the log batch by
+    batch, as it arrived: in the first every row is touched, the others rebuild what they touch."""
     store = HistoryStore(wal_updates.sparkSession, scratch(wal_updates.sparkSession, "history"), hot_rows=hot_rows)
-    store.refresh("first", history_events(wal_updates, row_changes, wal_transactions, relations))
+    wal, rc = arrivals(wal_updates, "batch_id", batches), arrivals(row_changes, "batch_id", batches)
+    commits = wal_transactions.select("commit_lsn")
+    for i in range(batches):
+        part = lambda x, df: x[i] if i < len(x) else df.limit(0)  # noqa: B023, E731
+        events = history_events(part(wal, wal_updates), part(rc, row_changes), relations)
+        store.refresh(f"b{i}", events, commits if i == 0 else commits.limit(0))
     return store.read()
