@@ -25,8 +25,12 @@ KEYS = {
 }
 
 
+def path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir}/{name}.parquet"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(path(sf_dir, name))
 
 
 def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:

@@ -7,57 +7,93 @@ minus the manifest, writes its result under its own id, and only then commits th
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import canon
 from tidemark.operators.dedupe import latest_states, messages
+from tidemark.session import materialize, scratch
 from tidemark.sources.store import Store
 
 MAX_LSN = (1 << 63) - 1
 
 
+class LostInputError(RuntimeError):
+    """A file was replaced, but others of its batch are gone, so the batch can't be done again."""
+
+
+FILE = "path string, size bigint, checksum string"
+
+
 class FileManifest:
     """Runs a batch function over the input files that no successful run has had.
 
     A file is told by path, size and a checksum of its content: one that was touched or copied over
-    itself isn't new, one that was replaced is, whatever its time.  Results of the earlier content stay.
+    itself isn't new, one that was replaced is, whatever its time, and its batch is done again in
+    place of the earlier result.  Results of files that were deleted stay.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.store = Store(spark, root)
 
-    def _fresh(self, folder: str) -> list[dict]:
-        """The listing anti-joined with the manifest on (path, size, checksum)."""
-        done = {tuple(f) for part in self.store.manifest()["parts"].values() for f in part["files"]}
-        listed = [(path, size, checksum) for path, size, checksum in self._checksums([p for p, *_ in self.store.listing(folder)])]
-        return [{"path": p, "size": n, "checksum": c} for p, n, c in listed if (p, n, c) not in done]
+    def done(self) -> DataFrame:
+        """(path, size, checksum, batch) of the files that committed batches have had."""
+        spark, parts = self.store.spark, self.store.manifest()["parts"]
+        read = lambda p: spark.read.schema(FILE + ", batch string").parquet(*p) if p else spark.createDataFrame([], FILE + ", batch string")
+        return read([p["files"] for p in parts.values()])
 
-    def _checksums(self, paths: list[str]) -> list[tuple[str, int, str]]:
-        """(path, size, SHA-256 of the content), computed by the executors; a file is read whole (2 GB at most)."""
-        if not paths:
-            return []
-        files = self.store.spark.read.format("binaryFile").load(paths)
-        return sorted(tuple(r) for r in files.select("path", "length", F.sha2("content", 256)).collect())
+    def _listed(self, folder: str) -> DataFrame:
+        """(path, size, checksum) of the data files.
+
+        The file system's own checksum is taken where it keeps one.  Else the executors compute it:
+        two sums of row digests by position, so a large file is read by several tasks and never
+        held in memory.
+        """
+        store, spark = self.store, self.store.spark
+        files = [(p, n, store.checksum(p)) for p, n, _ in store.listing(folder)]
+        listed = spark.createDataFrame(files, FILE)
+        unread = [p for p, _, c in files if c is None]
+        if not unread:
+            return listed
+        df = spark.read.parquet(*unread)
+        cols = [F.to_json(F.struct(c.name)) if _unhashable(c.dataType) else F.col(f"`{c.name}`") for c in df.schema]
+        row = [F.col("_metadata.row_index"), *cols]
+        # both names without the slashes behind the scheme, and unescaped
+        plain = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), "^([a-z0-9]+:)/+", "$1/")
+        sums = df.select(plain(F.col("_metadata.file_path")).alias("p"), *[F.xxhash64(F.lit(i), *row).cast("decimal(38,0)").alias(f"h{i}") for i in (1, 2)])
+        sums = sums.groupBy("p").agg(F.concat_ws("-", F.sum("h1"), F.sum("h2")).alias("c"))
+        named = listed.withColumn("p", F.regexp_replace("path", "^([a-z0-9]+:)/+", "$1/")).join(sums, "p", "left")
+        return named.select("path", "size", F.coalesce("checksum", "c", F.lit("empty")).alias("checksum"))
 
     def run(self, folder: str, process: Callable[[DataFrame], DataFrame]) -> str | None:
         """Process what is new under ``folder``; returns the batch id, None if nothing is new.
 
-        The batch id follows from its files, so a run after a failure writes the same folder again
-        instead of a second copy.  The manifest is replaced last.
+        The listing is anti-joined with the manifest.  The batch id follows from the files, so a
+        run after a failure is the same batch; the manifest is replaced last.
         """
-        files = self._fresh(folder)
-        if not files:
+        if not self.store.listing(folder):
             return None
-        batch = hashlib.sha256("|".join(f"{f['path']}|{f['size']}|{f['checksum']}" for f in files).encode()).hexdigest()[:16]
-        df = self.store.spark.read.parquet(*[f["path"] for f in files])
-        path = self.store.write_part(process(df), f"batch={batch}")
-        m = self.store.manifest()
-        part = {"path": path, "files": [[f["path"], f["size"], f["checksum"]] for f in files]}
-        self.store.commit(m | {"parts": m["parts"] | {batch: part}})
+        spark, m = self.store.spark, self.store.manifest()
+        listed, done = materialize(self._listed(folder), "listing"), self.done()
+        fresh = listed.join(done, ["path", "size", "checksum"], "left_anti")
+        stale = [r[0] for r in done.join(fresh, "path", "left_semi").select("batch").distinct().collect()]
+        if stale:
+            again = done.filter(F.col("batch").isin(stale))
+            if lost := again.join(listed, "path", "left_anti").first():
+                raise LostInputError(lost.path)
+            fresh = listed.join(again, "path", "left_semi").union(fresh).distinct()
+        paths = sorted(r.path for r in fresh.select("path").collect())  # a scan's files are listed on the driver anyway
+        if not paths:
+            return None
+        batch = fresh.agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("path", "size", "checksum")))), 256)).first()[0][:16]
+        part = {
+            "path": self.store.write_part(process(spark.read.parquet(*paths)), f"batch-{batch}"),
+            "files": self.store.write_part(fresh.withColumn("batch", F.lit(batch)), f"files-{batch}"),
+        }
+        self.store.commit(m | {"parts": {n: p for n, p in m["parts"].items() if n not in stale} | {batch: part}})
         return batch
 
     def read(self) -> DataFrame:
@@ -65,6 +101,10 @@ class FileManifest:
         return self.store.spark.read.parquet(*sorted(p["path"] for p in self.store.manifest()["parts"].values()))
 
 
+def _unhashable(t: T.DataType) -> bool:
+    return "map" in t.simpleString() or "variant" in t.simpleString()
+
+
 def message_manifest(sub_states: DataFrame, subscribe_requests: DataFrame, ack_requests: DataFrame) -> DataFrame:
     """(subscription_id, lo, hi, upto_batch): messages with lo < LSN <= hi that first came in a
     batch up to ``upto_batch`` are done.
@@ -107,6 +147,7 @@ def pending(listing: DataFrame, manifest: DataFrame, fan: int = 256) -> DataFram
             F.ceil(F.log2(F.col("k") + 2)).cast("int").alias("levels"),
         )
     )
+    shape = materialize(shape, "shape")  # a row a subscription, used in four places
     # range 0 lies below from_lsn; only intervals from the start reach it, and span it
     place = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - F.col("from_lsn")) / F.col("width")) + 1).cast("bigint")
     m = manifest.join(shape, sub).withColumns({"i": place("lo"), "j": place("hi")})
@@ -149,11 +190,6 @@ def message_listing(diff_payloads: DataFrame) -> DataFrame:
     ).agg(F.min("batch_id").alias("batch_id")).dropna(subset=["subscription_id", "lsn", "chunk_index"])
 
 
-def pending_messages(diff_payloads: DataFrame, sub_states: DataFrame, subscribe_requests: DataFrame, ack_requests: DataFrame) -> DataFrame:
-    """(subscription_id, lsn, chunk_index, batch_id) of the messages a run that starts now must get."""
-    return pending(message_listing(diff_payloads), message_manifest(sub_states, subscribe_requests, ack_requests))
-
-
 class MessageRuns:
     """Consumer runs over a growing listing of messages: each message is processed by one run.
 
@@ -170,20 +206,49 @@ class MessageRuns:
         schema = "subscription_id string, lo bigint, hi bigint, upto_batch bigint"
         return self.store.spark.read.schema(schema).parquet(*parts) if parts else self.store.spark.createDataFrame([], schema)
 
+    def adopt(self, run_id: str, done: DataFrame) -> None:
+        """Take over intervals (as in ``message_manifest``) that earlier runs have finished elsewhere."""
+        m = self.store.manifest()
+        if run_id not in m["parts"]:
+            part = {"done": self.store.write_part(done, f"done-{run_id}")}
+            self.store.commit(m | {"parts": m["parts"] | {run_id: part}})
+
     def run(self, run_id: str, listing: DataFrame, process: Callable[[DataFrame], DataFrame]) -> bool:
         """Process what no run has finished of ``listing`` (subscription_id, lsn, batch_id, ...: all
-        messages received so far); False if the run was committed before."""
+        messages received so far); False if the run was committed before.
+
+        The listing is written down once: what grows in meanwhile is neither processed nor done.
+        """
         m = self.store.manifest()
         if run_id in m["parts"]:
             return False
-        path = self.store.write_part(process(pending(listing, self.manifest())), f"run={run_id}")
+        listing = materialize(listing, "listing")
+        path = self.store.write_part(process(pending(listing, self.manifest())), f"run-{run_id}")
         done = listing.dropna(subset=["subscription_id", "lsn", "batch_id"]).groupBy("subscription_id").agg(
             F.lit(-1).cast("bigint").alias("lo"), F.max("lsn").cast("bigint").alias("hi"), F.max("batch_id").cast("bigint").alias("upto_batch")
         )
-        done = self.store.write_part(done, f"done={run_id}")
+        done = self.store.write_part(done, f"done-{run_id}")
         self.store.commit(m | {"parts": m["parts"] | {run_id: {"path": path, "done": done}}})
         return True
 
-    def read(self) -> DataFrame:
-        """The results of all committed runs."""
-        return self.store.spark.read.parquet(*sorted(p["path"] for p in self.store.manifest()["parts"].values()))
+    def read(self, run_id: str | None = None) -> DataFrame:
+        """The results of a committed run, or of all."""
+        parts = self.store.manifest()["parts"]
+        paths = sorted(p["path"] for n, p in parts.items() if "path" in p and run_id in (None, n))
+        return self.store.spark.read.parquet(*paths)
+
+
+def pending_messages(folder: str, sub_states: DataFrame, subscribe_requests: DataFrame, ack_requests: DataFrame) -> DataFrame:
+    """(subscription_id, lsn, chunk_index, batch_id) of the messages a consumer run that starts now gets.
+
+    ``folder`` has the files of ``diff_payloads``: those that weren't listed yet (by manifest) are
+    read into the listing, and the run takes the listing minus what earlier runs have finished.
+    """
+    spark = sub_states.sparkSession
+    files = FileManifest(spark, scratch(spark, "files"))
+    files.run(folder, message_listing)
+    runs = MessageRuns(spark, scratch(spark, "runs"))
+    runs.adopt("earlier", message_manifest(sub_states, subscribe_requests, ack_requests))
+    listing = files.read().groupBy("subscription_id", "lsn", "chunk_index").agg(F.min("batch_id").alias("batch_id"))
+    runs.run("now", listing, lambda df: df)
+    return runs.read("now")
