@@ -1,6 +1,7 @@
 """Problems 1 to 5 against plain Python, and their edge cases."""
 
 import random
+import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -83,7 +84,7 @@ def test_history_of_signed_updates(spark, rows):
         ],
         WAL,
     )
-    h = history.full_history(wal, spark.createDataFrame([], CHANGE), _tx(spark, 10, 20, 30, 40), _relations(spark))
+    h = history.full_history(wal, spark.createDataFrame([], "batch_id bigint, " + CHANGE), _tx(spark, 10, 20, 30, 40), _relations(spark))
     assert rows(h.drop("state")) == [
         ("core.records", "1", 10, 40), ("core.records", "1", 40, -1), ("public.cards", "aaaaaaaa-0000-1111-2222-33334444aaaa", 10, 30),
     ]
@@ -112,7 +113,7 @@ def test_history_of_typed_changes(spark, rows):
         ],
         CHANGE,
     )
-    h = history.full_history(spark.createDataFrame([], WAL), rc, _tx(spark, 10, 20, 30, 40, 50, 60, 70), _relations(spark))
+    h = history.full_history(spark.createDataFrame([], WAL), rc.withColumn("batch_id", F.col("commit_lsn") % 3), _tx(spark, 10, 20, 30, 40, 50, 60, 70), _relations(spark))
     t = "public.issues"
     assert rows(h.drop("state")) == sorted([(t, "1", 0, 10), (t, "1", 10, 20), (t, "1", 20, 40), (t, "9", 40, 50), (t, "5", 0, 70), (t, "5", 70, -1)], key=repr)
 
@@ -149,8 +150,8 @@ def test_history_hot_rows_late_batches(spark, rows):
     expected = _plain_history(events)
     df = spark.createDataFrame(events, EVENT)
     once = history.HistoryStore(spark, scratch(spark, "h"), hot_rows=5)
-    once.append("all", df)
-    assert rows(once.rebuild().drop("state")) == expected
+    once.refresh("all", df)
+    assert rows(once.read().drop("state")) == expected == rows(once.rebuild().drop("state"))
     store = history.HistoryStore(spark, scratch(spark, "h"), buckets=3)
     rng = random.Random(1)
     rng.shuffle(events)
@@ -161,13 +162,36 @@ def test_history_hot_rows_late_batches(spark, rows):
     assert rows(store.read().drop("state")) == expected
 
 
-def test_full_history_swaps_chains_in(spark, rows, monkeypatch):
-    """A first load goes through the touched set and the swap."""
-    ids, refresh = [], history.HistoryStore.refresh
-    monkeypatch.setattr(history.HistoryStore, "refresh", lambda self, batch_id, events: (ids.append(batch_id), refresh(self, batch_id, events)))
-    wal = spark.createDataFrame([(1, "core.records", '{"id":1}', 10, 0, 1)], WAL)
-    h = history.full_history(wal, spark.createDataFrame([], CHANGE), _tx(spark, 10), _relations(spark))
-    assert ids == ["first"] and rows(h.drop("state")) == [("core.records", "1", 10, -1)]
+def test_refresh_reads_touched_buckets_only(spark, rows, monkeypatch):
+    """A batch of one row reads that row's bucket, adds one chain part and leaves the others as they are."""
+    store = history.HistoryStore(spark, scratch(spark, "h"), buckets=64)
+    make = lambda *e: spark.createDataFrame([("t", k, lsn, 0, s, None) for k, lsn, s in e], EVENT)
+    store.refresh("first", make(*[(str(k), 10, 1) for k in range(100)], *[(str(k), 20, 2) for k in range(100)]))
+    before, seen, rebuild = store.store.manifest()["parts"], [], history.HistoryStore.log
+    monkeypatch.setattr(history.HistoryStore, "log", lambda self, m=None, touched=None: (seen.append(rebuild(self, m, touched)), seen[-1])[1])
+    store.refresh("late", make(("7", 15, 0)))
+    scans = re.findall(r"PartitionFilters: \[([^\]]*)\]", seen[0]._jdf.queryExecution().executedPlan().toString())
+    assert sum("bucket#" in s for s in scans) == 2  # both log parts
+    assert {(r.row_key, r.lsn) for r in seen[0].collect()} == {("7", 10), ("7", 15), ("7", 20)}
+    after = store.store.manifest()["parts"]
+    assert before.items() <= after.items() and len(after) == len(before) + 2
+    assert sorted(r[2:4] for r in rows(store.read()) if r[1] == "7") == [(10, 15), (20, -1)] and store.read().count() == 200
+
+
+def test_history_waits_for_commits(spark, rows):
+    """A change counts from when its commit is known; a row that vanishes leaves no old chain."""
+    store = history.HistoryStore(spark, scratch(spark, "h"), buckets=2, fan=2)
+    make = lambda *e: spark.createDataFrame([("t", k, lsn, 0, s, None) for k, lsn, s in e], EVENT)
+    chains = lambda: [r[1:4] for r in rows(store.read())]
+    store.refresh("a", make(("1", 10, 5), ("1", 20, 6), ("2", 20, 1)), _tx(spark, 10))
+    assert chains() == [("1", 10, -1)]
+    store.refresh("b", make(), _tx(spark, 20, 20, 40))
+    assert chains() == [("1", 10, 20), ("1", 20, -1), ("2", 20, -1)]
+    store.refresh("c", make(("1", 10, 0), ("1", 20, 0), ("1", 30, 9)), _tx(spark))  # corrected: it never lived
+    assert chains() == [("2", 20, -1)] and len(store.store.manifest()["parts"]) == 4  # one log, chain and commit part, one that waits
+    store.refresh("d", make(("2", 40, 0)), _tx(spark, 30))
+    store.store.vacuum()
+    assert chains() == [("1", 30, -1), ("2", 20, 40)]
 
 
 def test_late_changes_refill_stored_ones(spark, rows):
@@ -182,7 +206,7 @@ def test_late_changes_refill_stored_ones(spark, rows):
     fixed = [(10, 0, "I", None, _issue(1, title="late"), None)]
     wal, tx = spark.createDataFrame([], WAL), _tx(spark, 10, 30, 40, 50, 60)
     store = history.HistoryStore(spark, scratch(spark, "h"), buckets=2)
-    refresh = lambda n, b: store.refresh(n, history.history_events(wal, spark.createDataFrame(b, CHANGE), tx, _relations(spark)))
+    refresh = lambda n, b: store.refresh(n, history.history_events(wal, spark.createDataFrame(b, CHANGE), _relations(spark)), tx)
     chain = lambda *at: [("public.issues", "1", a, b) for a, b in zip(at, [*at[1:], -1])]
     refresh("first", first)
     assert rows(store.read().drop("state")) == chain(10, 30, 50, 60)
@@ -206,13 +230,15 @@ def test_lsm_merges_runs_in_any_order(spark, rows):
     events = [(str(i % 7), i, 0, i % 5 != 0, f"v{i}") for i in range(60)]
     current = {k: (lsn, v) for k, lsn, _, alive, v in events if alive and lsn == max(e[1] for e in events if e[0] == k)}
     random.Random(2).shuffle(events)
-    table = LsmTable(spark, scratch(spark, "lsm"), ["k"], ["lsn", "seq"], max_runs=3)
+    table = LsmTable(spark, scratch(spark, "lsm"), ["k"], ["lsn", "seq"], fan=3)
     schema = "k string, lsn bigint, seq int, alive boolean, payload string"
     for i in range(0, 60, 12):
         part = spark.createDataFrame(events[i : i + 12] + [(None, 1, 0, True, "no key")], schema)
         table.append(f"r{i}", part)
         table.append(f"r{i}", part.union(part))
-    assert len(table.runs()) <= 4
+    assert len(table.runs()) == 3  # five runs: three of them merged into one of the next level
+    plan = table.read()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
     want = sorted((k, lsn, 0, v) for k, (lsn, v) in current.items())
     assert rows(table.read()) == want
     table.compact()
@@ -246,7 +272,7 @@ def test_lsm_carries_told_values(spark, rows):
         else:
             now[k] = new
     rng.shuffle(log)
-    lsm = LsmTable(spark, scratch(spark, "lsm"), ["table_name", "row_key"], ["lsn", "seq"], carried=canon.ISSUE_COLUMNS, max_runs=3)
+    lsm = LsmTable(spark, scratch(spark, "lsm"), ["table_name", "row_key"], ["lsn", "seq"], carried=canon.ISSUE_COLUMNS, fan=3)
     for i in range(0, len(log), 30):
         lsm.append(f"r{i}", changelog.change_events(spark.createDataFrame(log[i : i + 30], CHANGE), payload=True))
     got = {int(r.row_key): {c: json.loads(r[c]) for c in canon.ISSUE_COLUMNS} for r in lsm.read().collect()}
@@ -329,7 +355,7 @@ def test_file_manifest_goes_by_content(spark, rows):
     out.close()
     m.store._fs.setTimes(m.store._path(path), mtime, -1)
     assert m.store.listing(src) == [(path, size, mtime)] and new_size == size
-    assert m.run(src, keep) not in (None, first) and m.run(src, keep) is None and rows(m.read()) == [(1,), (2,)]
+    assert m.run(src, keep) not in (None, first) and m.run(src, keep) is None and rows(m.read()) == [(2,)]
 
 
 # --- 5 ------------------------------------------------------------------------------------------

@@ -51,7 +51,8 @@ def table_totals(wal_updates: DataFrame) -> DataFrame:
 
 def heavy_tables(wal_updates: DataFrame, least_share: float = 0.05) -> DataFrame:
     """Tables that hold at least ``least_share`` of all rows."""
-    shares = share_of_total(table_totals(wal_updates), "n_rows")
+    # a row a table; the sum over them doesn't read the log again
+    shares = share_of_total(materialize(table_totals(wal_updates), "table-totals"), "n_rows")
     return shares.filter((F.col("share") >= least_share) & F.col("table_name").isNotNull()).select("table_name")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalog import table
+from tidemark.catalog import path, table
 from tidemark.functions import canon
 from tidemark.operators import dedupe, history, incremental, skew
 from tidemark.operators.lsm import LsmTable
@@ -30,13 +30,13 @@ def p1_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_batches(spark: SparkSession, sf: str) -> DataFrame:
     """The store of messages after three batches, the second one delivered twice."""
-    d = dedupe.messages(table(spark, sf, "diff_payloads").select("delivery_id", "batch_id", *dedupe.MESSAGE))
+    d = dedupe.messages(table(spark, sf, "diff_payloads").select("delivery_id", *dedupe.MESSAGE))
     log = dedupe.MessageLog(spark, scratch(spark, "messages"), dedupe.MESSAGE, ["delivery_id"])
-    low, high = d.agg(F.min("batch_id"), F.max("batch_id")).first()
-    step = ((high or 0) - (low or 0)) // 3 + 1
+    parts = dedupe.arrivals(d, "delivery_id", 3)
     for i in (0, 1, 1, 2):
-        log.append(i, d.filter(F.expr(f"(batch_id - {low or 0}) div {step} = {i}")))
-    return log.stored().drop("batch_id")
+        if i < len(parts):
+            log.append(i, parts[i])
+    return log.stored()
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,12 +45,14 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_refreshed(spark: SparkSession, sf: str) -> DataFrame:
-    """The same history from a first load without every fourth transaction, and those as a late batch."""
+    """The same history from a first load without every fourth transaction's changes and every
+    fourth commit record, and those as a late batch."""
     wal, rc, tx, rel = (table(spark, sf, t) for t in ("wal_updates", "row_changes", "wal_transactions", "relations"))
     store = history.HistoryStore(spark, scratch(spark, "history"))
     for batch, late in (("first", False), ("late", True)):
-        part = lambda df, lsn: df.filter((F.pmod(F.xxhash64(lsn), F.lit(4)) == 0) == late)  # noqa: B023, E731
-        store.refresh(batch, history.history_events(part(wal, "wal_time"), part(rc, "commit_lsn"), part(tx, "commit_lsn"), rel))
+        part = lambda df, lsn, salt=0: df.filter((F.pmod(F.xxhash64(lsn, F.lit(salt)), F.lit(4)) == 0) == late)  # noqa: B023, E731
+        events = history.history_events(part(wal, "wal_time"), part(rc, "commit_lsn"), rel)
+        store.refresh(batch, events, part(tx, "commit_lsn", 1).select("commit_lsn"))
     return store.read().select("table_name", "row_key", "valid_from", "valid_to")
 
 
@@ -61,10 +63,8 @@ def change_table(spark: SparkSession, sf: str, payload: bool = False) -> LsmTabl
     even = F.coalesce(F.col("seq") % 2 == 0, F.lit(False))  # changes of one row lie in both runs
     for run, part in (("typed-1", rc.filter(even)), ("typed-2", rc.filter(~even))) if payload else (("typed", rc),):
         lsm.append(run, changelog.committed(changelog.change_events(part, payload), tx))
-    middle = wal.agg(F.expr("(min(batch_id) + max(batch_id)) div 2")).first()[0]  # reads one narrow column
-    first = (F.col("batch_id") <= F.lit(middle)) & F.lit(middle is not None)
-    for run, part in (("signed-1", wal.filter(first)), ("signed-2", wal.filter(~F.coalesce(first, F.lit(False))))):
-        lsm.append(run, changelog.committed(changelog.wal_events(part, rel, payload=payload), tx))
+    for i, part in enumerate(dedupe.arrivals(wal, "batch_id", 2)):
+        lsm.append(f"signed-{i}", changelog.committed(changelog.wal_events(part, rel, payload=payload), tx))
     return lsm
 
 
@@ -88,8 +88,8 @@ def p3_compacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    tables = [table(spark, sf, t) for t in ("diff_payloads", "sub_states", "subscribe_requests", "ack_requests")]
-    return incremental.pending_messages(*tables).select("subscription_id", "lsn", "chunk_index")
+    tables = [table(spark, sf, t) for t in ("sub_states", "subscribe_requests", "ack_requests")]
+    return incremental.pending_messages(path(sf, "diff_payloads"), *tables).select("subscription_id", "lsn", "chunk_index")
 
 
 class _Stopped(Exception):
