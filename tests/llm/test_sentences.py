@@ -10,6 +10,7 @@ CASES = [
     "Dr. Who left.| It ended at 9 a.m.| The end.",
     "We saw Fig. 3 and No. 7, e.g. here, i.e. there, cf. Sec. 4.2 of it.| Next.",
     "The U.K. office opened.| J. R. Smith came.",
+    "See the A.B.C.D.E. Report now.| See the A.B.C.D.E.F.G.H. Report now.",
     "It costs 3.50, see https://a.b/c.d?x=1.| main.py is read.| v2.1 follows.",
     "It took 3.5\r\ns.| The next. |\r\n\r\nAm 3.\r\nMai kam er.| Es gibt деревья и т.\r\nд.| Прочего нет.",
     "It waits... then goes.| It stopped...| Then it left.",
@@ -72,6 +73,10 @@ def test_empty_null_and_long_texts(spark):
     n = {r.doc_id: r["count"] for r in S.sentence_ends(df.select("doc_id", "text")).groupBy("doc_id").count().collect()}
     assert n == {4: 2, 5: 30_000}
     assert S.sentences(df.limit(0)).count() == 0
+    assert [(r.start_char, r.end_char) for r in S.sentences(df.filter("doc_id = 5")).filter("unit_no IN (0, 15000, 29999)").orderBy("unit_no").collect()] == [
+        (13 * i, 13 * i + 12) for i in (0, 15_000, 29_999)
+    ]
+    assert {r.unit for r in S.sentences(df.filter("doc_id = 5")).select("unit").distinct().collect()} == {"This is one."}
 
 
 @pytest.mark.parametrize("text,ends", [("﻿Hi there.\r\n\r\nYou.", [10, 18]), ("  A. \U0001f600 b.", [9])])

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize, ship
 
-#: Tokens left to the knapsack; where documents are longer than half of it, up to about one document more.
-KNAPSACK = 1 << 16
 PLAN = "source string, tokens long, n long, full_repeats int, extra long, source_tokens long, capacity double, budget double, scarce boolean"
 
 
@@ -47,12 +45,16 @@ def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
     return take
 
 
-def plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The plan of one source from its counts by length (a null length: no documents)."""
+def plan_source(pdf: pd.DataFrame, exact: int = 1 << 16) -> pd.DataFrame:
+    """The plan of one source from its counts by length (a null length: no documents).
+
+    The greedy steps leave about ``exact`` tokens, at least twice the longest document, to the
+    knapsack, which fills what is left whatever its size.
+    """
     share, most, total = float(pdf["target_share"].iloc[0]), int(pdf["max_repeats"].iloc[0]), int(pdf["total"].iloc[0])
     h = pdf.dropna(subset=["tokens"]).sort_values("tokens")
     lengths, ns = [int(x) for x in h["tokens"]], [int(x) for x in h["n"]]
-    size, budget = sum(a * b for a, b in zip(lengths, ns)), share * total
+    size, budget, exact = sum(a * b for a, b in zip(lengths, ns)), share * total, max([exact, *[2 * a for a in lengths]])
     goal = int(round(budget))
     full, extra = most, dict.fromkeys(lengths, 0)
     if most * size > goal:
@@ -60,10 +62,10 @@ def plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
         extra = {a: b * rest // size for a, b in zip(lengths, ns)}
         left = rest - sum(a * k for a, k in extra.items())
         for a, b in sorted(zip(lengths, ns), reverse=True):
-            if left <= KNAPSACK:
+            if left <= exact:
                 break
             if a:
-                k = min(b - extra[a], (left - KNAPSACK // 2) // a)
+                k = min(b - extra[a], (left - exact // 2) // a)
                 extra[a] += max(0, k)
                 left -= a * max(0, k)
         for a, k in knapsack({a: b - extra[a] for a, b in zip(lengths, ns)}, left).items():
@@ -73,36 +75,38 @@ def plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in PLAN.split(", ")])
 
 
-def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def plan(sizes: DataFrame, targets: DataFrame, exact: int = 1 << 16) -> DataFrame:
     """One row per listed source and token length: ``full_repeats`` of all n documents, one more
     copy of ``extra`` of them.  ``sizes`` is (source, tokens, ...); the counts of a source are as
-    many rows as it has different lengths.
+    many rows as it has different lengths.  ``exact``: see ``plan_source``.
     """
     ship(sizes.sparkSession)
     t = targets.select(F.col("source").alias("named"), source_key(F.col("source")).alias("key"), "target_share", "max_repeats")
-    counts = (
-        sizes.groupBy(source_key(F.col("source")).alias("key"), "tokens").agg(F.count(F.lit(1)).alias("n"))
-        .join(t.select("key"), "key", "left_semi")
-    )
-    counts = materialize(counts, "length-counts")
+    counts = sizes.groupBy(source_key(F.col("source")).alias("key"), "tokens").agg(F.count(F.lit(1)).alias("n"))
+    # the targets are the small side: Spark broadcasts them by their size, never the counts
+    counts = materialize(counts.join(t.select("key"), "key", "left_semi"), "length-counts")
     total = counts.agg(F.coalesce(F.sum(F.col("tokens") * F.col("n")), F.lit(0))).scalar()
-    grouped = t.join(counts, "key", "left").withColumns({"source": F.col("named"), "total": total})
-    return grouped.select("source", "target_share", "max_repeats", "total", "tokens", "n").groupBy("source").applyInPandas(plan_source, PLAN)
+    without = t.join(counts.select("key").distinct(), "key", "left_anti")
+    grouped = counts.join(t, "key").unionByName(without, allowMissingColumns=True).withColumns({"source": F.col("named"), "total": total})
+    grouped = grouped.select("source", "target_share", "max_repeats", "total", "tokens", "n")
+    return grouped.groupBy("source").applyInPandas(lambda pdf: plan_source(pdf, exact), PLAN)
 
 
 def select(sizes: DataFrame, targets: DataFrame, planned: DataFrame, seed: int = 11, bucket_rows: int = 100_000) -> DataFrame:
     """(doc_id, source, tokens, repeats): the documents of the mixture, each with its number of copies.
 
-    The documents of a length are ranked by a seeded hash.  Lengths with very many documents are
-    ranked in buckets of that hash, so no group of equal lengths meets in one task.
+    The documents of a length are taken in the order of a seeded hash.  Lengths with more than
+    ``bucket_rows`` documents are ranked in ranges of that hash, so no group of equal lengths meets
+    in one task; which documents are taken doesn't depend on it.
     """
     t = targets.select(F.col("source").alias("named"), source_key(F.col("source")).alias("key"))
     p = planned.select(F.col("source").alias("named"), "tokens", "full_repeats", "extra", "n").filter("tokens IS NOT NULL")
     h = F.xxhash64(F.lit(seed), "doc_id")
+    part = F.ceil(F.col("n") / bucket_rows)
+    place = F.least(F.floor((h / F.lit(2.0**64) + 0.5) * part).cast("bigint"), part - 1)  # rises with the hash
     docs = (
         sizes.select("doc_id", source_key(F.col("source")).alias("key"), "tokens").join(t, "key").join(p, ["named", "tokens"])
-        .select("doc_id", F.col("named").alias("source"), "tokens", "full_repeats", "extra", h.alias("h"),
-                F.pmod(F.shiftright(h, 8), F.ceil(F.col("n") / bucket_rows)).alias("bucket"))
+        .select("doc_id", F.col("named").alias("source"), "tokens", "full_repeats", "extra", h.alias("h"), place.alias("bucket"))
     )
     group = ["source", "tokens", "bucket"]
     upto = Window.partitionBy("source", "tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,17 +1,19 @@
 """Filling containers of fixed capacity with whole items: a distributed grouping genetic algorithm.
 
 Items are spread over shards of about ``shard_items``; the containers of a shard are bred on
-several islands at once.  A crossover injects whole well-filled containers of one parent into the
-other, drops the containers that now hold duplicates and best-fits the displaced items.  Between
-epochs every island takes in the elite of its neighbour.  A shard is done early once it needs no
-more containers than its total size forces.  The least filled container of each shard is packed
-again one level up, until one shard is left, so little room stays unused however many shards
-there are.
+several islands at once, from founders that fit the items in different orders.  A crossover injects
+whole well-filled containers of one parent into the other and drops the containers that now hold
+duplicates; before the displaced items are best-fitted, items of the other containers are exchanged
+for displaced ones that fill them better.  Between epochs every island takes in the elite of its
+neighbour.  A shard is done once it needs no more containers than its total size forces.  The least
+filled container of each shard is packed again one level up, until one shard is left, so little
+room stays unused however many shards there are.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import random
 from collections.abc import Iterator
 
@@ -44,59 +46,85 @@ def best_fit(bins: Bins, items: list[int], sizes: list[int], capacity: int) -> B
     return bins
 
 
-def fitness(bins: Bins, sizes: list[int], capacity: int) -> float:
-    """Mean square fill: fewer and unevenly filled containers are better."""
-    return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / len(bins)
+def score(bins: Bins, sizes: list[int], capacity: int) -> tuple[int, float]:
+    """Less is better: the number of containers, then how evenly the unused room is spread over them."""
+    return len(bins), -sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
+
+
+def exchange(bins: Bins, loose: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Fill containers with loose items: added, or in exchange for one or two smaller ones of a
+    container, whichever fills it best; returns what is loose then."""
+    loose = sorted(loose, key=lambda i: sizes[i])
+    keys = [sizes[i] for i in loose]
+    for b in bins:
+        gap = capacity - sum(sizes[i] for i in b)
+        while gap > 0 and keys:
+            gain, out, at = 0, (), 0
+            singles = [(sizes[i], (i,)) for i in b]
+            pairs = [(x + y, (i, j)) for (x, (i,)), (y, (j,)) in itertools.combinations(singles, 2)] if len(b) <= 8 else []
+            for total, items in [(0, ()), *singles, *pairs]:
+                k = bisect.bisect_right(keys, total + gap) - 1
+                if k >= 0 and keys[k] - total > gain:
+                    gain, out, at = keys[k] - total, items, k
+            if not gain:
+                break
+            b.append(loose.pop(at))
+            keys.pop(at)
+            for i in out:
+                b.remove(i)
+                k = bisect.bisect_left(keys, sizes[i])
+                keys.insert(k, sizes[i])
+                loose.insert(k, i)
+            gap -= gain
+    return loose
 
 
 def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
     """A child of ``b`` into which a share of the best-filled containers of ``a`` is injected."""
     ranked = sorted(a, key=lambda x: -sum(sizes[i] for i in x))
-    chosen = [x for x in ranked[: max(1, len(a) * 2 // 3)] if rng.random() < 0.7] or ranked[:1]
+    chosen = [list(x) for x in ranked[: max(1, len(a) * 2 // 3)] if rng.random() < 0.7] or [list(ranked[0])]
     taken = {i for x in chosen for i in x}
-    kept, displaced = [], []
+    kept, loose = [], []
     for x in b:
         if taken.isdisjoint(x):
             kept.append(list(x))
         else:
-            displaced += [i for i in x if i not in taken]
-    displaced.sort(key=lambda i: (-sizes[i], i))
-    return best_fit([list(x) for x in chosen] + kept, displaced, sizes, capacity)
+            loose += [i for i in x if i not in taken]
+    # a mutation: the least filled of the others and some by chance are dissolved as well
+    kept.sort(key=lambda x: sum(sizes[i] for i in x))
+    gone = {0, *rng.sample(range(len(kept)), min(len(kept), 4))} if kept else set()
+    loose += [i for k in gone for i in kept[k]]
+    bins = [x for k, x in enumerate(kept) if k not in gone] + chosen
+    loose = exchange(bins, loose, sizes, capacity)
+    return best_fit(bins, loose[::-1], sizes, capacity)
 
 
-def mutate(bins: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
-    """Empty the least filled container and a few others, and best-fit their items again."""
-    order = sorted(range(len(bins)), key=lambda k: sum(sizes[i] for i in bins[k]))
-    gone = {order[0], *rng.sample(range(len(bins)), min(len(bins), 3))}
-    loose = sorted((i for k in gone for i in bins[k]), key=lambda i: (-sizes[i], i))
-    return best_fit([list(b) for k, b in enumerate(bins) if k not in gone], loose, sizes, capacity)
+def found(sizes: list[int], capacity: int, rng: random.Random, spread: float) -> Bins:
+    """A best fit in falling order of the sizes, disturbed by up to ``spread``."""
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i] * rng.uniform(1 - spread, 1.0), i))
+    return best_fit([], order, sizes, capacity)
 
 
 def evolve(sizes: list[int], capacity: int, elites: list[Bins], seed: int, population: int, generations: int) -> list[Bins]:
     """The fittest two packings after some generations, best first."""
     rng = random.Random(seed)
-    n, goal = len(sizes), least_bins(sizes, capacity)
-    down = sorted(range(n), key=lambda i: (-sizes[i], i))
-    people = list(elites)
-    while len(people) < population:
-        order = list(down)
-        if people:  # all but the first begin from a disturbed order
-            order.sort(key=lambda i: (-sizes[i] * rng.uniform(0.8, 1.0), i))
-        people.append(best_fit([], order, sizes, capacity))
-        if len(people[-1]) <= goal:
+    goal = least_bins(sizes, capacity)
+    serial = itertools.count()
+    rated = lambda bins: (*score(bins, sizes, capacity), next(serial), bins)
+    people = [rated(b) for b in elites]
+    for k in range(len(people), population):
+        people.append(rated(found(sizes, capacity, rng, k / population)))
+        if people[-1][0] <= goal:
             break
-    scored = sorted(((len(b), -fitness(b, sizes, capacity), k, b) for k, b in enumerate(people)))
-    serial = len(people)
+    people.sort()
     for _ in range(generations):
-        if scored[0][0] <= goal:
+        if people[0][0] <= goal:
             break
-        for _ in range(population // 2):
-            pick = lambda: min(rng.sample(range(len(scored)), min(3, len(scored))))
-            child = mutate(crossover(scored[pick()][3], scored[pick()][3], sizes, capacity, rng), sizes, capacity, rng)
-            serial += 1
-            scored.append((len(child), -fitness(child, sizes, capacity), serial, child))
-        scored = sorted(scored)[:population]
-    return [b for *_, b in scored[:2]]
+        for _ in range(max(1, population // 2)):
+            pick = lambda: min(rng.sample(people, min(2, len(people))))[3]
+            people.append(rated(crossover(pick(), pick(), sizes, capacity, rng)))
+        people = sorted(people)[:population]
+    return [p[3] for p in people[:2]]
 
 
 STATE = "shard long, island int, ids array<long>, parts array<int>, sizes array<int>, elites array<array<int>>, n_bins int, done boolean"
@@ -168,7 +196,7 @@ def _pack_shards(items: DataFrame, capacity: int, seed: int, islands: int, epoch
 
 def pack(
     sizes: DataFrame, id_col: str = "doc_id", size_col: str = "tokens", capacity: int = 4096, seed: int = 7,
-    shard_items: int = 2000, islands: int = 3, epochs: int = 2, population: int = 6, generations: int = 6,
+    shard_items: int = 2000, islands: int = 3, epochs: int = 2, population: int = 8, generations: int = 8,
 ) -> DataFrame:
     """(container, id, part, size): every item in exactly one container of at most ``capacity``.
 
@@ -194,8 +222,8 @@ def pack(
     while n:
         shards = max(1, -(-n // shard_items))
         rest = rest.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + level), "id", "part"), F.lit(shards)))
-        # a task per few shards: the work is in the breeding, not in the bytes
-        rest = rest.repartition(min(shards, 4096), "shard")
+        # a task for few shards, however many there are: the work is in the breeding, not in the bytes
+        rest = rest.repartition(max(min(shards, 64), -(-shards // 16)), "shard")
         packed = materialize(_pack_shards(rest, capacity, seed + level, islands, epochs, population, generations), "packed")
         name = F.concat_ws("-", F.lit(f"level{level}"), "shard", "bin")
         if shards == 1:

@@ -79,7 +79,7 @@ def masked(text: Column) -> Column:
     # letters; shortened words and units that may close a sentence, before a capital, a number or a name
     may = rf"\s++(?:[{OPEN}¿¡]*+\s*+[\p{{Lu}}\p{{N}}]|(?:{_CODE}))"
     closing = rf"{word}(?:[ap]{MASK}m|[тТ](?:{MASK}|\. {{0,3}})[дп]|(?<=\d {{1,3}})\p{{Ll}}|(?:{_words(CLOSING)}))\."
-    letters = rf"{word}[\p{{Lu}}\p{{Ll}}\p{{IsArabic}}](?:{MASK}\p{{L}}){{0,4}}\."
+    letters = rf"{word}[\p{{Lu}}\p{{Ll}}\p{{IsArabic}}](?:{MASK}\p{{L}}){{0,24}}\."
     t = sub(
         t,
         rf"\.(?:(?<={closing})(?!{may})|(?<={letters})(?<!{closing})(?!(?<=\p{{Lu}}\.)\s+(?:{_words(STARTERS)})\b)"
@@ -116,23 +116,13 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def unit_ends(text: Column, chunk: int = 256) -> Column:
-    """The array of end positions (characters up to and with the unit's last one), in order.
+def _over_chunks(pieces: Column, chunk: int, body) -> Column:
+    """``body(pieces, start)`` of each chunk of pieces, in one array; ``start`` is the chunk's first position.
 
     Lengths are summed up within chunks of pieces and over chunks, so very long texts stay cheap.
     """
     zero, none = F.lit(0).cast("bigint"), F.array().cast("array<bigint>")
 
-    def ends(pieces: Column, at: Column) -> Column:
-        return F.aggregate(
-            pieces,
-            F.struct(at.alias("at"), none.alias("ends")),
-            lambda s, p: F.struct(
-                (s["at"] + F.length(p)).alias("at"),
-                F.when(F.length(F.btrim(p)) > 0, F.array_append(s["ends"], s["at"] + F.length(F.rtrim(p)))).otherwise(s["ends"]).alias("ends"),
-            ),
-        )["ends"]
-
     def starts(chunks: Column) -> Column:
         sizes = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda s, p: s + F.length(p)))
         return F.aggregate(
@@ -145,8 +135,48 @@ def unit_ends(text: Column, chunk: int = 256) -> Column:
         last = F.floor((F.size(pieces) - 1) / chunk).cast("int")
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(pieces, i * chunk + 1, F.lit(chunk)))
 
-    parts = _let(F.split(cut(text), CUT), chunks)
-    return _let(parts, lambda c: F.flatten(F.zip_with(c, starts(c), ends)))
+    return _let(_let(pieces, chunks), lambda c: F.flatten(F.zip_with(c, starts(c), body)))
+
+
+def _fold(pieces: Column, start: Column, kind: str, unit) -> Column:
+    """An array with ``unit(at, piece)`` of each piece that isn't blank; ``at`` is the piece's position."""
+    return F.aggregate(
+        pieces,
+        F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
+        lambda s, p: F.struct(
+            (s["at"] + F.length(p)).alias("at"), F.when(F.length(F.btrim(p)) > 0, F.array_append(s["out"], unit(s["at"], p))).otherwise(s["out"]).alias("out")
+        ),
+    )["out"]
+
+
+def unit_ends(text: Column, chunk: int = 256) -> Column:
+    """The array of end positions (characters up to and with the unit's last one), in order."""
+    ends = lambda pieces, start: _fold(pieces, start, "bigint", lambda at, p: at + F.length(F.rtrim(p)))
+    return _over_chunks(F.split(cut(text), CUT), chunk, ends)
+
+
+def units(text: Column, chunk: int = 64) -> Column:
+    """The array of (end_char, unit), in order.
+
+    Each unit is cut from its chunk of the text, and each chunk from the text, so a unit costs its
+    chunk's length, not the text's.
+    """
+
+    def within(pieces: Column, start: Column) -> Column:
+        size = F.aggregate(pieces, F.lit(0).cast("bigint"), lambda s, p: s + F.length(p))
+        part = F.substring(text, start.cast("int") + 1, size.cast("int"))
+
+        def unit(whole: Column):
+            def one(at: Column, p: Column) -> Column:
+                n = F.length(F.rtrim(p))
+                raw = F.substring(whole, (at - start + 1).cast("int"), n)
+                return F.struct((at + n).alias("end_char"), F.regexp_replace(raw, r"^[\s﻿ 　]+", "").alias("unit"))
+
+            return one
+
+        return _let(part, lambda whole: _fold(pieces, start, "struct<end_char:bigint,unit:string>", unit(whole)))
+
+    return _over_chunks(F.split(cut(text), CUT), chunk, within)
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,12 +185,9 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Null, empty and blank texts give no rows; ids may repeat (each row is split for itself).  A
     row's work depends on its own text only, so nothing is shuffled; whole texts are read.
     """
-    e = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__t"), unit_ends(F.col(text_col)).alias("__e"))
-    u = e.select(id_col, "__t", "__e", F.posexplode("__e").alias("unit_no", "end_char"))
-    start = F.when(F.col("unit_no") == 0, F.lit(0)).otherwise(F.element_at("__e", F.col("unit_no")))
-    raw = F.substring(F.col("__t"), start.cast("int") + 1, (F.col("end_char") - start).cast("int"))
-    unit = F.regexp_replace(raw, r"^[\s﻿ 　]+", "")
-    return u.select(id_col, "unit_no", (F.col("end_char") - F.length(unit)).alias("start_char"), "end_char", unit.alias("unit"))
+    u = docs.select(F.col(id_col).alias(id_col), F.posexplode(units(F.col(text_col))).alias("unit_no", "u"))
+    end, unit = F.col("u.end_char"), F.col("u.unit")
+    return u.select(id_col, "unit_no", (end - F.length(unit)).alias("start_char"), end.alias("end_char"), unit.alias("unit"))
 
 
 def sentence_ends(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,15 +35,17 @@ def encoder(vocabulary: str):
 def token_counts(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """The columns ``keep`` and ``tokens``, the size of the whole text.
 
+    ``vocabulary`` is the path of a rank file that all workers can open; without one, each takes
+    that of its own installed tokenizers.
+
     A null or empty text has 0 tokens; strings that name special tokens are ordinary text.  Texts
     go through Arrow batches once and aren't shuffled.
     """
     ship(docs.sparkSession)
-    path = vocabulary or default_vocabulary()
     out = T.StructType([docs.schema[c] for c in keep] + [T.StructField("tokens", T.LongType(), False)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(vocabulary or default_vocabulary()).encode_ordinary
         for b in batches:
             sizes = [len(encode(t)) if t else 0 for t in b.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
