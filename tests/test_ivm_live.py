@@ -55,6 +55,26 @@ def test_delta_equals_recomputation(spark, rows, name):
     assert rows(node.delta(old, {"b": change["b"]})) == rows(V.recomputed_delta(node, old, {"b": change["b"]}))
 
 
+@pytest.mark.parametrize("name", [n for n in NODES if n != "top_k"])
+def test_moves_equal_one_transaction_after_the_other(spark, rows, name):
+    """Changes of several LSNs in one plan give the diffs that they give one by one."""
+    old, change = _case(spark, sum(map(ord, name)) % 89)
+    lsn = F.pmod(F.col("id") + F.coalesce("v", F.lit(0)), F.lit(3)).cast("bigint") + 10
+    timed = {n: S.consolidate(c.withColumn(S.LSN, lsn)) for n, c in change.items()}
+    node, want = NODES[name](), []
+    assert node.timed()
+    for at in (10, 11, 12):
+        before = {n: S.concat(t, timed[n].filter(F.col(S.LSN) < at).drop(S.LSN)) for n, t in old.items()}
+        now = {n: c.filter(F.col(S.LSN) == at).drop(S.LSN) for n, c in timed.items()}
+        want += [(at, *r) for r in map(tuple, node.delta(before, now).collect())]
+    got = S.consolidate(node.moves(old, timed))
+    cols = [c for c in got.columns if c not in (S.LSN, S.DIFF)]
+    assert rows(got.select(S.LSN, *cols, S.DIFF)) == sorted(want, key=repr)
+    if name == "summed":
+        held = node.accumulated(old)
+        assert rows(S.consolidate(node.moves(old, timed, held)).select(S.LSN, *cols, S.DIFF)) == sorted(want, key=repr)
+
+
 def test_consolidate_and_pair(spark, rows):
     d = spark.createDataFrame([(1, "a", -1, 5), (1, "b", 1, 5), (2, "x", 1, 5), (2, "x", -1, 5), (3, "n", 1, 6), (4, "z", -1, 6), (None, "q", 1, 6)], "id int, t string, _diff bigint, _lsn bigint")
     got = sorted(((r.lsn, r.op, r.old.t if r.old else None, r.new.t if r.new else None) for r in S.pair(d, ["id"]).collect()), key=repr)
@@ -130,6 +150,28 @@ def test_batches_do_not_matter(spark, rows):
     assert rows(one.diffs()) == rows(many.diffs())
 
 
+@pytest.mark.parametrize("name", ["join", "anti", "aggregate", "top_k"])
+def test_kept_views_equal_evaluation(spark, rows, name):
+    """Views of all kinds over many transactions a batch, compacted on the way."""
+    rng, node = random.Random(3), NODES[name]()
+    start = {n: [(i, i % 3, i % 4) for i in range(6)] for n in node.sources()}
+    seed = {n: spark.createDataFrame(r, SCHEMA) for n, r in start.items()}
+    v = LiveView(spark, scratch(spark, "lv"), node, {n: t.schema for n, t in seed.items()}, max_parts=3)
+    v.seed(seed)
+    log, lsn = [], 0
+    for lsn in range(1, 13):
+        n = rng.choice(sorted(start))
+        row = (100 + lsn, rng.randrange(3), rng.randrange(4))
+        gone = start[n].pop(rng.randrange(len(start[n])))
+        start[n].append(row)
+        log.append((n, *_change(lsn, 0, "U", gone, row)[1:]))
+    for i in (0, 6):
+        assert v.apply(spark.createDataFrame(log[i : i + 6], CHANGE), f"b{i}") == 6
+    now = {n: spark.createDataFrame(r, SCHEMA) for n, r in start.items()}
+    assert rows(v.result()) == rows(S.expand(S.consolidate(node.full({n: S.seed(t) for n, t in now.items()}))))
+    assert v.diffs().filter(F.col(S.LSN) > 12).count() == 0 and not v._parts("held-")
+
+
 def test_streamed_log(spark, rows):
     v, root = _view(spark), scratch(spark, "stream")
     _log(spark, 10, 20).write.parquet(f"{root}/log")
@@ -220,6 +262,21 @@ def test_schema_drift(spark):
         v.seed({"a": spark.createDataFrame([(1,)], "id int")})
 
 
+def test_reseeding_tells_why(spark, rows):
+    v, hub = _view(spark), Hub()
+    hub.subscribe("s", v)
+    v.apply(_log(spark, 10, 20), "b0")
+    hub.poll("s")
+    assert hub.lag(25) == {"s": 25}
+    hub.ack("s", 20)
+    assert hub.lag(25) == {"s": 5}
+    (sub, m), = hub.reseed(v, {"a": spark.createDataFrame([(5, 5, 5)], SCHEMA)}, 40)
+    assert (sub, m.kind, m.reason, m.lsn, rows(m.rows)) == ("s", "resync", Reason.SLOT_RECREATED, 40, [(5, 1, 5)])
+    wide = spark.createDataFrame([(5, 5, 5, "x")], SCHEMA + ", t string")
+    (_, m), = hub.reseed(v, {"a": wide}, 50, {"a": wide.schema})
+    assert (m.reason, v.lsn) == (Reason.SCHEMA_CHANGED, 50)
+
+
 def test_partial_keys_and_local_writes():
     k = MaterializedKeys()
     assert [k.lookup((1,)), k.lookup((1,))] == ["miss", "pending"]

@@ -67,6 +67,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete intermediate tables made by ``materialize`` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        root = f"/tidemark/{spark.sparkContext.applicationId}/"
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if root in folder:  # never a table of anyone else's
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _shipped: set[str] = set()
 
 
@@ -79,7 +90,6 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    _shipped.add(sc.applicationId)
     package = pathlib.Path(__file__).parent
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
@@ -91,3 +101,4 @@ def ship(spark: SparkSession) -> None:
     out.write(bytearray(data.getvalue()))
     out.close()
     sc.addPyFile(path)
+    _shipped.add(sc.applicationId)

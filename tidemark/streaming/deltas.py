@@ -91,6 +91,12 @@ def untold(changes: DataFrame, schema: T.StructType) -> DataFrame:
     return _parsed(changes, schema).filter((F.col("kind") != "I") & (F.size("told") < len(schema)))
 
 
+def is_untold(schema: T.StructType) -> Column:
+    """The same as a condition on a raw change."""
+    none = F.array().cast("array<string>")
+    return (kind().isin("U", "D")) & (F.size(F.coalesce(F.json_object_keys("old"), none)) < len(schema))
+
+
 def _completed(c: DataFrame, schema: T.StructType, base: DataFrame, key: list[str]) -> DataFrame:
     """Images with the columns they leave out: from the row's earlier changes, else from ``base``.
 

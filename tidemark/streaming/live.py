@@ -1,13 +1,15 @@
 """Live views: a change log read by Structured Streaming, kept results, ordered diffs, subscriptions.
 
 Base tables are signed parts (a seed and one part per batch), so a batch appends and never rewrites;
-``compact`` folds the parts.  A batch is written under its own id and shown by one manifest
+``compact`` folds the parts.  All transactions of a batch go through one plan that carries their
+LSNs (``Node.moves``), and of sums the view keeps the accumulators, so a batch costs the same
+number of jobs and parts however many transactions it holds.  A batch is shown by one manifest
 replacement, so a replayed batch changes nothing.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from dataclasses import dataclass, field
 from enum import Enum
 
@@ -16,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from tidemark.session import discard, materialize
 from tidemark.sources.store import Store
 from tidemark.streaming import deltas as S
-from tidemark.streaming.ivm import Node
+from tidemark.streaming.ivm import Node, Summed
 
 #: A typed change: op is I, U, D, T (truncate) or COMMIT (no row: its LSN is complete); images are JSON text.
 CHANGE = "table STRING, xid BIGINT, lsn BIGINT, seq INT, op STRING, old STRING, new STRING, unchanged_cols ARRAY<STRING>"
@@ -63,10 +66,10 @@ class LiveView:
 
     def __init__(
         self, spark: SparkSession, root: str, node: Node, schemas: dict[str, T.StructType], keys: list[str] | None = None,
-        table_keys: dict[str, list[str]] | None = None,
+        table_keys: dict[str, list[str]] | None = None, max_parts: int = 64,
     ) -> None:
         self.spark, self.node, self.schemas, self.keys, self.table_keys = spark, node, schemas, keys, table_keys or {}
-        self.store = Store(spark, root)
+        self.store, self.max_parts = Store(spark, root), max_parts
 
     # --- state ---------------------------------------------------------------------------------
 
@@ -83,7 +86,17 @@ class LiveView:
         return [p for n, p in sorted(self.store.manifest()["parts"].items()) if n.startswith(prefix)]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(*self._parts(f"base-{name}-"))
+        return self._base(name, self.store.manifest()["parts"])
+
+    def _base(self, name: str, parts: dict[str, str]) -> DataFrame:
+        """A table as a signed multiset; LSNs of its changes aren't read."""
+        schema = T.StructType([*self.schemas[name].fields, T.StructField(S.DIFF, T.LongType())])
+        return self.spark.read.schema(schema).parquet(*[p for n, p in sorted(parts.items()) if n.startswith(f"base-{name}-")])
+
+    def _held(self, parts: dict[str, str]) -> DataFrame | None:
+        """The accumulators of a view of sums, in parts that add up."""
+        paths = [p for n, p in sorted(parts.items()) if n.startswith("sums-")]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def result(self) -> DataFrame:
         """The rows of the view at ``lsn``."""
@@ -97,7 +110,7 @@ class LiveView:
     def diffs(self, after: int = -1) -> DataFrame | None:
         """(_lsn, row columns, _diff) of all transactions after a position; None if there were none."""
         parts = self._parts("diff-")
-        return self.spark.read.parquet(*parts).filter(F.col(S.LSN) > after) if parts else None
+        return self.spark.read.parquet(*parts).filter(F.col(S.LSN) > max(after, self.earliest)) if parts else None
 
     def events(self, after: int = -1) -> DataFrame | None:
         """(lsn, op, old, new): diffs paired by the view's key (by the whole row without one)."""
@@ -113,8 +126,10 @@ class LiveView:
         loaded = {n: self.spark.read.parquet(parts[f"base-{n}-seed"]) for n in base}
         view = S.consolidate(self.node.full(loaded))
         parts["view-seed"] = self.store.write_part(view, "view-seed")
+        if isinstance(self.node, Summed):
+            parts["sums-seed"] = self.store.write_part(self.node.accumulated(loaded), "sums-seed")
         m = self.store.manifest()
-        self.store.commit(m | {"parts": parts, "lsn": lsn, "earliest": lsn, "seeded": lsn, "batches": [], "schema": view.schema.jsonValue()})
+        self.store.commit(m | {"parts": parts, "lsn": lsn, "earliest": lsn, "seeded": lsn, "batches": [], "streams": {}, "schema": view.schema.jsonValue()})
 
     def _checked(self, name: str, df: DataFrame) -> DataFrame:
         want = [(f.name, f.dataType) for f in self.schemas[name]]
@@ -122,17 +137,19 @@ class LiveView:
             raise SchemaDriftError(f"{name}: {df.schema.simpleString()}")
         return df
 
-    def _signed(self, changes: DataFrame, name: str, lsn: int, old: DataFrame) -> DataFrame | None:
+    def _signed(self, changes: DataFrame, name: str, old: DataFrame, untold: bool) -> DataFrame:
+        """Signed rows with LSNs of a table's changes without TRUNCATE."""
+        mine = changes.filter(F.col("table") == name)
+        return S.from_changes(mine, self.schemas[name], old, self.table_keys[name]) if untold else S.from_changes(mine, self.schemas[name])
+
+    def _emptied(self, changes: DataFrame, name: str, lsn: int, old: DataFrame) -> DataFrame:
+        """The same for one LSN with a TRUNCATE: what comes after it begins with an empty table."""
         mine = changes.filter(F.col("table") == name)
         last = mine.filter(S.kind() == "T").agg(F.max("seq")).first()[0]
         after = mine if last is None else mine.filter(F.col("seq") > last)
-        schema, key = self.schemas[name], self.table_keys.get(name)
-        base = old if last is None else old.limit(0)
-        if key and S.untold(after, schema).take(1):
-            d = S.from_changes(after, schema, base, key).drop(S.LSN)
-        else:
-            d = S.from_changes(after, schema).drop(S.LSN)
-        return d if last is None else S.concat(S.truncation(old, lsn).drop(S.LSN), d)
+        base, key = old if last is None else old.limit(0), self.table_keys.get(name)
+        d = S.from_changes(after, self.schemas[name], base, key) if key else S.from_changes(after, self.schemas[name])
+        return d if last is None else S.concat(S.truncation(old, lsn), d)
 
     def _unseen(self, changes: DataFrame, m: dict) -> DataFrame:
         """Changes the view hasn't had, told by (lsn, seq); those in the seed are had as well."""
@@ -145,49 +162,87 @@ class LiveView:
                 raise LateChangeError(f"change ({row.lsn}, {row.seq}) of {row.table} came after the view reached {m['lsn']}")
         return new
 
-    def apply(self, changes: DataFrame, batch_id: str, more: bool = False) -> int:
-        """Apply committed changes the view hasn't had, one transaction after the other; returns their number.
+    def apply(self, changes: DataFrame, batch_id: str | int, more: bool = False, stream: str | None = None) -> int:
+        """Apply committed changes the view hasn't had; returns the number of their transactions.
 
         A transaction is all changes of one LSN and gives one diff.  Repeated changes (same LSN and
         seq) count once; other changes at or below ``lsn`` are an error.  With ``more``, changes of
         the last LSN may still come: it is held back until a higher LSN, its COMMIT or ``settle``.
+        Batches of a ``stream`` are numbered upwards, others have ids of their own.
         """
         m = self.store.manifest()
-        if batch_id in m["batches"]:
+        if batch_id in m["batches"] or (stream is not None and batch_id <= m["streams"].get(stream, -1)):
             return 0
         commit = F.coalesce(F.upper(F.trim("op")) == "COMMIT", F.lit(False))
         held = [p for n, p in m["parts"].items() if n.startswith("held-")]
-        changes = (changes.unionByName(self.spark.read.schema(CHANGE).parquet(*held)) if held else changes).cache()
+        changes = changes.unionByName(self.spark.read.schema(CHANGE).parquet(*held)) if held else changes
+        changes = materialize(changes, "batch")
         mine = changes.filter(F.col("table").isin(*self.node.sources()) & ~commit).dropDuplicates(["lsn", "seq"])
-        new = self._unseen(mine, m).cache()
-        positions = [r[0] for r in new.select("lsn").distinct().orderBy("lsn").collect()]
+        new = materialize(self._unseen(mine, m), "new")
+        tag = f"{m['version']:08d}"
         parts = {n: p for n, p in m["parts"].items() if not n.startswith("held-")}
-        last = changes.agg(F.max("lsn"), F.max(F.when(commit, F.col("lsn")))).first() if more and positions else (None, None)
-        if more and positions and positions[-1] == last[0] != last[1]:
-            name = f"held-{batch_id}"
-            parts[name] = self.store.write_part(new.filter(F.col("lsn") == positions.pop()), name)
-        if positions:
-            name = f"seen-{batch_id}"
-            parts[name] = self.store.write_part(new.filter(F.col("lsn") <= positions[-1]).select("lsn", "seq"), name)
-        for lsn in positions:
-            tx = new.filter(F.col("lsn") == lsn)
-            paths = lambda prefix: [p for n, p in sorted(parts.items()) if n.startswith(prefix)]
-            old = {n: self.spark.read.parquet(*paths(f"base-{n}-")) for n in self.node.sources()}
-            change = {}
-            for n in self.node.sources():
-                name = f"base-{n}-{batch_id}-{lsn}"
-                path = self.store.write_part(S.consolidate(self._signed(tx, n, lsn, old[n])), name)
-                parts[name], change[n] = path, self.spark.read.schema(old[n].schema).parquet(path)
-            delta = self.node.delta(old, change)
-            # one part serves as diff and, without its LSN, as a change of the kept result
-            path = self.store.write_part(delta.withColumn(S.LSN, F.lit(lsn).cast("bigint")), f"diff-{lsn:020d}-{batch_id}")
-            parts[f"diff-{lsn:020d}-{batch_id}"] = parts[f"view-{batch_id}-{lsn}"] = path
-        new.unpersist()
-        changes.unpersist()
-        self.store.commit(m | {"parts": parts, "lsn": max([m["lsn"], *positions]), "batches": [*m["batches"], batch_id][-1000:]})
+        top = new.agg(F.max("lsn")).first()[0]
+        if more and top is not None:
+            last = changes.agg(F.max("lsn"), F.max(F.when(commit, F.col("lsn")))).first()
+            if top == last[0] != last[1]:
+                parts[f"held-{tag}"] = self.store.write_part(new.filter(F.col("lsn") == top), f"held-{tag}")
+                new = new.filter(F.col("lsn") < top)
+        emptied = F.when(S.kind() == "T", F.col("lsn"))
+        n, top, cut = new.agg(F.count_distinct("lsn"), F.max("lsn"), F.sort_array(F.collect_set(emptied))).first()  # TRUNCATEs are few
+        if n:
+            parts[f"seen-{tag}"] = self.store.write_part(new.select("lsn", "seq"), f"seen-{tag}")
+            spans, at = [], m["lsn"]
+            for lsn in cut:
+                spans += [(at + 1, lsn - 1, False), (lsn, lsn, True)]
+                at = lsn
+            for i, (lo, hi, truncates) in enumerate([*spans, (at + 1, top, False)] if at < top else spans):
+                if lo <= hi:
+                    part = new.filter((F.col("lsn") >= lo) & (F.col("lsn") <= hi)) if spans else new
+                    self._advance(part, hi, truncates, parts, f"{tag}-{i}")
+        done = {"streams": m["streams"] | {stream: batch_id}} if stream is not None else {"batches": [*m["batches"], batch_id]}
+        self.store.commit(m | {"parts": parts, "lsn": max(m["lsn"], top or -1)} | done)
+        discard(changes, new)
         for p in held:
             self.store.delete(p)
-        return len(positions)
+        if sum(x.startswith(("base-", "view-")) for x in parts) > self.max_parts:
+            self.compact(m["earliest"])
+        return n
+
+    def _advance(self, changes: DataFrame, hi: int, truncates: bool, parts: dict[str, str], tag: str) -> None:
+        """Write what the changes up to ``hi`` do to tables, sums and view; name it in ``parts``."""
+        names = sorted(self.node.sources())
+        old = {n: self._base(n, parts) for n in names}
+        lost = [F.max((F.col("table") == n) & S.is_untold(self.schemas[n])) if n in self.table_keys else F.lit(False) for n in names]
+        untold = changes.agg(*[c.alias(f"c{i}") for i, c in enumerate(lost)]).first()
+        change = {}
+        for i, n in enumerate(names):
+            signed = self._emptied(changes, n, hi, old[n]) if truncates else self._signed(changes, n, old[n], bool(untold[i]))
+            name = f"base-{n}-{tag}"
+            parts[name] = self.store.write_part(S.consolidate(signed), name)
+            change[n] = self.spark.read.schema(T.StructType([*self.schemas[n].fields, T.StructField(S.LSN, T.LongType()), T.StructField(S.DIFF, T.LongType())])).parquet(parts[name])
+        if isinstance(self.node, Summed) and self.node.timed():
+            held = self._held(parts)
+            parts[f"sums-{tag}"] = self.store.write_part(self.node.accumulated({n: c.drop(S.LSN) for n, c in change.items()}), f"sums-{tag}")
+            moves = S.consolidate(self.node.moves(old, change, held))
+        elif self.node.timed():
+            moves = S.consolidate(self.node.moves(old, change))
+        else:
+            moves = self._one_by_one(old, change)
+        # one part serves as diff and, without its LSNs, as a change of the kept result
+        parts[f"diff-{hi:020d}-{tag}"] = parts[f"view-{tag}"] = self.store.write_part(moves, f"diff-{tag}")
+
+    def _one_by_one(self, old: dict[str, DataFrame], change: dict[str, DataFrame], at_once: int = 8) -> DataFrame:
+        """The same for views that are evaluated as a whole (a global top-k, a fixpoint): a plan a transaction."""
+        lsns = sorted({r[0] for c in change.values() for r in c.select(S.LSN).distinct().collect()})
+        done: list[DataFrame] = []
+        for i in range(0, len(lsns), at_once):
+            some = []
+            for lsn in lsns[i : i + at_once]:
+                before = {n: S.concat(old[n], c.filter(F.col(S.LSN) < lsn).drop(S.LSN)) for n, c in change.items()}
+                now = {n: c.filter(F.col(S.LSN) == lsn).drop(S.LSN) for n, c in change.items()}
+                some.append(self.node.delta(before, now).withColumn(S.LSN, F.lit(lsn).cast("bigint")))
+            done.append(materialize(S.concat(*some), "moves"))
+        return S.concat(*done)
 
     def run(self, log_dir: str, checkpoint: str, available_now: bool = True, files_per_batch: int = 16) -> StreamingQuery:
         """Stream a folder of change files (Parquet, schema ``CHANGE``) into the view.
@@ -197,7 +252,7 @@ class LiveView:
         transaction is complete; else it is shown after the next one or its COMMIT.
         """
         stream = self.spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", files_per_batch).parquet(log_dir)
-        writer = stream.writeStream.foreachBatch(lambda df, i: self.apply(df, f"b{i}", more=True) and None).option("checkpointLocation", checkpoint)
+        writer = stream.writeStream.foreachBatch(lambda df, i: self.apply(df, i, True, checkpoint) and None).option("checkpointLocation", checkpoint)
         return DrainingQuery(writer.trigger(availableNow=True).start(), self) if available_now else writer.start()
 
     def settle(self) -> int:
@@ -215,6 +270,8 @@ class LiveView:
         tag = f"c{m['version']}"
         if seen := self._parts("seen-"):
             parts[f"seen-{tag}"] = self.store.write_part(self.spark.read.parquet(*seen).sort("lsn", "seq"), f"seen-{tag}")
+        if (held := self._held(m["parts"])) is not None:
+            parts[f"sums-{tag}"] = self.store.write_part(self.node._add(held), f"sums-{tag}")
         for n in self.node.sources():
             parts[f"base-{n}-{tag}"] = self.store.write_part(S.consolidate(self.table(n)), f"base-{n}-{tag}")
         parts[f"view-{tag}"] = self.store.write_part(self._net(), f"view-{tag}")
@@ -300,6 +357,18 @@ class Hub:
     def compact(self, view: LiveView) -> None:
         view.compact(self.frontier(view))
 
+    def reseed(self, view: LiveView, tables: dict[str, DataFrame], lsn: int, schemas: dict[str, T.StructType] | None = None) -> list[tuple[str, Message]]:
+        """Begin a view anew from a snapshot: after its tables have other columns (``schemas``), or
+        after the log's slot was lost; every subscriber is sent fresh rows with the reason."""
+        if schemas:
+            view.schemas = view.schemas | schemas
+        view.seed(tables, lsn)
+        return self.resync_all(view, Reason.SCHEMA_CHANGED if schemas else Reason.SLOT_RECREATED)
+
+    def lag(self, head_lsn: int) -> dict[str, int]:
+        """How far each subscriber's acknowledgement is behind the head of the log."""
+        return {s.id: max(0, head_lsn - max(s.last_acked, s.view.earliest)) for s in self.subscriptions.values()}
+
     def resync_all(self, view: LiveView, reason: Reason) -> list[tuple[str, Message]]:
         return [(s.id, self._fresh(s, "resync", reason)) for s in self.subscriptions.values() if s.view is view]
 
@@ -326,10 +395,17 @@ class MaterializedKeys:
 
 
 class ProgressMetrics(StreamingQueryListener):
-    """Counts batches and rows of streaming queries, with the last batch's duration."""
+    """Counts batches and rows of streaming queries, with the last batch's duration and quantiles of
+    the last ``window`` durations."""
 
-    def __init__(self) -> None:
+    def __init__(self, window: int = 1024) -> None:
         self.counts: Counter = Counter()
+        self.durations: deque[int] = deque(maxlen=window)
+
+    def quantile(self, q: float) -> float | None:
+        """The duration in milliseconds that a share ``q`` of the batches doesn't exceed."""
+        d = sorted(self.durations)
+        return d[min(len(d) - 1, int(q * len(d)))] if d else None
 
     def onQueryStarted(self, event) -> None:
         self.counts["started"] += 1
@@ -338,6 +414,7 @@ class ProgressMetrics(StreamingQueryListener):
         self.counts["batches"] += 1
         self.counts["rows"] += event.progress.numInputRows
         self.counts["last_ms"] = event.progress.batchDuration
+        self.durations.append(event.progress.batchDuration)
 
     def onQueryIdle(self, event) -> None:
         self.counts["idle"] += 1
