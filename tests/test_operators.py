@@ -1,6 +1,9 @@
-"""Golden rows of the relational operators, dialect functions, recursion and graphs."""
+"""Small cases of the relational operators, dialect functions, recursion and graphs."""
+
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import canon
@@ -10,21 +13,21 @@ from tidemark.operators import recursion
 from tidemark.operators import relational as R
 
 
-def test_distinct_on_golden(spark, rows):
-    a = spark.createDataFrame([(1, 42), (2, 42), (3, 7), (4, None), (5, None)], "id int, author_id int")
-    assert rows(R.distinct_on(a, ["author_id"], [D.desc("id")])) == sorted([(3, 7), (2, 42), (5, None)], key=repr)
-    assert R.distinct_on(a.limit(0), ["author_id"], [D.desc("id")]).count() == 0
+def test_distinct_on_first_of_each(spark, rows):
+    a = spark.createDataFrame([(21, "n"), (25, "n"), (23, "s"), (27, None), (28, None)], "num int, side string")
+    assert rows(R.distinct_on(a, ["side"], [D.desc("num")])) == sorted([(23, "s"), (25, "n"), (28, None)], key=repr)
+    assert R.distinct_on(a.limit(0), ["side"], [D.desc("num")]).count() == 0
 
 
-def test_set_operations_golden(spark, rows):
-    a, b = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id int"), spark.createDataFrame([(1,), (None,)], "x int")
+def test_set_operations_count_rows(spark, rows):
+    a, b = spark.createDataFrame([(5,), (5,), (5,), (8,), (None,)], "p int"), spark.createDataFrame([(5,), (None,), (9,)], "q int")
     got = {(k, al): rows(R.set_operation(a, b, k, al)) for k in ("except", "intersect") for al in (False, True)}
     assert got == {
-        ("except", False): [(2,)], ("except", True): [(1,), (2,)],
-        ("intersect", False): [(1,), (None,)], ("intersect", True): [(1,), (None,)],
+        ("except", False): [(8,)], ("except", True): [(5,), (5,), (8,)],
+        ("intersect", False): [(5,), (None,)], ("intersect", True): [(5,), (None,)],
     }
     with pytest.raises(ValueError):
-        R.set_operation(a, a.select("id", "id"), "union")
+        R.set_operation(a, a.select("p", "p"), "union")
 
 
 def test_null_order_and_ties(spark):
@@ -103,18 +106,48 @@ def test_canonical_forms(spark):
     assert v(canon.json_canonical(lit("not json"))) == "not json" and v(canon.json_canonical(lit(None).cast("string"))) is None
 
 
+def test_parallel_scans(spark, rows):
+    """Sums and positions over ranges equal those of one window, with a hot group, nulls and clashing names."""
+    rng = random.Random(8)
+    data = [(rng.choice(["hot"] * 9 + ["a", None]), i, rng.choice([None, *range(9)]), i % 3) for i in rng.sample(range(400), 400)]
+    df = spark.createDataFrame(data, "g string, at int, v int, before int").drop("before")
+    w = Window.partitionBy("g").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    assert rows(R.prefix_sum(df, ["g"], "at", "v")) == rows(df.withColumn("before", F.coalesce(F.sum("v").over(w), F.lit(0))))
+    assert R.prefix_sum(df.limit(0), ["g"], "at", "v").count() == 0
+    order = [D.desc("v"), D.asc("g")]
+    want = [tuple(r) for r in df.orderBy(*D.total_order(df, order)).collect()]
+    assert [tuple(r)[:3] for r in R.numbered(df, order).orderBy("n").collect()] == want
+
+
+def test_reducer_with_a_partial_stage(spark, rows):
+    df = spark.createDataFrame([(i % 2, i % 50) for i in range(300)], "k int, v int")
+    most = lambda pdf: pdf.sort_values(["v"]).tail(2)
+    out = [R.reduce_groups(df, ["k"], most, "k int, v int, n long", p, 4) for p in (None, most)]
+    assert rows(out[0]) == rows(out[1]) == [(0, 46, 6), (0, 48, 6), (1, 47, 6), (1, 49, 6)]
+
+
 def _reach(spark):
-    e = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (9, 8)], "id int, parent int")
-    return e.filter("parent = 1").select("id"), lambda r: r.join(e.withColumnRenamed("id", "child"), r["id"] == F.col("parent")).select("child")
+    e = spark.createDataFrame([(50, 7), (60, 50), (70, 60), (15, 13), (60, 7)], "inner int, outer int")
+    return e.filter("outer = 7").select("inner"), lambda r: r.join(e.withColumnRenamed("inner", "next"), r["inner"] == F.col("outer")).select("next")
 
 
-def test_recursion_golden(spark, rows):
+def test_recursion_rounds(spark, rows):
     base, step = _reach(spark)
-    assert rows(recursion.fixpoint(base, step)) == [(2,), (3,), (4,)]
-    assert rows(recursion.fixpoint(base, step, union_all=True)) == [(2,), (3,), (4,)]
+    assert rows(recursion.fixpoint(base, step)) == [(50,), (60,), (70,)]
+    assert rows(recursion.fixpoint(base, step, union_all=True)) == [(50,), (60,), (60,), (70,), (70,)]
     assert rows(recursion.fixpoint(base.limit(0), step)) == []
 
 
+def test_rows_met_before(spark, rows):
+    """Nulls in different columns are different rows; folding parts loses none."""
+    met = recursion.Met(spark, ["a", "b"], fan=2)
+    make = lambda *r: spark.createDataFrame(r, "a int, b int")
+    assert rows(met.add(make((None, 1), (1, None), (1, None), (None, None)))) == sorted([(None, 1), (1, None), (None, None)], key=repr)
+    assert rows(met.add(make((1, None), (1, 1)))) == [(1, 1)]
+    assert rows(met.add(make((None, None), (2, 2), (1, 1)))) == [(2, 2)] and len(met.parts) == 2
+    assert met.rows().count() == 5
+
+
 def test_recursion_on_cycles(spark, rows):
     e = spark.createDataFrame([(1, 2), (2, 1)], "src int, dst int")
     base = spark.createDataFrame([(1,)], "n int")

@@ -72,46 +72,55 @@ def test_limits():
 def tables(spark):
     make = spark.createDataFrame
     return {
-        "events": make([(1, 7, 10), (2, 7, 10), (3, 7, 20), (4, 9, 5)], "id int, category_id int, value int"),
-        "posts": make([(1, "alpha", True), (2, "beta", False), (3, "azzz", True)], "id int, title string, published boolean"),
-        "articles": make([(1, 42), (2, 42), (3, 7)], "id int, author_id int"),
-        "authors": make([(42, "Ada")], "id int, name string"),
-        "edges": make([(2, 1), (3, 2), (4, 3), (9, 8)], "id int, parent int"),
-        "core.records": make([(1, 1, '{"id":"p1"}'), (1, 2, '{"id":"p2"}'), (2, 1, '{"id":"p1","n":[1,2]}')], "id int, version int, project string"),
+        "readings": make([(11, 3, 40), (12, 3, 40), (13, 3, 65), (14, 5, -2)], "rid int, probe int, level int"),
+        "recipes": make([(1, "stew", True), (2, "pie", False), (3, "soup", True)], "num int, label string, served boolean"),
+        "loans": make([(61, 9), (62, 9), (63, 4)], "loan int, reader int"),
+        "readers": make([(9, "Noor")], "reader_id int, nick string"),
+        "rooms": make([(20, 10), (30, 20), (40, 30), (90, 80)], "room int, within int"),
+        "vault.papers": make([(5, 1, '{"desk":"d1"}'), (5, 2, '{"desk":"d2"}'), (6, 1, '{"desk":"d1","pages":[8,9]}')], "paper int, edition int, body string"),
     }
 
 
 @pytest.mark.parametrize(
     "sql,want",
     [
-        ("SELECT DISTINCT ON (author_id) id, author_id FROM articles ORDER BY author_id, id DESC", [(3, 7), (2, 42)]),
-        ("SELECT count(*), sum(value) FROM events", [(4, 45)]),
-        ("SELECT count(*), sum(value) FROM events WHERE id > 100", [(0, None)]),
-        ("SELECT id FROM events WHERE category_id = ANY('{7, 11}') ORDER BY id", [(1,), (2,), (3,)]),
-        ("SELECT id FROM events WHERE category_id IN (7,9) AND value BETWEEN 10 AND 20 AND id + 1 = 3", [(2,)]),
-        ("SELECT id, CASE WHEN published THEN 'live' END AS s, title || '!' FROM posts WHERE title LIKE 'a%' AND title NOT ILIKE '%ZZZ' AND title IS DISTINCT FROM 'q'", [(1, "live", "alpha!")]),
-        ("SELECT id FROM events WHERE category_id = 7 AND (value = 20 OR id = 1) ORDER BY id", [(1,), (3,)]),
-        ("SELECT (id + value) * 2 AS x FROM events WHERE id = 1", [(22,)]),
-        ("WITH RECURSIVE r AS (SELECT id FROM edges WHERE parent = 1 UNION SELECT e.id FROM edges e JOIN r ON e.parent = r.id) SELECT id FROM r ORDER BY id", [(2,), (3,), (4,)]),
-        ("WITH RECURSIVE r(n) AS (SELECT id FROM edges WHERE parent = 1 UNION ALL SELECT e.id FROM edges e JOIN r ON e.parent = r.n) SELECT n FROM r WHERE n < 4 ORDER BY n", [(2,), (3,)]),
-        ("SELECT a.id, name FROM articles a LEFT JOIN authors ON authors.id = a.author_id ORDER BY name DESC, a.id", [(3, None), (1, "Ada"), (2, "Ada")]),
-        ("SELECT category_id FROM events GROUP BY category_id HAVING avg(value) > 10", [(7,)]),
-        ("SELECT id FROM articles WHERE NOT EXISTS (SELECT 1 FROM authors WHERE authors.id = articles.author_id)", [(3,)]),
-        ("SELECT a.id, b.id FROM articles a JOIN articles b ON a.author_id = b.author_id WHERE a.id = 1 AND b.id <> 1", [(1, 2)]),
-        ("SELECT id FROM articles EXCEPT ALL SELECT id FROM posts WHERE id = 1 ORDER BY id LIMIT 1", [(2,)]),
-        ("SELECT project->>'id', project->'n'->>-1 FROM core.records WHERE id = 2", [("p1", "2")]),
-        ("SELECT 7/2, -7/2, 7%0, 1/0.0, '2.6'::float::int, 'yes'::bool, 1.0::text FROM authors", [(3, -3, None, None, 3, True, "1")]),
-        ("SELECT x.total FROM (SELECT category_id, sum(value) AS total FROM events GROUP BY category_id) AS x ORDER BY total DESC LIMIT 1", [(40,)]),
-        ("SELECT posts.* FROM posts ORDER BY title OFFSET 2", [(2, "beta", False)]),
+        ("SELECT DISTINCT ON (reader) reader, loan FROM loans ORDER BY reader, loan DESC", [(4, 63), (9, 62)]),
+        ("SELECT max(level), count(*), sum(level) FROM readings", [(65, 4, 143)]),
+        ("SELECT sum(level), count(level) FROM readings WHERE probe = 77", [(None, 0)]),
+        ("SELECT rid FROM readings WHERE probe = ANY('{5, 8}')", [(14,)]),
+        ("SELECT rid FROM readings WHERE level BETWEEN 41 AND 70 AND probe IN (3, 4) AND rid - 3 = 10", [(13,)]),
+        ("SELECT label || '?' AS q, CASE WHEN served THEN 'hot' ELSE 'cold' END FROM recipes WHERE label LIKE 's%' AND label NOT ILIKE '%TEW' AND label IS DISTINCT FROM 'pie'", [("soup?", "hot")]),
+        ("SELECT rid FROM readings WHERE (level = 65 OR rid = 14) AND NOT (probe = 5) ORDER BY rid", [(13,)]),
+        ("SELECT (level - rid) * 3 AS x FROM readings WHERE rid = 12", [(84,)]),
+        ("WITH RECURSIVE inner_rooms AS (SELECT room FROM rooms WHERE within = 10 UNION SELECT x.room FROM rooms x JOIN inner_rooms i ON x.within = i.room) SELECT room FROM inner_rooms ORDER BY room DESC", [(40,), (30,), (20,)]),
+        ("WITH RECURSIVE d(r) AS (SELECT room FROM rooms WHERE within = 20 UNION ALL SELECT x.room FROM rooms x JOIN d ON x.within = d.r) SELECT count(*) FROM d", [(2,)]),
+        ("SELECT nick, loan FROM loans LEFT JOIN readers ON readers.reader_id = loans.reader ORDER BY nick, loan DESC", [("Noor", 62), ("Noor", 61), (None, 63)]),
+        ("SELECT probe, min(level) AS low FROM readings GROUP BY probe HAVING avg(level) < 10", [(5, -2)]),
+        ("SELECT loan FROM loans WHERE NOT EXISTS (SELECT 1 FROM readers WHERE readers.reader_id = loans.reader)", [(63,)]),
+        ("SELECT one.loan, two.loan FROM loans one JOIN loans two ON one.reader = two.reader WHERE one.loan < two.loan", [(61, 62)]),
+        ("SELECT level FROM readings EXCEPT ALL SELECT level FROM readings WHERE rid = 11 ORDER BY level LIMIT 2", [(-2,), (40,)]),
+        ("SELECT body->>'desk', body->'pages'->>-2 FROM vault.papers WHERE paper = 6", [("d1", "8")]),
+        ("SELECT 9/4, -9/4, 5%0, 2/0.0, '3.4'::float::int, 'no'::bool, 2.0::text FROM readers", [(2, -2, None, None, 3, False, "2")]),
+        ("SELECT s.top FROM (SELECT probe, max(level) AS top FROM readings GROUP BY probe) AS s ORDER BY top LIMIT 1", [(-2,)]),
+        ("SELECT recipes.* FROM recipes ORDER BY label OFFSET 2", [(1, "stew", True)]),
     ],
 )
-def test_golden(spark, tables, sql, want):
+def test_served_rows(spark, tables, sql, want):
     assert [tuple(r) for r in Engine(spark, tables.get).sql(sql).collect()] == want
 
 
+def test_long_recursion(spark):
+    """A chain longer than any fixed number of rounds that one would think of in a test."""
+    chain = spark.range(1, 25).selectExpr("cast(id as int) AS room", "cast(id - 1 as int) AS within")
+    e = Engine(spark, {"rooms": chain}.get)
+    for every in ("", "ALL"):
+        sql = f"WITH RECURSIVE d(r) AS (SELECT room FROM rooms WHERE within = 0 UNION {every} SELECT x.room FROM rooms x JOIN d ON x.within = d.r) SELECT count(*), max(r) FROM d"
+        assert [tuple(r) for r in e.sql(sql).collect()] == [(24, 24)]
+
+
 def test_errors_of_running(spark, tables):
     e = Engine(spark, tables.get)
-    for sql in ("SELECT 1 FROM nowhere", "SELECT id FROM posts UNION SELECT id, title FROM posts", "SELECT DISTINCT ON (id) id FROM posts ORDER BY title", "SELECT id FROM posts WHERE id = $1"):
+    for sql in ("SELECT 1 FROM nowhere", "SELECT num FROM recipes UNION SELECT num, label FROM recipes", "SELECT DISTINCT ON (num) num FROM recipes ORDER BY label", "SELECT num FROM recipes WHERE num = $1"):
         with pytest.raises(SqlError):
             e.sql(sql)
 
@@ -120,34 +129,34 @@ def test_errors_of_running(spark, tables):
 
 
 def _rules(*rules, **fields):
-    cols = {"articles": ["id", "author_id"], "core.records": ["id", "version", "project"]}
+    cols = {"loans": ["loan", "reader"], "vault.papers": ["paper", "edition", "body"]}
     return RuleSet(list(rules), cols, fields)
 
 
 def test_rules_filter_every_scan(spark, tables, rows):
-    r = _rules(Rule("own", "articles", "author_id = $user.id AND (id = 1 OR id = 3)"), Rule("seven", "articles", "author_id = ANY($user.more)"), id="int", more="int")
-    g = Guarded(spark, tables.get, r, User(r.fields, {"id": 42, "more": [7]}))
-    assert rows(g.sql("SELECT id FROM articles")) == [(1,), (3,)]
-    assert rows(g.sql("SELECT a.id FROM articles a JOIN articles b ON a.id = b.id WHERE EXISTS (SELECT 1 FROM articles c WHERE c.id = a.id)")) == [(1,), (3,)]
-    assert rows(Guarded(spark, tables.get, r, User(r.fields, {"id": 0, "more": []})).sql("SELECT id FROM articles")) == []
-    assert g.sql("SELECT id FROM posts").count() == 3  # no rule, no filter
+    r = _rules(Rule("own", "loans", "reader = $user.id AND (loan = 61 OR loan = 63)"), Rule("more", "loans", "reader = ANY($user.more)"), id="int", more="int")
+    g = Guarded(spark, tables.get, r, User(r.fields, {"id": 9, "more": [4]}))
+    assert rows(g.sql("SELECT loan FROM loans")) == [(61,), (63,)]
+    assert rows(g.sql("SELECT a.loan FROM loans a JOIN loans b ON a.loan = b.loan WHERE EXISTS (SELECT 1 FROM loans c WHERE c.loan = a.loan)")) == [(61,), (63,)]
+    assert rows(Guarded(spark, tables.get, r, User(r.fields, {"id": 0, "more": []})).sql("SELECT loan FROM loans")) == []
+    assert g.sql("SELECT num FROM recipes").count() == 3  # no rule, no filter
 
 
 def test_latest_before_filter(spark, tables, rows):
-    r = _rules(Rule("p", "core.records", "$user.admin OR project->>'id' = ANY($user.p)", latest=Latest(("id",), "version")), admin="bool", p="text")
-    see = lambda **v: rows(Guarded(spark, tables.get, r, User(r.fields, v)).sql("SELECT id, version FROM core.records"))
-    assert see(admin=False, p=["p1"]) == [(2, 1)]  # the newer, hidden version hides the older one
-    assert see(admin=True, p=[]) == [(1, 2), (2, 1)]
+    r = _rules(Rule("p", "vault.papers", "$user.admin OR body->>'desk' = ANY($user.p)", latest=Latest(("paper",), "edition")), admin="bool", p="text")
+    see = lambda **v: rows(Guarded(spark, tables.get, r, User(r.fields, v)).sql("SELECT paper, edition FROM vault.papers"))
+    assert see(admin=False, p=["d1"]) == [(6, 1)]  # the newer, hidden version hides the older one
+    assert see(admin=True, p=[]) == [(5, 2), (6, 1)]
 
 
 @pytest.mark.parametrize(
     "rules,fields,code",
     [
-        ([Rule("a", "nope", "TRUE")], {}, "UnknownTable"), ([Rule("a", "articles", "zz = 1")], {}, "UnknownColumn"),
-        ([Rule("a", "articles", "id = $user.x")], {}, "UnknownUserField"), ([Rule("a", "articles", "id = 1"), Rule("a", "articles", "id = 2")], {}, "DuplicateRule"),
-        ([Rule("a", "articles", "id = 1"), Rule("b", "articles", "id  =  1")], {}, "AmbiguousRule"), ([Rule("a", "articles", "id = 1", "sometimes")], {}, "UnknownMode"),
-        ([Rule("a", "core.records", "id = 1", latest=Latest(("id",), "version")), Rule("b", "core.records", "id = 2")], {}, "LatestMismatch"),
-        ([Rule("a", "articles", "id = 1", "subscribe", Latest(("id",), "id"))], {}, "LatestOnSubscribe"), ([], {"x": "blob"}, "UnknownFieldType"),
+        ([Rule("a", "nope", "TRUE")], {}, "UnknownTable"), ([Rule("a", "loans", "zz = 1")], {}, "UnknownColumn"),
+        ([Rule("a", "loans", "loan = $user.x")], {}, "UnknownUserField"), ([Rule("a", "loans", "loan = 1"), Rule("a", "loans", "loan = 2")], {}, "DuplicateRule"),
+        ([Rule("a", "loans", "loan = 1"), Rule("b", "loans", "loan  =  1")], {}, "AmbiguousRule"), ([Rule("a", "loans", "loan = 1", "sometimes")], {}, "UnknownMode"),
+        ([Rule("a", "vault.papers", "paper = 1", latest=Latest(("paper",), "edition")), Rule("b", "vault.papers", "paper = 2")], {}, "LatestMismatch"),
+        ([Rule("a", "loans", "loan = 1", "subscribe", Latest(("loan",), "loan"))], {}, "LatestOnSubscribe"), ([], {"x": "blob"}, "UnknownFieldType"),
     ],
 )
 def test_bad_rules(rules, fields, code):
@@ -157,72 +166,74 @@ def test_bad_rules(rules, fields, code):
 
 
 def test_subscribing_and_users(spark, tables):
-    r = _rules(Rule("a", "articles", "$user.admin AND id > 0", "subscribe"), admin="bool")
+    r = _rules(Rule("a", "loans", "$user.admin AND loan > 0", "subscribe"), admin="bool")
     with pytest.raises(RuleError):
-        Guarded(spark, tables.get, r, User(r.fields, {"admin": False})).sql("SELECT id FROM articles")
-    assert Guarded(spark, tables.get, r, User(r.fields, {"admin": True})).sql("SELECT id FROM articles").count() == 3
+        Guarded(spark, tables.get, r, User(r.fields, {"admin": False})).sql("SELECT loan FROM loans")
+    assert Guarded(spark, tables.get, r, User(r.fields, {"admin": True})).sql("SELECT loan FROM loans").count() == 3
     for values in ({"other": 1}, {"admin": "yes"}):
         with pytest.raises(RuleError):
             User(r.fields, values).literal("admin")
-    assert fold(parser.parse_predicate("1 = 2 OR id = 1"), User({}, {})) is None
-    assert fold(parser.parse_predicate("NOT (1 = 1) AND id = 1"), User({}, {})) is False
+    assert fold(parser.parse_predicate("1 = 2 OR loan = 1"), User({}, {})) is None
+    assert fold(parser.parse_predicate("NOT (1 = 1) AND loan = 1"), User({}, {})) is False
 
 
 def test_toml():
-    rules, fields = load_toml('[[user_context]]\nname = "id"\ntype = "int"\n[[rule]]\nname = "r"\ntable = "articles"\npredicate = "id = $user.id"\nlatest = { key = ["id"], version = "v" }')
-    assert rules == [Rule("r", "articles", "id = $user.id", "both", Latest(("id",), "v"))] and fields == {"id": "int"}
+    rules, fields = load_toml('[[user_context]]\nname = "id"\ntype = "int"\n[[rule]]\nname = "r"\ntable = "loans"\npredicate = "loan = $user.id"\nlatest = { key = ["loan"], version = "v" }')
+    assert rules == [Rule("r", "loans", "loan = $user.id", "both", Latest(("loan",), "v"))] and fields == {"id": "int"}
 
 
 # --- named queries ------------------------------------------------------------------------------
 
 FILE = """
 -- name: Make :exec
-INSERT INTO posts VALUES ($1);
+INSERT INTO recipes VALUES ($1);
 -- live
--- name: ByTitle :many
-SELECT id FROM posts WHERE title LIKE $1 AND published = sqlc.narg(p) ORDER BY id;
+-- name: ByLabel :many
+SELECT num FROM recipes WHERE label LIKE $1 AND served = sqlc.narg(p) ORDER BY num;
 -- name: First :one
 -- live:
-SELECT id FROM articles WHERE author_id = ANY($1) ORDER BY id LIMIT $2;
+SELECT loan FROM loans WHERE reader = ANY($1) ORDER BY loan LIMIT $2;
 """
 
 
 def test_named_queries(spark, tables, rows):
     reg = Registry(spark, {n: t.schema for n, t in tables.items()})
-    assert reg.register_file(FILE, marker="live") == ["ByTitle", "First"]
+    assert reg.register_file(FILE, marker="live") == ["ByLabel", "First"]
     q = reg.queries["First"]
-    assert (q.params["1"].kind, q.params["1"].is_list, q.params["2"].kind, q.tables) == ("int", True, "int", {"articles"})
-    assert reg.queries["ByTitle"].params["p"].kind == "bool" and reg.queries["ByTitle"].params["p"].nullable
-    assert rows(reg.bind("First", {"1": [42, 7], "2": 3}, tables.get)) == [(1,)]
-    assert rows(reg.bind("ByTitle", {"1": "%a%", "p": True}, tables.get)) == [(1,), (3,)]
-    assert rows(reg.bind("ByTitle", {"1": "%a%"}, tables.get)) == []  # NULL matches nothing
-    assert rows(reg.bind("ByTitle", {"1": "x' OR '1'='1", "p": True}, tables.get)) == []
+    assert (q.params["1"].kind, q.params["1"].is_list, q.params["2"].kind, q.tables) == ("int", True, "int", {"loans"})
+    assert reg.queries["ByLabel"].params["p"].kind == "bool" and reg.queries["ByLabel"].params["p"].nullable
+    assert rows(reg.bind("First", {"1": [9, 4], "2": 3}, tables.get)) == [(61,)]
+    assert rows(reg.bind("ByLabel", {"1": "s%", "p": True}, tables.get)) == [(1,), (3,)]
+    assert rows(reg.bind("ByLabel", {"1": "s%"}, tables.get)) == []  # NULL matches nothing
+    assert rows(reg.bind("ByLabel", {"1": "x' OR '1'='1", "p": True}, tables.get)) == []
     for values, code in (({"1": 5, "2": 1}, "TypeMismatch"), ({"1": [1]}, "MissingParameter"), ({"1": [1] * 2000, "2": 1}, "ListTooLong"), ({"1": [1], "2": 1, "z": 1}, "UnknownParameter"), ({"1": ["a"], "2": 1}, "TypeMismatch")):
         with pytest.raises(QueryError) as e:
             reg.bind("First", values, tables.get)
         assert e.value.code == code
     with pytest.raises(QueryError):
-        reg.run_raw("SELECT id FROM posts", tables.get)
+        reg.run_raw("SELECT num FROM recipes", tables.get)
     with pytest.raises(QueryError):
         reg.register_file(FILE)
 
 
 def test_registering_checks_names(spark, tables):
     reg = Registry(spark, {n: t.schema for n, t in tables.items()})
-    for sql in ("SELECT id FROM cardz", "SELECT nope FROM posts"):
+    for sql in ("SELECT num FROM recipez", "SELECT nope FROM recipes"):
         with pytest.raises((QueryError, SqlError)):
             reg.register("q", sql)
-    q = reg.register("anti", "SELECT id FROM posts WHERE NOT EXISTS (SELECT 1 FROM articles WHERE articles.id = posts.id)")
-    assert q.anti_join_only("articles") and not q.anti_join_only("posts")
-    assert [b[:2] for b in blocks(FILE)] == [("Make", ":exec"), ("ByTitle", ":many"), ("First", ":one")]
+    q = reg.register("anti", "SELECT num FROM recipes WHERE NOT EXISTS (SELECT 1 FROM loans WHERE loans.loan = recipes.num)")
+    assert q.anti_join_only("loans") and not q.anti_join_only("recipes")
+    assert [b[:2] for b in blocks(FILE)] == [("Make", ":exec"), ("ByLabel", ":many"), ("First", ":one")]
 
 
 def test_sharing():
-    assert normalised("select  ID from posts -- x\n;") == normalised("SELECT id FROM posts")
+    assert normalised("select  NUM from recipes -- x\n;") == normalised("SELECT num FROM recipes")
     assert normalised("SELECT 'A' FROM t") != normalised("SELECT 'a' FROM t")
-    r = _rules(Rule("own", "articles", "author_id = $user.id"), id="int")
-    key = lambda u, v=1: sharing_key("SELECT id FROM articles", {"1": v}, r, User(r.fields, {"id": u}))
+    r = _rules(Rule("own", "loans", "reader = $user.id"), id="int")
+    key = lambda u, v=1, r=r: sharing_key("SELECT loan FROM loans", {"1": v}, r, User(r.fields, {"id": u}))
     assert key(1) == key(1) and key(1) != key(2) and key(1) != key(1, 2)
+    other = r.swap([Rule("own", "loans", "reader = $user.id OR loan = 1")])
+    assert key(1, r=other) != key(1) == key(1, r=other.swap(r.rules)) and other.version != r.version
     stopped = []
     s = SharedPlans(lambda k: object(), stopped.append)
     a, b = s.acquire(key(1)), s.acquire(key(1))

@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.recursion import RecursionLimitError, iterate
-from tidemark.session import materialize
+from tidemark.operators.recursion import Met, iterate, rounds
+from tidemark.session import discard, materialize
 
 
-def bfs(edges: DataFrame, roots: DataFrame, max_rounds: int = 200) -> DataFrame:
+def bfs(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, dist): fewest edges from any root; unreachable nodes are left out."""
-    e = edges.select("src", "dst").dropna().distinct()
-    seen = materialize(roots.toDF("node").dropna().distinct().withColumn("dist", F.lit(0)), "bfs")
-    frontier = seen
-    for d in range(1, max_rounds + 1):
-        new = frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = materialize(new.join(seen, "node", "left_anti").withColumn("dist", F.lit(d)), "bfs")
+    e = materialize(edges.select("src", "dst").dropna().distinct(), "edges")
+    met = Met(e.sparkSession, ["node"])
+    new = roots.toDF("node").dropna()
+    for d in rounds(max_rounds):
+        frontier = met.add(new.withColumn("dist", F.lit(d)))
         if not frontier.take(1):
-            return seen
-        seen = seen.union(frontier)
-    raise RecursionLimitError(f"not finished after {max_rounds} rounds")
+            return met.rows()
+        new = frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node"))
 
 
-def bidijkstra(edges: DataFrame, goals: DataFrame, max_rounds: int = 200) -> DataFrame:
+def bidijkstra(edges: DataFrame, goals: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(src, dst, dist) of each goal pair: two searches meet in the middle; unreachable pairs are left out.
 
     A pair leaves both searches in the round its distance is certain.
@@ -35,7 +33,8 @@ def bidijkstra(edges: DataFrame, goals: DataFrame, max_rounds: int = 200) -> Dat
     sides = {"f": [near, near], "b": [far, far]}  # all reached, frontier
     found = left.filter("src = dst").withColumn("dist", F.lit(0))
     left = left.filter("src <> dst")
-    for d in range(1, max_rounds + 1):
+    for d in rounds(max_rounds):
+        d += 1
         side = "f" if d % 2 else "b"
         a, b = ("src", "dst") if side == "f" else ("dst", "src")
         hop = e.select(F.col(a).alias("node"), F.col(b).alias("to"))
@@ -50,26 +49,25 @@ def bidijkstra(edges: DataFrame, goals: DataFrame, max_rounds: int = 200) -> Dat
         found, left = found.union(met), materialize(left.join(met, ["src", "dst"], "left_anti"), "left")
         if not left.take(1) or not (sides["f"][1].take(1) and sides["b"][1].take(1)):
             return found
-    raise RecursionLimitError(f"not finished after {max_rounds} rounds")
 
 
-def propagate(edges: DataFrame, labels: DataFrame, max_rounds: int = 200) -> DataFrame:
+def propagate(edges: DataFrame, labels: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, label): the least label from which the node can be reached along edges."""
     e = materialize(edges.select("src", "dst").dropna().distinct(), "edges")
     now = materialize(labels.toDF("node", "label").groupBy("node").agg(F.min("label").alias("label")), "labels")
     changed = now
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         sent = changed.join(e, changed["node"] == e["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
         nxt = now.join(sent, "node", "full").select("node", "label", F.least("label", "new").alias("best"))
         nxt = materialize(nxt, "labels")
         changed = nxt.filter("label IS NULL OR best < label").select("node", F.col("best").alias("label"))
+        discard(now)
         now = nxt.select("node", F.col("best").alias("label"))
         if not changed.take(1):
             return now
-    raise RecursionLimitError(f"not settled after {max_rounds} rounds")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, component) of the undirected graph; the component is its least node.
 
     Large and small stars in turn: every node links to the least of its neighbourhood, which halves
@@ -78,7 +76,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = edges.select("src", "dst").dropna()
     nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     e = materialize(pairs.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc")
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -91,10 +89,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 "node", F.coalesce("c", "node").alias("component")
             )
         e = small
-    raise RecursionLimitError(f"not settled after {max_rounds} rounds")
 
 
-def trim(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def trim(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Edges that can lie on a cycle: those whose source has an incoming edge, again and again."""
     return iterate(
         edges.select("src", "dst").dropna().distinct(),
@@ -102,14 +99,14 @@ def trim(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     )
 
 
-def strongly_connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def strongly_connected(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, component) of nodes on cycles: the component is its least node.
 
     Labels are propagated forward and backward; an edge whose ends disagree in either lies in no
     component, and the rest is done again.
     """
     e = trim(edges)
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
         own = nodes.select("node", F.col("node").alias("label"))
         forward, backward = propagate(e, own), propagate(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), own)
@@ -120,10 +117,9 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if kept.count() == e.count():
             return both.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select("node", F.col("label").alias("component"))
         e = kept
-    raise RecursionLimitError(f"not settled after {max_rounds} rounds")
 
 
-def sequence(edges: DataFrame, start: DataFrame, max_rounds: int = 500) -> DataFrame:
+def sequence(edges: DataFrame, start: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, value) of an ordered greedy: nodes in turn take the least number that no smaller
     neighbour has (a colouring; loops don't count).  A node is decided once all its smaller neighbours are."""
     known = edges.select("src", "dst").dropna()
@@ -131,7 +127,7 @@ def sequence(edges: DataFrame, start: DataFrame, max_rounds: int = 500) -> DataF
     lower = materialize(pairs.select(F.greatest("src", "dst").alias("node"), F.least("src", "dst").alias("before")).distinct(), "seq")
     nodes = materialize(start.toDF("node").dropna().union(known.select("src")).union(known.select("dst")).distinct(), "seq-nodes")
     done = None
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         todo = nodes if done is None else nodes.join(done, "node", "left_anti")
         if not todo.take(1):
             return nodes.withColumn("value", F.lit(0)) if done is None else done
@@ -147,10 +143,9 @@ def sequence(edges: DataFrame, start: DataFrame, max_rounds: int = 500) -> DataF
             ready = used.select("node", free.alias("value"))
         ready = materialize(ready, "seq-ready")
         done = ready if done is None else done.union(ready)
-    raise RecursionLimitError(f"not finished after {max_rounds} rounds")
 
 
-def k_core(edges: DataFrame, k: int, max_rounds: int = 200) -> DataFrame:
+def k_core(edges: DataFrame, k: int, max_rounds: int | None = None) -> DataFrame:
     """Edges of the largest undirected subgraph in which every node has at least k neighbours."""
     e = edges.select("src", "dst").dropna().filter("src <> dst")
     e = e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
@@ -163,16 +158,15 @@ def k_core(edges: DataFrame, k: int, max_rounds: int = 200) -> DataFrame:
     return iterate(e, prune, max_rounds)
 
 
-def identifiers(df: DataFrame, name: str = "id", max_rounds: int = 20) -> DataFrame:
+def identifiers(df: DataFrame, name: str = "id", max_rounds: int | None = None) -> DataFrame:
     """Distinct rows with a unique 64-bit number each: a digest; where digests collide, all but the
     first are hashed again with the round's number."""
     rows = df.distinct()
     cols = [F.col(f"`{c}`") for c in rows.columns]
     now = materialize(rows.withColumn(name, F.xxhash64(*cols)), "ids")
     w = Window.partitionBy(name).orderBy(*cols)
-    for r in range(1, max_rounds + 1):
+    for r in rounds(max_rounds):
         if not now.groupBy(name).count().filter("count > 1").take(1):
             return now
-        again = F.xxhash64(*cols, F.lit(r))
+        again = F.xxhash64(*cols, F.lit(r + 1))
         now = materialize(now.withColumn("__r", F.row_number().over(w)).withColumn(name, F.when(F.col("__r") > 1, again).otherwise(F.col(name))).drop("__r"), "ids")
-    raise RecursionLimitError(f"collisions after {max_rounds} rounds")

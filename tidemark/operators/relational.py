@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dialect
+from tidemark.session import materialize
 
 
 def where(df: DataFrame, predicate: Column | str) -> DataFrame:
@@ -94,16 +96,54 @@ def threshold(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
     )
 
 
-def prefix_sum(df: DataFrame, by: list[str], order: str, value: str, name: str = "before") -> DataFrame:
-    """Sum of ``value`` over the rows before, by ``order`` (unique in a group); 0 for the first."""
-    w = Window.partitionBy(*by).orderBy(dialect.asc(order)).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+def _ranges(df: DataFrame, by: list[str], order_by: list[Column]) -> DataFrame:
+    """The rows with ``__range``, the number of the sorted range they lie in; a group may lie in several."""
+    placed = df.repartitionByRange(*[F.col(f"`{c}`") for c in by], *order_by)
+    return materialize(placed.withColumn("__range", F.spark_partition_id()), "ranges")
+
 
+def prefix_sum(df: DataFrame, by: list[str], order: str, value: str, name: str = "before") -> DataFrame:
+    """Sum of ``value`` over the rows before, by ``order`` (unique in a group); 0 for the first.
 
-def reduce_groups(df: DataFrame, by: list[str], reducer: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    A parallel scan: rows are cut into sorted ranges, summed up within each, and every range starts
+    from the sum of its group's ranges before, so a group may be of any size.
+    """
+    cols, at = df.columns, [*by, "__range"]
+    r = _ranges(df, by, [dialect.asc(order)])
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    start = r.groupBy(*at).agg(F.sum(value).alias("__s")).select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(at)], F.sum("__s").over(earlier).alias("__start"))
+    within = Window.partitionBy(*at).orderBy(dialect.asc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("__own", F.sum(value).over(within))
+    j = r.join(start, reduce(lambda x, y: x & y, [F.col(f"`{c}`").eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(at)]), "left")
+    return j.select(*[F.col(f"`{c}`") for c in cols], (F.coalesce("__start", F.lit(0)) + F.coalesce("__own", F.lit(0))).alias(name))
+
+
+def numbered(df: DataFrame, order_by: list[Column], name: str = "n") -> DataFrame:
+    """The position of each row in a total order of all rows, from 1; no task sorts more than a range."""
+    cols, order = df.columns, dialect.total_order(df, order_by)
+    r = _ranges(df, [], order)
+    r = r.withColumn("__own", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    start = r.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    return r.join(start, "__range").select(*[F.col(f"`{c}`") for c in cols], (F.col("__start") + F.col("__own")).alias(name))
+
+
+def reduce_groups(
+    df: DataFrame, by: list[str], reducer: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
+    partial: Callable[[pd.DataFrame], pd.DataFrame] | None = None, salts: int = 64,
+) -> DataFrame:
     """An arbitrary reducer per key over (row, multiplicity): rows are counted before they move, so
-    a reducer gets each distinct row once with its ``n``."""
-    return multiplicities(df).groupBy(*by).applyInPandas(reducer, schema)
+    a reducer gets each distinct row once with its ``n``.
+
+    A reducer sees all of a key's distinct rows at once.  Where those may be many, ``partial`` cuts
+    them down first, in ``salts`` parts of each key: it returns rows of the same columns, from which
+    the reducer must give what it gives from all.
+    """
+    m = multiplicities(df)
+    if partial is not None:
+        salt = F.pmod(F.xxhash64(*[F.struct(F.col(f"`{c}`")) for c in df.columns]), F.lit(salts)).alias("__salt")
+        m = m.groupBy(*[F.col(f"`{c}`") for c in by], salt).applyInPandas(lambda pdf: partial(pdf), m.schema)
+    return m.groupBy(*by).applyInPandas(reducer, schema)
 
 
 def join_function(df: DataFrame, array: Column, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ the newest version of each key before the filter, so a hidden new version also h
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -109,7 +110,9 @@ class RuleSet:
 
     def __init__(self, rules: list[Rule], tables: dict[str, list[str]], fields: dict[str, str]) -> None:
         self.rules, self.fields = list(rules), dict(fields)
-        self.version = 1
+        self._tables = tables
+        #: Tells one set of rules from any other: plans shared under one version aren't under another.
+        self.version = hashlib.sha256(repr((sorted(map(repr, rules)), sorted(fields.items()))).encode()).hexdigest()[:16]
         for name, kind in fields.items():
             if kind not in FIELD_TYPES:
                 raise RuleError("UnknownFieldType", f"{name}: {kind}")
@@ -146,6 +149,10 @@ class RuleSet:
             self.trees[r.name] = tree
         self.latest = latest
 
+    def swap(self, rules: list[Rule]) -> RuleSet:
+        """Other rules over the same tables and user fields, checked as a whole; this set stays as it is."""
+        return RuleSet(rules, self._tables, self.fields)
+
     def of(self, table: str, *modes: str) -> list[Rule]:
         return [r for r in self.rules if r.table == table and r.mode in modes]
 

@@ -72,11 +72,11 @@ def in_between(t):
     return t("part").filter("p_size IN (1, 5, 9, NULL) AND p_retailprice BETWEEN 900 AND 2000 AND p_size NOT BETWEEN 2 AND 4 AND p_size NOT IN (7, 8)").select("p_partkey", "p_name")
 
 
-@query("""SELECT p_partkey, p_type FROM part WHERE p_name LIKE '%1%' AND p_brand ILIKE 'brand#%' AND p_name NOT LIKE '%0'
-AND p_type NOT ILIKE '%zzz_' AND p_brand LIKE 'Brand!#__' ESCAPE '!'""")
+@query("""SELECT p_partkey, p_type FROM part WHERE p_name LIKE '%o_t' AND p_brand ILIKE 'brand#%' AND p_name NOT LIKE 'small%'
+AND p_type NOT ILIKE '%econ%' AND p_brand LIKE 'Brand!#1_' ESCAPE '!'""")
 def like_patterns(t):
-    c = D.like(F.col("p_name"), "%1%") & D.like(F.col("p_brand"), "brand#%", ignore_case=True) & ~D.like(F.col("p_name"), "%0")
-    c = c & ~D.like(F.col("p_type"), "%zzz_", ignore_case=True) & D.like(F.col("p_brand"), "Brand!#__", escape="!")
+    c = D.like(F.col("p_name"), "%o_t") & D.like(F.col("p_brand"), "brand#%", ignore_case=True) & ~D.like(F.col("p_name"), "small%")
+    c = c & ~D.like(F.col("p_type"), "%econ%", ignore_case=True) & D.like(F.col("p_brand"), "Brand!#1_", escape="!")
     return t("part").filter(c).select("p_partkey", "p_type")
 
 
@@ -199,9 +199,9 @@ def semi_exists(t):
     return R.join(t("customer"), t("orders").filter("o_totalprice > 150000"), [("c_custkey", "o_custkey")], "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)")
 def anti_not_exists(t):
-    return R.join(t("customer"), t("orders"), [("c_custkey", "o_custkey")], "left_anti").select("c_custkey", "c_name")
+    return R.join(t("customer"), t("events"), [("c_custkey", "user_id")], "left_anti").select("c_custkey", "c_name")
 
 
 @query("""WITH x AS (SELECT CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey END AS k FROM nation)
@@ -313,7 +313,10 @@ def reduce_mode(t):
         top = pdf.sort_values(["n", "o_orderstatus"], ascending=[False, True]).head(1)
         return top.assign(common=top["o_orderstatus"])[["o_orderpriority", "common"]]
 
-    return R.reduce_groups(t("orders").select("o_orderpriority", "o_orderstatus"), ["o_orderpriority"], reducer, "o_orderpriority string, common string")
+    def partial(pdf):  # the most frequent of a part's distinct rows
+        return pdf.sort_values(["n", "o_orderstatus"], ascending=[False, True]).head(1)
+
+    return R.reduce_groups(t("orders").select("o_orderpriority", "o_orderstatus"), ["o_orderpriority"], reducer, "o_orderpriority string, common string", partial)
 
 
 # --- distinct, sort, limit, set operations ------------------------------------------------------
@@ -330,11 +333,13 @@ def distinct_on_latest(t):
     return R.distinct_on(o, ["o_custkey"], [D.desc("o_orderdate"), D.asc("o_orderkey")]).drop("o_orderdate")
 
 
-@query("""SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN orders ON c_custkey = o_custkey
-ORDER BY o_totalprice DESC NULLS FIRST, c_custkey ASC NULLS LAST, o_orderkey LIMIT 600""")
+@query("""SELECT c_custkey, o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC NULLS FIRST, c_custkey ASC NULLS LAST, o_orderkey) AS n
+FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT'""")
 def sort_nulls(t):
-    j = R.join(t("customer"), t("orders"), [("c_custkey", "o_custkey")], "left").select("c_custkey", "o_orderkey", "o_totalprice")
-    return R.top_k(j, [D.desc("o_totalprice"), D.asc("c_custkey"), D.asc("o_orderkey")], 600)
+    """The place of every row in an order with NULLs."""
+    urgent = t("orders").filter("o_orderpriority = '1-URGENT'")
+    j = R.join(t("customer"), urgent, [("c_custkey", "o_custkey")], "left").select("c_custkey", "o_orderkey", "o_totalprice")
+    return R.numbered(j, [D.desc("o_totalprice"), D.asc("c_custkey"), D.asc("o_orderkey")]).drop("o_totalprice")
 
 
 @query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 20")
@@ -349,13 +354,12 @@ def hidden_sort_key(t):
     return R.top_k(t("orders").select("o_orderkey", "o_totalprice"), [D.desc("o_totalprice"), D.asc("o_orderkey")], 7).select("o_orderkey")
 
 
-_SETS = "SELECT c_nationkey AS k FROM customer WHERE c_custkey % 7 < 3 {op} SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0"
+_SETS = "SELECT o_custkey AS k FROM orders {op} SELECT user_id FROM events"
 
 
 def _sets(kind: str, all_rows: bool):
     def f(t):
-        left = t("customer").filter("c_custkey % 7 < 3").select(F.col("c_nationkey").alias("k"))
-        return R.set_operation(left, t("supplier").filter("s_suppkey % 3 = 0").select("s_nationkey"), kind, all_rows)
+        return R.set_operation(t("orders").select(F.col("o_custkey").alias("k")), t("events").select("user_id"), kind, all_rows)
 
     return f
 
@@ -394,12 +398,9 @@ def recursive_union(t):
 
 @query(f"WITH RECURSIVE e AS ({_PARENTS}), r(id, depth) AS (SELECT 5::BIGINT, 0 UNION ALL SELECT e.id, depth + 1 FROM e JOIN r ON e.parent = r.id) SELECT id::BIGINT AS id, depth FROM r")
 def recursive_union_all(t):
-    part = t("part")
-    part.createOrReplaceTempView("tidemark_part")
-    return part.sparkSession.sql(
-        """WITH RECURSIVE e AS (SELECT p_partkey AS id, p_partkey div 3 AS parent FROM tidemark_part),
-        r(id, depth) AS (SELECT CAST(5 AS BIGINT), 0 UNION ALL SELECT e.id, depth + 1 FROM e JOIN r ON e.parent = r.id) SELECT id, depth FROM r"""
-    )
+    e = t("part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 3").alias("parent"))
+    base = t("region").limit(1).select(F.lit(5).cast("bigint").alias("id"), F.lit(0).alias("depth"))
+    return recursion.fixpoint(base, lambda r: r.withColumnRenamed("id", "above").join(e, F.col("above") == F.col("parent")).select("id", F.col("depth") + 1), union_all=True)
 
 
 def _edges(t) -> DataFrame:
@@ -471,7 +472,23 @@ def graph_kcore(t):
     return G.k_core(_rings(t), 2)
 
 
-@query("SELECT count(DISTINCT (c_mktsegment, c_nationkey)) AS n, count(DISTINCT (c_mktsegment, c_nationkey)) AS ids FROM customer")
+@query("SELECT DISTINCT c_mktsegment, c_nationkey, 1::BIGINT AS holders FROM customer")
 def graph_identifiers(t):
-    return G.identifiers(t("customer").select("c_mktsegment", "c_nationkey")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+    """Distinct rows, and how many of them hold each one's number."""
+    ids = G.identifiers(t("customer").select("c_mktsegment", "c_nationkey"))
+    return ids.join(ids.groupBy("id").agg(F.count(F.lit(1)).alias("holders")), "id").drop("id")
+
+
+@query("SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def arranged_join(t):
+    """A join on rows that were placed and sorted by its key once."""
+    a = R.arrange(t("nation"), ["n_regionkey"])
+    out = R.join(a, t("region"), [("n_regionkey", "r_regionkey")]).select("n_nationkey", "r_name")
+    return R.inspect(out, "arranged_join")
+
 
+@query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) IS NULL AS first FROM orders")
+def prefix_sum_global(t):
+    """One group of all rows, summed in ranges."""
+    o = R.prefix_sum(t("orders").select("o_custkey", "o_orderkey", "o_totalprice"), [], "o_orderkey", "o_totalprice")
+    return o.select("o_custkey", "o_orderkey", (F.col("before") == 0).alias("first"))

@@ -24,7 +24,7 @@ from tidemark.streaming import deltas as S
 from tidemark.streaming.ivm import Node, Summed
 
 #: A typed change: op is I, U, D, T (truncate) or COMMIT (no row: its LSN is complete); images are JSON text.
-CHANGE = "table STRING, xid BIGINT, lsn BIGINT, seq INT, op STRING, old STRING, new STRING, unchanged_cols ARRAY<STRING>"
+CHANGE = "table STRING, xid BIGINT, lsn BIGINT, seq BIGINT, op STRING, old STRING, new STRING, unchanged_cols ARRAY<STRING>"
 
 
 class Reason(str, Enum):
@@ -157,7 +157,7 @@ class LiveView:
         again = changes.filter((F.col("lsn") <= m["lsn"]) & (F.col("lsn") > m.get("seeded", m["lsn"])))
         if again.take(1):
             seen = [p for n, p in sorted(m["parts"].items()) if n.startswith("seen-")]
-            late = again.join(self.spark.read.schema("lsn bigint, seq int").parquet(*seen), ["lsn", "seq"], "left_anti") if seen else again
+            late = again.join(self.spark.read.schema("lsn bigint, seq bigint").parquet(*seen), ["lsn", "seq"], "left_anti") if seen else again
             if row := late.first():
                 raise LateChangeError(f"change ({row.lsn}, {row.seq}) of {row.table} came after the view reached {m['lsn']}")
         return new
