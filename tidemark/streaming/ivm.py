@@ -380,11 +380,13 @@ class Summed(Node):
         w = Window.partitionBy(*self.by).orderBy(LSN)
         both = now.withColumn(LSN, F.lit(-1).cast("bigint")).unionByName(d)
         # of an LSN, a group has one row: the sums up to it are its state then
-        g = both.withColumns({c: F.sum(c).over(w) for c in self._held()} | {"__until": F.lead(LSN).over(w)})
-        rows = self._rows(g, LSN, "__until")
-        come = rows.filter(F.col(LSN) >= 0).drop("__until")
-        gone = S.negate(rows.filter("__until IS NOT NULL")).withColumn(LSN, F.col("__until")).drop("__until")
-        return come.unionByName(gone)
+        state = F.struct(F.col(self.count), *[F.when(F.col(f"__{n}") > 0, F.col(n)).alias(n) for n in self.sums])
+        g = both.withColumns({c: F.sum(c).over(w) for c in self._held()})
+        g = g.select(*self.by, LSN, F.when(F.col(self.count) > 0, state).alias("__now"))
+        g = g.withColumn("__was", F.lag("__now").over(w)).filter((F.col(LSN) >= 0) & ~F.col("__was").eqNullSafe(F.col("__now")))
+        step = lambda sign, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(sign).cast("bigint").alias("d"), F.col(c).alias("s")))
+        g = g.withColumn("__s", F.explode(F.array_compact(F.array(step(-1, "__was"), step(1, "__now")))))
+        return g.select(*self.by, "__s.s.*", F.col("__s.d").alias(DIFF), LSN)
 
 
 def distinct_on(child: Node, on: list[str], order_by: list[Column]) -> Node:

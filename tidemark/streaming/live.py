@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from tidemark.session import discard, materialize
+from tidemark.session import materialize
 from tidemark.sources.store import Store
 from tidemark.streaming import deltas as S
 from tidemark.streaming.ivm import Node, Summed
@@ -176,21 +176,24 @@ class LiveView:
         commit = F.coalesce(F.upper(F.trim("op")) == "COMMIT", F.lit(False))
         held = [p for n, p in m["parts"].items() if n.startswith("held-")]
         changes = changes.unionByName(self.spark.read.schema(CHANGE).parquet(*held)) if held else changes
-        changes = materialize(changes, "batch")
         mine = changes.filter(F.col("table").isin(*self.node.sources()) & ~commit).dropDuplicates(["lsn", "seq"])
-        new = materialize(self._unseen(mine, m), "new")
         tag = f"{m['version']:08d}"
         parts = {n: p for n, p in m["parts"].items() if not n.startswith("held-")}
-        top = new.agg(F.max("lsn")).first()[0]
-        if more and top is not None:
+        seen = self.store.write_part(self._unseen(mine, m), f"seen-{tag}")
+        new = self.spark.read.schema(CHANGE).parquet(seen)
+        names = sorted(self.node.sources())
+        emptied = F.sort_array(F.collect_set(F.when(S.kind() == "T", F.col("lsn"))))  # TRUNCATEs are few
+        lost = [F.max((F.col("table") == x) & S.is_untold(self.schemas[x])) if x in self.table_keys else F.lit(False) for x in names]
+        facts = [F.count_distinct("lsn"), F.max("lsn"), emptied, F.array(*[F.coalesce(c, F.lit(False)) for c in lost])]
+        n, top, cut, untold = new.agg(*facts).first()
+        if more and n:
             last = changes.agg(F.max("lsn"), F.max(F.when(commit, F.col("lsn")))).first()
             if top == last[0] != last[1]:
                 parts[f"held-{tag}"] = self.store.write_part(new.filter(F.col("lsn") == top), f"held-{tag}")
                 new = new.filter(F.col("lsn") < top)
-        emptied = F.when(S.kind() == "T", F.col("lsn"))
-        n, top, cut = new.agg(F.count_distinct("lsn"), F.max("lsn"), F.sort_array(F.collect_set(emptied))).first()  # TRUNCATEs are few
+                n, top, cut, untold = new.agg(*facts).first()
         if n:
-            parts[f"seen-{tag}"] = self.store.write_part(new.select("lsn", "seq"), f"seen-{tag}")
+            parts[f"seen-{tag}"] = seen
             spans, at = [], m["lsn"]
             for lsn in cut:
                 spans += [(at + 1, lsn - 1, False), (lsn, lsn, True)]
@@ -198,32 +201,30 @@ class LiveView:
             for i, (lo, hi, truncates) in enumerate([*spans, (at + 1, top, False)] if at < top else spans):
                 if lo <= hi:
                     part = new.filter((F.col("lsn") >= lo) & (F.col("lsn") <= hi)) if spans else new
-                    self._advance(part, hi, truncates, parts, f"{tag}-{i}")
+                    self._advance(part, hi, truncates, untold, parts, f"{tag}-{i}")
         done = {"streams": m["streams"] | {stream: batch_id}} if stream is not None else {"batches": [*m["batches"], batch_id]}
         self.store.commit(m | {"parts": parts, "lsn": max(m["lsn"], top or -1)} | done)
-        discard(changes, new)
+        if not n:
+            self.store.delete(seen)
         for p in held:
             self.store.delete(p)
         if sum(x.startswith(("base-", "view-")) for x in parts) > self.max_parts:
             self.compact(m["earliest"])
         return n
 
-    def _advance(self, changes: DataFrame, hi: int, truncates: bool, parts: dict[str, str], tag: str) -> None:
+    def _advance(self, changes: DataFrame, hi: int, truncates: bool, untold: list[bool], parts: dict[str, str], tag: str) -> None:
         """Write what the changes up to ``hi`` do to tables, sums and view; name it in ``parts``."""
         names = sorted(self.node.sources())
-        old = {n: self._base(n, parts) for n in names}
-        lost = [F.max((F.col("table") == n) & S.is_untold(self.schemas[n])) if n in self.table_keys else F.lit(False) for n in names]
-        untold = changes.agg(*[c.alias(f"c{i}") for i, c in enumerate(lost)]).first()
-        change = {}
+        old, change = {n: self._base(n, parts) for n in names}, {}
         for i, n in enumerate(names):
-            signed = self._emptied(changes, n, hi, old[n]) if truncates else self._signed(changes, n, old[n], bool(untold[i]))
+            signed = self._emptied(changes, n, hi, old[n]) if truncates else self._signed(changes, n, old[n], untold[i])
             name = f"base-{n}-{tag}"
             parts[name] = self.store.write_part(S.consolidate(signed), name)
             change[n] = self.spark.read.schema(T.StructType([*self.schemas[n].fields, T.StructField(S.LSN, T.LongType()), T.StructField(S.DIFF, T.LongType())])).parquet(parts[name])
         if isinstance(self.node, Summed) and self.node.timed():
             held = self._held(parts)
             parts[f"sums-{tag}"] = self.store.write_part(self.node.accumulated({n: c.drop(S.LSN) for n, c in change.items()}), f"sums-{tag}")
-            moves = S.consolidate(self.node.moves(old, change, held))
+            moves = self.node.moves(old, change, held)  # net as it is
         elif self.node.timed():
             moves = S.consolidate(self.node.moves(old, change))
         else:
@@ -269,7 +270,7 @@ class LiveView:
         parts |= {n: p for n, p in m["parts"].items() if n.startswith("held-")}
         tag = f"c{m['version']}"
         if seen := self._parts("seen-"):
-            parts[f"seen-{tag}"] = self.store.write_part(self.spark.read.parquet(*seen).sort("lsn", "seq"), f"seen-{tag}")
+            parts[f"seen-{tag}"] = self.store.write_part(self.spark.read.schema("lsn bigint, seq bigint").parquet(*seen).sort("lsn", "seq"), f"seen-{tag}")
         if (held := self._held(m["parts"])) is not None:
             parts[f"sums-{tag}"] = self.store.write_part(self.node._add(held), f"sums-{tag}")
         for n in self.node.sources():
