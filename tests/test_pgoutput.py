@@ -12,9 +12,9 @@ def _s(text):
 
 
 def relation(oid=1, xid=b""):
-    cols = [(1, "id", 20), (0, "title", 25), (0, "done", 16), (0, "meta", 3802)]
+    cols = [(1, "id", 20), (0, "head", 25), (0, "done", 16), (0, "meta", 3802)]
     body = b"".join(struct.pack(">b", f) + _s(n) + struct.pack(">ii", t, -1) for f, n, t in cols)
-    return b"R" + xid + struct.pack(">i", oid) + _s("public") + _s("posts") + b"d" + struct.pack(">h", len(cols)) + body
+    return b"R" + xid + struct.pack(">i", oid) + _s("public") + _s("memos") + b"d" + struct.pack(">h", len(cols)) + body
 
 
 def values(*v):
@@ -49,8 +49,8 @@ def test_decoder():
     d = P.Decoder()
     recs = [r for f in FRAMES for r in d.decode(f)]
     rows = [r for r in recs if r["kind"] == "row"]
-    assert rows[0]["new"] == '{"id":1,"title":"ü\\"x","done":true,"meta":{"a": 1}}' and rows[0]["lsn"] == 100
-    assert (rows[1]["old"], rows[1]["new"], rows[1]["unchanged_cols"]) == ('{"id":1}', '{"id":2,"done":false,"meta":null}', ["title"])
+    assert rows[0]["new"] == '{"id":1,"head":"ü\\"x","done":true,"meta":{"a": 1}}' and rows[0]["lsn"] == 100
+    assert (rows[1]["old"], rows[1]["new"], rows[1]["unchanged_cols"]) == ('{"id":1}', '{"id":2,"done":false,"meta":null}', ["head"])
     assert [r["op"] for r in rows] == ["I", "U", "D", "T", "I", "I"]
 
 

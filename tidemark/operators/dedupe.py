@@ -130,10 +130,13 @@ def intake(diff_payloads: DataFrame, sub_states: DataFrame, batches: int = 3) ->
     ``last_seen_lsn`` stands for the identifiers stored before the log began: it covers all of a
     subscription's messages up to it.
     """
-    marks = latest_states(sub_states).select("subscription_id", F.col("last_seen_lsn").alias("__mark"))
+    mark = "__mark"
+    while mark in diff_payloads.columns:
+        mark += "_"
+    marks = latest_states(sub_states).select("subscription_id", F.col("last_seen_lsn").alias(mark))
 
     def seen(d: DataFrame) -> DataFrame:
-        return d.join(marks, "subscription_id", "left").filter(F.col("lsn") > F.coalesce("__mark", F.lit(0))).select(
+        return d.join(marks, "subscription_id", "left").filter(F.col("lsn") > F.coalesce(mark, F.lit(0))).select(
             *[F.col(f"`{c}`") for c in d.columns]
         )
 

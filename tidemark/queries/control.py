@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.catalog import table
+from tidemark.plans import ast, parser
 from tidemark.plans.engine import Engine
-from tidemark.plans.permissions import Guarded, Latest, Rule, RuleSet, User
+from tidemark.plans.permissions import Guarded, Latest, Rule, RuleError, RuleSet, User
+from tidemark.plans.sharing import sharing_key
 from tidemark.plans.prepared import Registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +54,36 @@ _served("json", "SELECT event_id, props->>'k' AS k FROM events WHERE (props->>'k
 _served("sort_all", "SELECT n_name, n_regionkey FROM nation ORDER BY n_regionkey DESC, n_name")
 
 
+_served("nulls_first", "SELECT n_name, CASE WHEN n_regionkey = 1 THEN NULL ELSE n_regionkey END AS r FROM nation ORDER BY r NULLS FIRST, n_name LIMIT 7")
+
+
+REFUSED = """SELECT 1 FROM region RIGHT JOIN nation ON r_regionkey = n_regionkey|SELECT 1 FROM region JOIN nation ON r_regionkey < n_regionkey|SELECT 1 FROM region CROSS JOIN nation
+SELECT 1 FROM region NATURAL JOIN nation|SELECT sum(n_regionkey) OVER () FROM nation|SELECT (SELECT 1 FROM region) FROM nation|SELECT n_name FROM nation GROUP BY CUBE(n_name)
+SELECT upper(n_name) FROM nation|SELECT TRY_CAST(n_name AS int) FROM nation|SELECT 1 FROM nation WHERE EXISTS (SELECT 1 FROM region)|DELETE FROM nation|SELECT 1 FROM nation; SELECT 2 FROM nation
+SELECT count(*) FILTER (WHERE TRUE) FROM nation|SELECT 1 FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)"""
+ACCEPTED = "SELECT n_name FROM nation|SELECT count(*) FROM nation LEFT JOIN region ON r_regionkey = n_regionkey"
+
+
+def served_surface(spark: SparkSession, sf: str) -> DataFrame:
+    """Statements in and outside the served surface, and whether each is refused before anything runs."""
+    rows = []
+    for sql in "|".join(REFUSED.splitlines()).split("|") + ACCEPTED.split("|"):
+        try:
+            parser.parse(sql)
+            rows.append((sql, False))
+        except ast.SqlError:
+            rows.append((sql, True))
+    return spark.createDataFrame(rows, "statement string, refused boolean")
+
+
+def _values(statements: list[str], refused: str) -> str:
+    return ", ".join("('" + s.replace("'", "''") + f"', {refused})" for s in statements)
+
+
+QUERIES["served_surface"] = served_surface
+ORACLE["served_surface"] = f"SELECT * FROM (VALUES {_values('|'.join(REFUSED.splitlines()).split('|'), 'TRUE')}, {_values(ACCEPTED.split('|'), 'FALSE')}) t(statement, refused)"
+
+
 # --- permission rules ---------------------------------------------------------------------------
 
 
@@ -97,6 +129,31 @@ def perm_admin(spark, sf):
     return _guarded(spark, sf, [rule], {"admin": "bool"}, {"admin": True}).sql("SELECT o_orderkey FROM orders")
 
 
+@_perm("perm_subscribe", "SELECT 'admin' AS who, count(*) AS n FROM orders UNION ALL SELECT 'guest', NULL")
+def perm_subscribe(spark, sf):
+    """A rule that only gates subscribing: whoever it lets in sees all rows."""
+    rule = Rule("gate", "orders", "$user.admin AND o_orderkey > 0", "subscribe")
+    out = None
+    for who, admin in (("admin", True), ("guest", False)):
+        try:
+            n = _guarded(spark, sf, [rule], {"admin": "bool"}, {"admin": admin}).sql("SELECT count(*) AS n FROM orders")
+        except RuleError:
+            n = spark.range(1).selectExpr("CAST(NULL AS BIGINT) AS n")
+        rows = n.selectExpr(f"'{who}' AS who", "n")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@_perm("perm_swap", "SELECT o_orderstatus, count(*) AS n, TRUE AS other_plan FROM orders WHERE o_orderstatus = 'F' OR o_custkey < 100 GROUP BY o_orderstatus")
+def perm_swap(spark, sf):
+    """Rules are swapped for wider ones: another version, so no plan of the old rules is shared."""
+    sql = "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"
+    g = _guarded(spark, sf, [Rule("few", "orders", "o_custkey < $user.top")], {"top": "int"}, {"top": 100})
+    wider = g.rules.swap([Rule("few", "orders", "o_custkey < $user.top"), Rule("done", "orders", "o_orderstatus = 'F'")])
+    other = sharing_key(sql, {}, g.rules, g.user) != sharing_key(sql, {}, wider, g.user)
+    return Guarded(spark, g.tables, wider, g.user).sql(sql).selectExpr("*", f"{other} AS other_plan")
+
+
 # --- named queries ------------------------------------------------------------------------------
 
 _FILE = """
@@ -130,3 +187,11 @@ def prepared_guarded(spark, sf):
     rule = Rule("dear", "orders", "o_totalprice > $user.least")
     g = _guarded(spark, sf, [rule], {"least": "float"}, {"least": 50000})
     return _registry(spark, sf).bind("OrdersOf", {"1": 17, "2": ["F"], "3": 5}, g._table)
+
+
+@_perm("prepared_params", """SELECT * FROM (VALUES ('OrdersOf', '1', 'int', FALSE), ('OrdersOf', '2', 'text', TRUE), ('OrdersOf', '3', 'int', FALSE),
+('Range', 'lo', 'float', FALSE), ('Range', 'hi', 'float', FALSE), ('Range', 'like', 'text', FALSE)) t(query, param, kind, is_list)""")
+def prepared_params(spark, sf):
+    """The types of the parameters, as told by the columns they are compared with."""
+    rows = [(n, p, t.kind, t.is_list) for n, q in _registry(spark, sf).queries.items() for p, t in q.params.items()]
+    return spark.createDataFrame(rows, "query string, param string, kind string, is_list boolean")

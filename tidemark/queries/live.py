@@ -5,6 +5,7 @@ The change log is made from ``orders``: some rows are deleted, some updated, som
 
 from __future__ import annotations
 
+import sqlite3
 import time
 from collections.abc import Callable
 
@@ -171,6 +172,43 @@ def explode_weighted(spark, sf):
     return S.consolidate(S.explode_weighted(c, items, "k").drop("c_nationkey"))
 
 
+@_query("delay_changes", "SELECT o_orderkey, o_orderkey * 10 + 5 AS _lsn, 1::BIGINT AS _diff FROM orders")
+def delay_changes(spark, sf):
+    """Changes moved to later log positions."""
+    return S.delay(S.seed(_orders(spark, sf).select("o_orderkey")).withColumn(S.LSN, F.col("o_orderkey") * 10), 5)
+
+
+@_query("input_session", "SELECT n_nationkey, n_name, 1::BIGINT AS _diff, 0::BIGINT AS _lsn FROM nation WHERE n_regionkey <> 2")
+def input_session(spark, sf):
+    """Updates by hand (of the 25 nations): rows come and some go again at the same time."""
+    n = table(spark, sf, "nation")
+    session = S.InputSession(spark, n.select("n_nationkey", "n_name").schema)
+    for r in n.collect():
+        session.insert((r.n_nationkey, r.n_name))
+        if r.n_regionkey == 2:
+            session.remove((r.n_nationkey, r.n_name))
+    session.advance_to(1)
+    return session.flush()
+
+
+@_query("replica_rows", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 3 UNION ALL SELECT n_nationkey, 'renamed' FROM nation WHERE n_regionkey = 3 AND n_nationkey % 2 = 0")
+def replica_rows(spark, sf):
+    """A client's replica database (of the 25 nations), kept by the generated statements."""
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    third = {r[0] for r in table(spark, sf, "nation").filter("n_regionkey = 3").select("n_nationkey").collect()}
+    db = sqlite3.connect(":memory:")
+    db.execute(sinks.create_table_sql("nation", n.schema, ["n_nationkey"]))
+    upsert = sinks.upsert_statement("nation", n.schema, ["n_nationkey"])
+    for r in n.collect():
+        db.execute(upsert, tuple(r))
+    for k in third:
+        if k % 2:
+            db.execute(sinks.delete_statement("nation", ["n_nationkey"]), (k,))
+        else:
+            db.execute(upsert, (k, "renamed"))
+    return spark.createDataFrame(db.execute("SELECT n_nationkey, n_name FROM nation").fetchall(), n.schema)
+
+
 # --- delta rules --------------------------------------------------------------------------------
 
 
@@ -275,6 +313,25 @@ def live_client(spark, sf):
     return S.apply_diffs(first, news.rows, ["o_custkey"]) if news else first
 
 
+@_query("live_resume", f"{_SQL} x AS (SELECT 1) {_BY_CUSTOMER.format(o='new_o')}")
+def live_resume(spark, sf):
+    """A client leaves after the first transactions, and folds what it missed when it resumes; the view is folded in between."""
+    o = _orders(spark, sf)
+    view = LiveView(spark, scratch(spark, "live"), V.Summed(_O, ["o_custkey"], {"keys": "o_orderkey"}), {"orders": o.schema}, ["o_custkey"], KEYS)
+    view.seed({"orders": o})
+    hub, log = Hub(), materialize(change_log(o), "log")
+    rows = materialize(hub.subscribe("s", view).rows, "first")
+    view.apply(log.filter("lsn <= 200"), "b0")
+    news = hub.poll("s")
+    hub.ack("s", news.lsn)
+    rows = materialize(S.apply_diffs(rows, news.rows, ["o_custkey"]), "rows")
+    hub.compact(view)
+    hub.unsubscribe("s")
+    view.apply(log.filter("lsn > 200"), "b1")
+    missed = hub.subscribe("s", view, resume_lsn=news.lsn)
+    return S.apply_diffs(rows, missed.rows, ["o_custkey"])
+
+
 @_query("live_pairs", f"""{_SQL} a AS ({_BY_CUSTOMER.format(o='new_o')}), b AS ({_BY_CUSTOMER.format(o='old_o')})
 SELECT coalesce(a.o_custkey, b.o_custkey) AS k, CASE WHEN b.n IS NULL THEN 'insert' WHEN a.n IS NULL THEN 'delete' ELSE 'update' END AS op, b.n AS n_before, a.n AS n_after
 FROM a FULL JOIN b ON a.o_custkey = b.o_custkey WHERE (a.n, a.keys) IS DISTINCT FROM (b.n, b.keys)""")

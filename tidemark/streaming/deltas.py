@@ -105,43 +105,39 @@ def _completed(c: DataFrame, schema: T.StructType, base: DataFrame, key: list[st
     or came from another key).
     """
     cols = schema.fieldNames()
-    ident = lambda v: F.struct(*[F.col(f"{v}.{k}") for k in key])
-    before = F.when(F.col("old").isNotNull(), ident("old")).otherwise(ident("new"))
-    c = c.withColumns({"__at": before, "__to": F.when(F.col("new").isNotNull(), ident("new"))})
-    moved = F.coalesce(F.col("__at") != F.col("__to"), F.lit(False))
-    c = c.withColumn("__e", F.explode(F.array_compact(F.array(
-        F.struct(F.col("__at").alias("k"), F.lit(True).alias("own")), F.when(moved, F.struct(F.col("__to").alias("k"), F.lit(False).alias("own"))),
-    )))).withColumn("__k", F.col("__e.k"))
-    here = ~moved | ~F.col("__e.own")  # else the row left this key
-    left_out = lambda x: F.array_contains("kept", x)
-    value = lambda v, known=True: F.struct(F.lit(known).alias("known"), v.alias("value"))
-
-    def after(x: str) -> Column:
-        lost = value(F.lit(None).cast(schema[x].dataType), False)
+    name = {x: "`" + x.replace("`", "``") + "`" for x in cols}
+    text = {x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in cols}
+    kind = {x: schema[x].dataType.simpleString() for x in cols}
+    ident = lambda v: f"struct({', '.join(f'{v}.{name[k]} AS k{i}' for i, k in enumerate(key))})"
+    # expressions as text: there are several for each column, and text is one call to the JVM
+    c = c.selectExpr("*", f"CASE WHEN old IS NOT NULL THEN {ident('old')} ELSE {ident('new')} END AS __at", f"CASE WHEN new IS NOT NULL THEN {ident('new')} END AS __to")
+    c = c.selectExpr("*", "coalesce(__at <> __to, FALSE) AS __moved").selectExpr(
+        "*", "explode(array_compact(array(struct(__at AS k, TRUE AS own), CASE WHEN __moved THEN struct(__to AS k, FALSE AS own) END))) AS __e"
+    )
+
+    def after(i: int, x: str) -> str:
+        lost, told = f"struct(FALSE AS known, CAST(NULL AS {kind[x]}) AS value)", lambda v: f"struct(TRUE AS known, {v}.{name[x]} AS value)"
         return (
-            F.when((F.col("kind") == "D") | ~here, lost).when(F.col("new").isNotNull() & ~left_out(x), value(F.col(f"new.{x}")))
-            .when(F.array_contains("told", x), value(F.col(f"old.{x}"))).when(moved, lost)
+            f"CASE WHEN kind = 'D' OR (__moved AND __e.own) THEN {lost} WHEN new IS NOT NULL AND NOT array_contains(kept, {text[x]}) THEN {told('new')} "  # the row left this key
+            f"WHEN array_contains(told, {text[x]}) THEN {told('old')} WHEN __moved THEN {lost} END AS __a{i}"
         )
 
-    b = (base if DIFF in base.columns else seed(base)).select(*cols, DIFF)
-    b = b.withColumn("__k", F.struct(*key)).join(c.select("__k").distinct(), "__k", "left_semi")
-    b = consolidate(b).filter(F.col(DIFF) > 0).select("__k", F.struct(*cols).alias("__base"))
-    w = Window.partitionBy("__k").orderBy("lsn", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumns({f"__s{i}": after(x) for i, x in enumerate(cols)})
-    c = c.withColumns({f"__s{i}": F.last(f"__s{i}", ignorenulls=True).over(w) for i in range(len(cols))})
-    c = c.filter("__e.own").join(b, "__k", "left")
-
-    def earlier(i: int, x: str) -> Column:
-        missing = F.raise_error(F.concat(F.lit(f"no earlier value of {x} for change "), F.struct("lsn", "seq").cast("string"))).cast(schema[x].dataType)
-        s = F.col(f"__s{i}")
-        return F.when(F.coalesce(s["known"], F.lit(False)), s["value"]).when(s.isNull() & F.col("__base").isNotNull(), F.col(f"__base.{x}")).otherwise(missing)
-
-    old = F.struct(*[F.when(F.array_contains("told", x), F.col(f"old.{x}")).otherwise(earlier(i, x)).alias(x) for i, x in enumerate(cols)])
-    new = F.struct(*[
-        F.when(left_out(x), F.when(F.array_contains("told", x), F.col(f"old.{x}")).otherwise(earlier(i, x))).otherwise(F.col(f"new.{x}")).alias(x)
-        for i, x in enumerate(cols)
-    ])
-    return c.select("lsn", "seq", "kind", F.when(F.col("kind") != "I", old).alias("old"), F.when(F.col("new").isNotNull(), new).alias("new"))
+    b = (base if DIFF in base.columns else seed(base)).select(*[F.col(name[x]) for x in cols], DIFF)
+    b = b.selectExpr("*", f"struct({', '.join(f'{name[k]} AS k{i}' for i, k in enumerate(key))}) AS __k")
+    b = consolidate(b.join(c.select(F.col("__e.k").alias("__k")).distinct(), "__k", "left_semi")).filter(F.col(DIFF) > 0)
+    b = b.selectExpr("__k", f"struct({', '.join(name.values())}) AS __base")
+    c = c.selectExpr("lsn", "seq", "kind", "old", "new", "told", "kept", "__e.k AS __k", "__e.own AS __own", *[after(i, x) for i, x in enumerate(cols)])
+    over = "OVER (PARTITION BY __k ORDER BY lsn, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    c = c.selectExpr("*", *[f"last_value(__a{i}) IGNORE NULLS {over} AS __s{i}" for i in range(len(cols))]).filter("__own").join(b, "__k", "left")
+
+    def earlier(i: int, x: str) -> str:
+        missing = f"CAST(raise_error(concat('no earlier value of ', {text[x]}, ' for change ', CAST(struct(lsn, seq) AS STRING))) AS {kind[x]})"
+        return f"CASE WHEN coalesce(__s{i}.known, FALSE) THEN __s{i}.value WHEN __s{i} IS NULL AND __base IS NOT NULL THEN __base.{name[x]} ELSE {missing} END"
+
+    held = lambda i, x: f"CASE WHEN array_contains(told, {text[x]}) THEN old.{name[x]} ELSE {earlier(i, x)} END"
+    old = ", ".join(f"{held(i, x)} AS {name[x]}" for i, x in enumerate(cols))
+    new = ", ".join(f"CASE WHEN array_contains(kept, {text[x]}) THEN {held(i, x)} ELSE new.{name[x]} END AS {name[x]}" for i, x in enumerate(cols))
+    return c.selectExpr("lsn", "seq", "kind", f"CASE WHEN kind <> 'I' THEN struct({old}) END AS old", f"CASE WHEN new IS NOT NULL THEN struct({new}) END AS new")
 
 
 def from_changes(changes: DataFrame, schema: T.StructType, base: DataFrame | None = None, key: list[str] | None = None) -> DataFrame:
