@@ -69,3 +69,18 @@ def test_transactions(spark):
     assert len(log) == 10  # the aborted row is gone, both segments decode alike
     assert sorted({(r.lsn, r.op) for r in log}) == [(100, "I"), (100, "U"), (200, "D"), (200, "T"), (300, "I")]
     assert P.transactions(P.decode(df.limit(0))).count() == 0
+
+
+def test_frames_feed_a_view(spark, rows):
+    """Decoded transactions are the change log that a live view takes."""
+    from tidemark.session import scratch
+    from tidemark.streaming import ivm as V
+    from tidemark.streaming.live import LiveView
+
+    log = P.transactions(P.decode(spark.createDataFrame([(0, i, bytearray(f)) for i, f in enumerate(FRAMES)], "segment bigint, position bigint, frame binary")))
+    seed = spark.createDataFrame([(5, "old", True, None)], "id bigint, head string, done boolean, meta string")
+    view = LiveView(spark, scratch(spark, "lv"), V.Project(V.Source("public.memos"), ["id", "head"]), {"public.memos": seed.schema}, ["id"], {"public.memos": ["id"]})
+    view.seed({"public.memos": seed})
+    assert view.apply(log.filter("lsn = 100"), "b0") == 1
+    assert rows(view.result()) == [(2, 'ü"x'), (5, "old")]
+    assert view.apply(log, "b1") == 2 and rows(view.result()) == [(9, "s")]  # emptied at 200, filled at 300
