@@ -108,7 +108,7 @@ def prefix_sum(df: DataFrame, by: list[str], order: str, value: str, name: str =
     A parallel scan: rows are cut into sorted ranges, summed up within each, and every range starts
     from the sum of its group's ranges before, so a group may be of any size.
     """
-    cols, at = df.columns, [*by, "__range"]
+    cols, at = [c for c in df.columns if c != name], [*by, "__range"]
     r = _ranges(df, by, [dialect.asc(order)])
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     start = r.groupBy(*at).agg(F.sum(value).alias("__s")).select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(at)], F.sum("__s").over(earlier).alias("__start"))
@@ -120,7 +120,7 @@ def prefix_sum(df: DataFrame, by: list[str], order: str, value: str, name: str =
 
 def numbered(df: DataFrame, order_by: list[Column], name: str = "n") -> DataFrame:
     """The position of each row in a total order of all rows, from 1; no task sorts more than a range."""
-    cols, order = df.columns, dialect.total_order(df, order_by)
+    cols, order = [c for c in df.columns if c != name], dialect.total_order(df, order_by)
     r = _ranges(df, [], order)
     r = r.withColumn("__own", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range

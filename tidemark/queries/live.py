@@ -151,9 +151,9 @@ def capture_replay(spark, sf):
     return S.replay(spark.read.parquet(path), ["event_id"])
 
 
-@_query("upquery_keys", "SELECT * FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+@_query("upquery_keys", "SELECT * FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
 def upquery_keys(spark, sf):
-    return S.upquery(table(spark, sf, "nation"), "n_nationkey", table(spark, sf, "supplier").filter("s_acctbal < 0").select("s_nationkey"))
+    return S.upquery(table(spark, sf, "nation"), "n_nationkey", table(spark, sf, "supplier").filter("s_acctbal > 5000").select("s_nationkey"))
 
 
 @_query("wire_roundtrip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
@@ -227,9 +227,9 @@ def _ivm(name: str, view: str, node: Callable[[], V.Node]) -> None:
 _O, _C, _N = V.Source("orders"), V.Source("customer"), V.Source("nation")
 _KEY = [("c_custkey", "o_custkey")]
 _STATUS = "SELECT o_custkey AS k, o_orderstatus AS s FROM {o}"
-_OTHER = "SELECT o_custkey + 1, o_orderstatus FROM {o}"
+_OTHER = "SELECT o_custkey * 2, o_orderstatus FROM {o}"
 _LEFT = V.Project(_O, ["o_custkey AS k", "o_orderstatus AS s"])
-_RIGHT = V.Project(_O, ["o_custkey + 1 AS k", "o_orderstatus AS s"])
+_RIGHT = V.Project(_O, ["o_custkey * 2 AS k", "o_orderstatus AS s"])
 
 _ivm("filter", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM {o} WHERE o_totalprice > 1000", lambda: V.Project(V.Filter(_O, "o_totalprice > 1000"), ["o_orderkey", "o_totalprice * 2 AS twice"]))
 _ivm("join", "SELECT o_orderkey, c_name, n_name FROM {o} JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
