@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -335,6 +336,25 @@ def test_file_manifest_survives_failure(spark, rows):
     assert second not in (None, first) and sorted(rows(m.read())) == [(0,), (2,), (4,), (20,), (22,)]
 
 
+def test_file_manifest_keeps_folder_columns_and_batches(spark, rows):
+    """Columns in folder names are columns; a batch whose files are partly gone isn't done again without them."""
+    src, m = scratch(spark, "in"), incremental.FileManifest(spark, scratch(spark, "out"))
+    spark.createDataFrame([(1, 7), (2, 8)], "id int, day int").write.partitionBy("day").parquet(src)
+    keep = lambda df: df.select("id", "day")
+    m.run(src, keep)
+    assert rows(m.read()) == [(1, 7), (2, 8)]
+    m.store.delete(f"{src}/day=8")
+    assert m.run(src, keep) is None and rows(m.read()) == [(1, 7), (2, 8)]
+    (path, *_), = m.store.listing(src)
+    spark.createDataFrame([(5,)], "id int").coalesce(1).write.parquet(f"{src}-other")
+    (new, *_), = m.store.listing(f"{src}-other")
+    m.store.delete(path)
+    m.store._fs.rename(m.store._path(new), m.store._path(path))
+    with pytest.raises(incremental.LostInputError):
+        m.run(src, keep)
+    assert rows(m.read()) == [(1, 7), (2, 8)]
+
+
 def test_file_manifest_goes_by_content(spark, rows):
     """A touched file isn't new; one replaced with the same size and time is."""
     src, m = scratch(spark, "in"), incremental.FileManifest(spark, scratch(spark, "out"))

@@ -10,7 +10,7 @@ from tidemark.session import scratch
 from tidemark.sources import sinks
 from tidemark.streaming import deltas as S
 from tidemark.streaming import ivm as V
-from tidemark.streaming.live import CHANGE, Hub, LateChangeError, LiveView, MaterializedKeys, Reason, SchemaDriftError
+from tidemark.streaming.live import CHANGE, Hub, LateChangeError, LiveView, MaterializedKeys, PartialView, Reason, SchemaDriftError
 from tidemark.streaming.optimistic import LocalWrites
 
 A, B = V.Source("a"), V.Source("b")
@@ -277,6 +277,20 @@ def test_reseeding_tells_why(spark, rows):
     assert (m.reason, v.lsn) == (Reason.SCHEMA_CHANGED, 50)
 
 
+def test_partial_view_and_errors(spark, rows):
+    v, hub = _view(spark), Hub()
+    v.apply(_log(spark, 10), "b0")  # groups: 1 with three rows
+    part = PartialView(v, "k", limit=1)
+    assert rows(part.get(1)) == [(1, 3, 13)] and part.keys.lookup((1,)) == "hit" and part.get(7).count() == 0
+    v.apply(_log(spark, 20, 30), "b1")
+    assert sorted(rows(part.get(1, 2, 1))) == [(1, 1, 1), (2, 2, 6)]
+    hub.subscribe("s", v)
+    with pytest.raises(LateChangeError) as e:
+        v.apply(spark.createDataFrame([_change(15, 0, "I", None, (8, 8, 8))], CHANGE), "late")
+    (sub, m), = hub.fail(v, e.value)
+    assert (sub, m.kind, m.lsn) == ("s", "error", 30) and "LateChangeError" in m.error and not hub.subscriptions
+
+
 def test_partial_keys_and_local_writes():
     k = MaterializedKeys()
     assert [k.lookup((1,)), k.lookup((1,))] == ["miss", "pending"]

@@ -89,8 +89,10 @@ class FileManifest:
         if not paths:
             return None
         batch = fresh.agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("path", "size", "checksum")))), 256)).first()[0][:16]
+        # columns in the names of folders stay columns
+        reader = spark.read.option("basePath", folder) if self.store.is_folder(folder) else spark.read
         part = {
-            "path": self.store.write_part(process(spark.read.parquet(*paths)), f"batch-{batch}"),
+            "path": self.store.write_part(process(reader.parquet(*paths)), f"batch-{batch}"),
             "files": self.store.write_part(fresh.withColumn("batch", F.lit(batch)), f"files-{batch}"),
         }
         self.store.commit(m | {"parts": {n: p for n, p in m["parts"].items() if n not in stale} | {batch: part}})

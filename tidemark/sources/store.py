@@ -141,5 +141,8 @@ class Store:
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
+    def is_folder(self, path: str) -> bool:
+        return self._fs.getFileStatus(self._path(path)).isDirectory()
+
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))

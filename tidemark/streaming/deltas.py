@@ -86,13 +86,8 @@ def _parsed(changes: DataFrame, schema: T.StructType) -> DataFrame:
                           F.coalesce(F.json_object_keys("old"), none).alias("told"), F.coalesce("unchanged_cols", none).alias("kept")).filter("kind NOT IN ('T', 'C')")
 
 
-def untold(changes: DataFrame, schema: T.StructType) -> DataFrame:
-    """The changes that need more than their images: an update without a full old one."""
-    return _parsed(changes, schema).filter((F.col("kind") != "I") & (F.size("told") < len(schema)))
-
-
 def is_untold(schema: T.StructType) -> Column:
-    """The same as a condition on a raw change."""
+    """Whether a raw change needs more than its images: an update or delete without a full old one."""
     none = F.array().cast("array<string>")
     return (kind().isin("U", "D")) & (F.size(F.coalesce(F.json_object_keys("old"), none)) < len(schema))
 

@@ -283,12 +283,14 @@ class LiveView:
 
 @dataclass
 class Message:
-    """What a subscriber gets: ``initial`` rows, ``diff`` events, or a ``resync`` with fresh rows."""
+    """What a subscriber gets: ``initial`` rows, ``diff`` events (insert, update, delete), a ``resync``
+    with fresh rows, or an ``error`` after which nothing more comes."""
 
     kind: str
     lsn: int
     rows: DataFrame | None = None
     reason: Reason | None = None
+    error: str | None = None
 
 
 @dataclass
@@ -370,6 +372,14 @@ class Hub:
         """How far each subscriber's acknowledgement is behind the head of the log."""
         return {s.id: max(0, head_lsn - max(s.last_acked, s.view.earliest)) for s in self.subscriptions.values()}
 
+    def fail(self, view: LiveView, error: Exception) -> list[tuple[str, Message]]:
+        """Tell every subscriber of a view that it has stopped, and let them go."""
+        ids = [s.id for s in self.subscriptions.values() if s.view is view]
+        self.metrics["errors"] += len(ids)
+        for i in ids:
+            self.unsubscribe(i)
+        return [(i, Message("error", view.lsn, error=f"{type(error).__name__}: {error}")) for i in ids]
+
     def resync_all(self, view: LiveView, reason: Reason) -> list[tuple[str, Message]]:
         return [(s.id, self._fresh(s, "resync", reason)) for s in self.subscriptions.values() if s.view is view]
 
@@ -395,6 +405,51 @@ class MaterializedKeys:
         self._state.pop(key, None)
 
 
+class PartialView:
+    """The rows of a view for the keys asked for so far, one column each; others aren't kept.
+
+    A missing key is fetched by an upquery on the view; keys that the view's diffs have touched since
+    are fetched again.  ``limit`` keys are kept at most, the longest unused ones go first.
+    """
+
+    def __init__(self, view: LiveView, key: str, limit: int = 10_000) -> None:
+        self.view, self.key, self.limit, self.lsn = view, key, limit, view.lsn
+        self.keys = MaterializedKeys()
+        self._part: dict[object, DataFrame] = {}  # a part serves all keys it was fetched for
+
+    def _refresh(self) -> None:
+        if self.view.lsn > self.lsn and self._part:
+            spark, kind = self.view.spark, self.view.result().schema[self.key].dataType
+            kept = spark.createDataFrame([(k,) for k in self._part], T.StructType([T.StructField(self.key, kind)]))
+            moved = kept.join(self.view.diffs(self.lsn).select(self.key), self.key, "left_semi")  # as many as are kept
+            for r in moved.collect():
+                self._part.pop(r[0], None)
+                self.keys.evict((r[0],))
+        self.lsn = self.view.lsn
+
+    def get(self, *wanted: object) -> DataFrame:
+        """The rows with the wanted keys at the view's position."""
+        self._refresh()
+        missing = [k for k in dict.fromkeys(wanted) if self.keys.lookup((k,)) != "hit"]
+        result = self.view.result()
+        one = lambda ks: result.sparkSession.createDataFrame([(k,) for k in ks], T.StructType([result.schema[self.key]]))
+        if missing:
+            rows = materialize(S.upquery(result, self.key, one(missing)), "partial")
+            for k in missing:
+                self._part[k] = rows
+                self.keys.fill((k,))
+        for k in wanted:
+            self._part[k] = self._part.pop(k)
+        while len(self._part) > max(self.limit, len(wanted)):
+            gone = next(iter(self._part))
+            self._part.pop(gone)
+            self.keys.evict((gone,))
+        parts = {id(self._part[k]): self._part[k] for k in wanted}
+        asked = one(dict.fromkeys(wanted))
+        mine = [p.join(one([k for k in dict.fromkeys(wanted) if self._part[k] is p]), self.key, "left_semi") for p in parts.values()]
+        return S.concat(*mine) if mine else S.upquery(result, self.key, asked)
+
+
 class ProgressMetrics(StreamingQueryListener):
     """Counts batches and rows of streaming queries, with the last batch's duration and quantiles of
     the last ``window`` durations."""
