@@ -124,7 +124,7 @@ def arrivals(df: DataFrame, column: str, batches: int) -> list[DataFrame]:
     return [df.filter(at <= cuts[0]), *parts, df.filter((at > cuts[-1]) | at.isNull())] if cuts else [df]
 
 
-def intake(diff_payloads: DataFrame, sub_states: DataFrame, batches: int = 3) -> MessageLog:
+def intake(diff_payloads: DataFrame, sub_states: DataFrame, batches: int = 2) -> MessageLog:
     """A log that took the deliveries batch by batch.
 
     ``last_seen_lsn`` stands for the identifiers stored before the log began: it covers all of a
